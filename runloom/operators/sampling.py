@@ -31,20 +31,20 @@ def add_row_index(df: DataFrame, name: str = "id") -> DataFrame:
     Spark's ids hold the partition above bit 33 and the row below it, so only the
     row count of each partition is needed: one row per partition.
     """
-    ids = add_row_ids(df, "_id")
-    partition = F.shiftright("_id", 33)
+    ids = add_row_ids(df, "_place")
+    partition = F.shiftright("_place", 33)
     earlier = Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         ids.groupBy(partition.alias("_partition"))
         .count()
         .select("_partition", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_start"))
     )
-    row = F.col("_id").bitwiseAND(F.lit(2**33 - 1))
+    row = F.col("_place").bitwiseAND(F.lit(2**33 - 1))
     return (
         ids.withColumn("_partition", partition)
         .join(F.broadcast(starts), "_partition")
         .withColumn(name, F.col("_start") + row)
-        .drop("_id", "_partition", "_start")
+        .drop("_place", "_partition", "_start")
     )
 
 
