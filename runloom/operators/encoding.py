@@ -33,6 +33,16 @@ def tokenize(
     return df.withColumn(name, tokenizer(F.col(text), max_length))
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns through a one-row ``inline``.
+
+    A filter on a plain column is pushed below it by copying its expression; one on
+    the output of a generator is not, so costly expressions run once per row.
+    """
+    values = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(values)))
+
+
 def encode_words(
     df: DataFrame,
     prompt: str = "prompt",
@@ -44,12 +54,14 @@ def encode_words(
 
     Every prompt ends in a line break, so the words of the full text are those of
     the prompt, those of the response and the end marker: each text is cut once.
+    The counts come from the word lists, so a query that needs no ids hashes none.
     """
-    prompt_words = words(F.col(prompt))
-    cut = df.withColumns({"_prompt": prompt_words, "_response": words(F.col(response))})
+    cut = compute_once(df, _prompt=words(F.col(prompt)), _response=words(F.col(response)))
+    total = F.size("_prompt") + F.size("_response") + 1
     kept = F.slice(F.concat("_prompt", "_response"), 1, max_length)
     ids = F.slice(F.concat(word_ids(kept, portable), F.array(F.lit(EOS_ID))), 1, max_length)
-    return _mask(cut.withColumn("input_ids", ids), F.size("_prompt")).drop("_prompt", "_response")
+    counted = cut.withColumn("num_tokens", F.least(F.lit(max_length), total))
+    return _mask(counted.withColumn("input_ids", ids), F.size("_prompt")).drop("_prompt", "_response")
 
 
 def encode_masked(
@@ -63,33 +75,32 @@ def encode_masked(
     """``input_ids`` of the full text and ``labels`` with the prompt masked out.
 
     Prompt and full text are tokenized apart, so the mask is as long as the
-    prompt alone, whatever the tokenizer merges at the border.
+    prompt alone, whatever the tokenizer merges at the border. ``num_tokens`` and
+    ``num_response_tokens`` count the ids and the unmasked ones.
     """
-    encoded = df.withColumns(
-        {
-            "input_ids": tokenizer(F.concat(prompt, response, F.lit(eos)), max_length),
-            "_prompt": tokenizer(F.col(prompt), max_length),
-        }
-    )
+    encoded = compute_once(
+        df,
+        input_ids=tokenizer(F.concat(prompt, response, F.lit(eos)), max_length),
+        _prompt=tokenizer(F.col(prompt), max_length),
+    ).withColumn("num_tokens", F.size("input_ids"))
     return _mask(encoded, F.size("_prompt")).drop("_prompt")
 
 
 def _mask(df: DataFrame, prompt_size: Column) -> DataFrame:
-    masked = F.transform(
-        "input_ids", lambda token, i: F.when(i < F.col("_masked"), IGNORED).otherwise(token)
-    )
-    return (
-        df.withColumn("_masked", F.least(prompt_size, F.size("input_ids")))
-        .withColumn("labels", masked)
-        .withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
-        .withColumn("response_tokens", F.size("input_ids") - F.col("_masked"))
-        .drop("_masked")
+    masked = F.least(prompt_size, F.col("num_tokens"))
+    labels = F.transform("input_ids", lambda token, i: F.when(i < masked, IGNORED).otherwise(token))
+    return df.withColumns(
+        {
+            "labels": labels,
+            "attention_mask": F.array_repeat(F.lit(1), F.col("num_tokens")),
+            "num_response_tokens": F.col("num_tokens") - masked,
+        }
     )
 
 
 def filter_trainable(df: DataFrame) -> DataFrame:
-    """Keep rows with at least one unmasked label; drop the helper column."""
-    return df.filter(F.col("response_tokens") > 0).drop("response_tokens")
+    """Keep rows with at least one unmasked label."""
+    return df.filter(F.col("num_response_tokens") > 0)
 
 
 def encode_padded(
@@ -126,7 +137,7 @@ def pad_batches(
     The width is rounded up to a multiple. Positions and widths are found on ids
     and lengths alone; the arrays are shuffled once, by the last join.
     """
-    lengths = df.select(id_col, F.size("input_ids").alias("_size"))
+    lengths = df.select(id_col, F.col("num_tokens").alias("_size"))
     batch = Window.partitionBy("batch")
     widths = (
         shuffle_positions(lengths, id_col, seed)
@@ -150,9 +161,8 @@ def pad_batches(
 
 def split_counts(df: DataFrame) -> DataFrame:
     """Rows, tokens and unmasked tokens per split."""
-    unmasked = F.size(F.filter("labels", lambda label: label != IGNORED))
     return df.groupBy("split").agg(
         F.count("*").alias("num_examples"),
-        F.sum(F.size("input_ids")).alias("num_tokens"),
-        F.sum(unmasked).alias("num_response_tokens"),
+        F.sum("num_tokens").alias("num_tokens"),
+        F.sum("num_response_tokens").alias("num_response_tokens"),
     )

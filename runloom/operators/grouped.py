@@ -17,6 +17,8 @@ from runloom.session import checkpointed
 
 #: Rows of one group that a single task may sort.
 GROUP_ROWS = 2_000_000
+#: Values of one group that ``percentile`` may hold in memory; it cannot spill them.
+PERCENTILE_ROWS = 200_000
 #: Slices per group and level when values are searched in a large group.
 SLICES = 200
 
@@ -167,7 +169,7 @@ def exact_percentiles(
     keys: Sequence[str],
     value: str,
     shares: Mapping[str, float],
-    group_rows: int = GROUP_ROWS,
+    group_rows: int = PERCENTILE_ROWS,
 ) -> DataFrame:
     """One row per group with a column per named share, interpolated at ``(n - 1) * share``."""
     rows = df.select(*keys, F.col(value).cast("double").alias("value"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runloom.operators.grouped import GROUP_ROWS, exact_percentiles, join_on
+from runloom.operators.grouped import PERCENTILE_ROWS, exact_percentiles, join_on
 
 #: Reported percentiles.
 PERCENTILES = {
@@ -31,7 +31,7 @@ def _with_ms(requests: DataFrame) -> DataFrame:
 
 
 def latency_percentiles(
-    requests: DataFrame, keys: Sequence[str] = GROUP, group_rows: int = GROUP_ROWS
+    requests: DataFrame, keys: Sequence[str] = GROUP, group_rows: int = PERCENTILE_ROWS
 ) -> DataFrame:
     """p50, p95, p99 and p99.9 in milliseconds per group, exact and interpolated."""
     return exact_percentiles(_with_ms(requests), keys, "_ms", PERCENTILES, group_rows)
@@ -55,7 +55,7 @@ def tail_amplification(report: DataFrame, given: str | None = None) -> DataFrame
 
 
 def stall_ratio(
-    requests: DataFrame, keys: Sequence[str] = GROUP, group_rows: int = GROUP_ROWS
+    requests: DataFrame, keys: Sequence[str] = GROUP, group_rows: int = PERCENTILE_ROWS
 ) -> DataFrame:
     """Share of requests slower than twice the median of their group."""
     median = exact_percentiles(_with_ms(requests), keys, "_ms", {"_p50": 0.5}, group_rows)
@@ -79,7 +79,7 @@ def _stalls(requests: DataFrame, medians: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def benchmark_report(
-    requests: DataFrame, keys: Sequence[str] = GROUP, group_rows: int = GROUP_ROWS
+    requests: DataFrame, keys: Sequence[str] = GROUP, group_rows: int = PERCENTILE_ROWS
 ) -> DataFrame:
     """One row per group with counts, percentiles, tail, stalls and throughput."""
     percentiles = latency_percentiles(requests, keys, group_rows)

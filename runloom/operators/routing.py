@@ -150,20 +150,27 @@ def mean_expert_weights(tokens: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def expert_counts(tokens: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Tokens per layer and expert, before (``raw``) and after capacity (``tokens``)."""
-    counts = assigned.groupBy("layer", "expert_id").agg(
-        F.count("*").alias("_raw"), F.count_if("kept").alias("_kept")
+def expert_table(tokens: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Per layer and expert: mean weight, tokens before (``raw_tokens``) and after capacity
+    (``tokens``), and the share of all tokens that is dispatched.
+
+    One pass over the assignments; what follows works on this small table.
+    """
+    sums = assigned.groupBy("layer", "expert_id").agg(
+        F.sum("weight").alias("_sum"),
+        F.count("*").alias("_raw"),
+        F.count_if("kept").alias("_kept"),
     )
-    return (
-        _grid(_per_layer(tokens))
-        .join(counts, ["layer", "expert_id"], "left")
-        .select(
-            "layer",
-            "expert_id",
-            F.coalesce("_raw", F.lit(0)).alias("raw_tokens"),
-            F.coalesce("_kept", F.lit(0)).alias("tokens"),
-        )
+    cells = _grid(_per_layer(tokens)).join(sums, ["layer", "expert_id"], "left")
+    kept = F.coalesce("_kept", F.lit(0))
+    return cells.select(
+        "layer",
+        "expert_id",
+        "_tokens",
+        (F.coalesce("_sum", F.lit(0.0)) / F.col("_tokens")).alias("mean_weight"),
+        F.coalesce("_raw", F.lit(0)).alias("raw_tokens"),
+        kept.alias("tokens"),
+        (kept / F.col("_tokens")).alias("dispatch_share"),
     )
 
 
@@ -221,15 +228,14 @@ def balance_dense(means: DataFrame) -> DataFrame:
     return means.groupBy("layer").agg((F.count("*") * squares).alias("balance_loss"))
 
 
-def balance_sparse(tokens: DataFrame, assigned: DataFrame) -> DataFrame:
+def balance_sparse(probabilities: DataFrame, experts: DataFrame) -> DataFrame:
     """Experts times the sum of dispatch share times mean full softmax, per layer."""
-    kept = assigned.filter("kept").withColumn("weight", F.lit(1.0))
-    shares = mean_expert_weights(tokens, kept).withColumnRenamed("mean_weight", "_share")
-    probabilities = mean_expert_weights(tokens, router_softmax(tokens))
+    product = F.col("dispatch_share") * F.col("mean_weight")
+    shares = experts.select("layer", "expert_id", "dispatch_share")
     return (
         probabilities.join(shares, ["layer", "expert_id"])
         .groupBy("layer")
-        .agg((F.count("*") * F.sum(F.col("_share") * F.col("mean_weight"))).alias("balance_loss"))
+        .agg((F.count("*") * F.sum(product)).alias("balance_loss"))
     )
 
 
@@ -276,11 +282,13 @@ def layer_metric_log(layer_stats: DataFrame, losses: DataFrame) -> DataFrame:
     return per_layer.unionByName(overall).unionByName(total)
 
 
-def sparse_layer_stats(tokens: DataFrame, assigned: DataFrame) -> DataFrame:
-    """All per-layer statistics of a sparse router after capacity."""
-    routed = routing_stats(mean_expert_weights(tokens, renormalize_kept(assigned)))
-    load = expert_load_stats(expert_counts(tokens, assigned))
-    return routed.join(load, "layer").join(overflow_fraction(assigned), "layer")
+def sparse_layer_stats(experts: DataFrame) -> DataFrame:
+    """All per-layer statistics of a sparse router after capacity, from its expert table."""
+    overflow = experts.groupBy("layer").agg(
+        (F.sum(F.col("raw_tokens") - F.col("tokens")) / F.sum("_tokens")).alias("overflow_fraction")
+    )
+    stats = routing_stats(experts).join(expert_load_stats(experts), "layer")
+    return stats.join(overflow, "layer")
 
 
 def global_expert_load(means: DataFrame) -> DataFrame:

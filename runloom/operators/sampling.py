@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.functions.columns import hash_key
-from runloom.operators.grouped import values_at
+from runloom.operators.grouped import row_positions
 from runloom.session import checkpointed
 
 SEED = 42
 #: Largest head that is taken by an ordinary top-n sort.
-HEAD_ROWS = 100_000
+HEAD_ROWS = 1_000
 
 
 def add_row_ids(df: DataFrame, name: str = "id") -> DataFrame:
@@ -94,21 +94,16 @@ def sample_exact(df: DataFrame, id_col: str, max_samples: int | None, seed: int
 
 
 def head_sample(df: DataFrame, order: str, rows: int) -> DataFrame:
-    """The first ``min(rows, n)`` rows by a unique numeric column.
+    """The first ``min(rows, n)`` rows by a unique column.
 
-    A long head is cut by its last value, so that no task has to hold it.
+    A top-n sort gathers ``rows`` rows per input split in one task, so a longer
+    head is cut at its last value instead, found on that column alone.
     """
     if rows <= HEAD_ROWS:
         return df.orderBy(order).limit(rows)
-    everything = F.lit("all").alias("_all")
-    values = df.select(everything, F.col(order).alias("value"), F.lit(1).cast("long").alias("copies"))
-    ranks = (
-        df.groupBy(everything)
-        .agg(F.count("*").alias("n"))
-        .select("_all", (F.least("n", F.lit(rows)) - 1).alias("rank"))
-    )
-    last = values_at(values, ["_all"], ranks).select(F.max("value").alias("value")).scalar()
-    return df.filter(F.col(order) <= last)
+    placed = row_positions(df.select(order), [], [order], "_position")
+    last = placed.filter(F.col("_position") == rows).select(F.max(order).alias("last")).scalar()
+    return df.filter(F.coalesce(F.col(order) <= last, F.lit(True)))
 
 
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = SEED) -> DataFrame:

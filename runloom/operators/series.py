@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runloom.operators.grouped import GROUP_ROWS, chunked, exact_percentiles, join_on
+from runloom.operators.grouped import (
+    GROUP_ROWS,
+    PERCENTILE_ROWS,
+    chunked,
+    exact_percentiles,
+    join_on,
+)
 
 #: Lengths of the rolling window and of the averaged tail.
 ROLLING_ROWS = 100
@@ -125,7 +131,7 @@ def step_time_distribution(
     log: DataFrame,
     keys: Sequence[str] = ("run",),
     bins: int = 20,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int = PERCENTILE_ROWS,
 ) -> DataFrame:
     """Minimum, median and maximum per run, and the counts of ``bins`` equal bins between."""
     edges = log.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
@@ -142,7 +148,7 @@ def step_time_distribution(
     return join_on(counts, medians, keys).select(*keys, "low", "median", "high", "bin", "points")
 
 
-def rank_step_skew(log: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def rank_step_skew(log: DataFrame, group_rows: int = PERCENTILE_ROWS) -> DataFrame:
     """Median step time per run and rank; skew is max over min if a run has several ranks.
 
     Tags look like ``train/step_time_ms/rank3/p50``; without any such tag the form

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,7 @@ from runloom.operators import (
     templates,
 )
 from runloom.plans import prepare, views
-from runloom.session import scratch_path
+from runloom.session import checkpointed, scratch_path, spread_small
 from runloom.sources import records as record_files
 from runloom.sources import run_logs
 from runloom.streaming import rolling
@@ -299,19 +300,19 @@ def expand_templates(spark, sf_dir):
 
 @query
 def tokenize(spark, sf_dir):
-    documents = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread_small(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
     cut = encoding.tokenize(documents, max_length=512, tokenizer=portable_tokenizer)
     return cut.select("doc_id", F.size("input_ids").alias("tokens"), listed("input_ids").alias("input_ids"))
 
 
 def _utf8_encoder():
     """A byte-level tokenizer, as an example of a Python callable."""
-    return lambda texts: [list(text.encode("utf-8")) for text in texts]
+    return lambda texts: [np.frombuffer(text.encode("utf-8"), np.uint8).astype("int32") for text in texts]
 
 
 @query
 def tokenizer_plugin(spark, sf_dir):
-    documents = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread_small(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
     encoded = encoding.tokenize(documents, tokenizer=arrow_tokenizer(_utf8_encoder))
     return encoded.select("doc_id", F.size("input_ids").alias("tokens"))
 
@@ -422,8 +423,13 @@ def _sigmoid_means(spark, sf_dir):
     return routing.mean_expert_weights(tokens, routing.router_sigmoid(tokens))
 
 
+def _experts(spark, sf_dir):
+    sparse = routing.renormalize_kept(_kept(spark, sf_dir))
+    return routing.expert_table(views.router_tokens(spark, sf_dir), sparse)
+
+
 def _counts(spark, sf_dir):
-    return routing.expert_counts(views.router_tokens(spark, sf_dir), _kept(spark, sf_dir))
+    return _experts(spark, sf_dir).drop("_tokens", "mean_weight", "dispatch_share")
 
 
 @query
@@ -476,8 +482,7 @@ def expert_load_stats(spark, sf_dir):
 
 @query
 def mean_expert_weights(spark, sf_dir):
-    sparse = routing.renormalize_kept(_kept(spark, sf_dir))
-    return rounded(routing.mean_expert_weights(views.router_tokens(spark, sf_dir), sparse))
+    return rounded(_experts(spark, sf_dir).select("layer", "expert_id", "mean_weight"))
 
 
 @query
@@ -502,24 +507,26 @@ def balance_dense(spark, sf_dir):
 
 @query
 def balance_sparse(spark, sf_dir):
-    return rounded(routing.balance_sparse(views.router_tokens(spark, sf_dir), _kept(spark, sf_dir)))
+    experts = routing.expert_table(views.router_tokens(spark, sf_dir), _kept(spark, sf_dir))
+    return rounded(routing.balance_sparse(_soft_means(spark, sf_dir), experts))
 
 
 @query
 def balance_variance(spark, sf_dir):
-    return rounded(routing.balance_variance(_sigmoid_means(spark, sf_dir)))
+    return rounded(routing.balance_variance(_sigmoid_means(spark, sf_dir)), 12)
 
 
 @query
 def balance_total(spark, sf_dir):
-    return rounded(routing.balance_total(routing.balance_dense(_soft_means(spark, sf_dir))))
+    return rounded(routing.balance_total(routing.balance_dense(_soft_means(spark, sf_dir))), 10)
 
 
 @query
 def layer_metric_log(spark, sf_dir):
-    tokens, kept = views.router_tokens(spark, sf_dir), _kept(spark, sf_dir)
-    stats = routing.sparse_layer_stats(tokens, kept)
-    return rounded(routing.layer_metric_log(stats, routing.balance_sparse(tokens, kept)))
+    # Two tables of layers x experts, read many times below.
+    experts = checkpointed(_experts(spark, sf_dir))
+    losses = routing.balance_sparse(checkpointed(_soft_means(spark, sf_dir)), experts)
+    return rounded(routing.layer_metric_log(routing.sparse_layer_stats(experts), losses))
 
 
 @query

@@ -482,12 +482,12 @@ def statements() -> dict[str, str]:
         ),
         "balance_sparse": _rounded("SELECT * FROM sparse_loss", "balance_loss"),
         "balance_variance": _rounded(
-            "SELECT layer, var_samp(m) AS balance_loss FROM sigmoid_means GROUP BY layer", "balance_loss"
+            "SELECT layer, var_samp(m) AS balance_loss FROM sigmoid_means GROUP BY layer", "balance_loss", places=12
         ),
         "balance_total": _rounded(
             "SELECT coalesce(0.01 * avg(nullif(l, 0)), 0) AS balance_loss FROM "
             "(SELECT layer, 8 * sum(m * m) AS l FROM soft_means GROUP BY layer)",
-            "balance_loss",
+            "balance_loss", places=10,
         ),
         "layer_metric_log": _rounded(_layer_log(), "value"),
         "global_expert_load": _rounded(

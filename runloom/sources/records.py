@@ -30,12 +30,14 @@ def read_records(
     schema: str | T.StructType | None = None,
     keep_corrupt: bool = False,
     spread: bool = True,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read ``.jsonl`` line by line, ``.csv`` with a header, anything else as JSON arrays.
 
     The schema is fixed, so nothing is inferred. A JSON array cannot be divided:
     unless ``spread`` is false, its rows are spread over the cluster right after the
-    read. Many ``.jsonl`` files are the form for large data.
+    read. Nor can CSV, unless ``multi_line`` is false because no text holds a line
+    break. Many ``.jsonl`` files are the form for large data.
     """
     columns = schema or SCHEMAS[data_format]
     columns = T.StructType.fromDDL(columns) if isinstance(columns, str) else columns
@@ -47,7 +49,7 @@ def read_records(
     if plain.endswith(".jsonl"):
         return reader.json(path)
     if plain.endswith(".csv"):
-        return reader.csv(path, header=True, multiLine=True, quote='"', escape='"')
+        return reader.csv(path, header=True, multiLine=multi_line, quote='"', escape='"')
     rows = reader.option("multiLine", True).json(path)
     return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if spread else rows
 

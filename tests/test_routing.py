@@ -117,7 +117,7 @@ def kept(tokens):
 
 def test_load(tokens, logits, kept):
     chosen, stays = capped(logits, 2, 1.25)
-    counts = routing.expert_counts(tokens, kept)
+    counts = routing.expert_table(tokens, kept)
     rows = counts.collect()
     assert len(rows) == LAYERS * EXPERTS                       # the idle expert is listed
     for r in rows:
@@ -170,7 +170,7 @@ def test_balance(spark, tokens, logits, kept):
     losses = {r.layer: r.balance_loss for r in routing.balance_dense(means).collect()}
     assert losses == pytest.approx({l: EXPERTS * (probabilities[l] ** 2).sum() for l in range(LAYERS)})
     shares = capped(logits, 2, 1.25)[1].mean(1)
-    sparse = {r.layer: r.balance_loss for r in routing.balance_sparse(tokens, kept).collect()}
+    sparse = {r.layer: r.balance_loss for r in routing.balance_sparse(means, routing.expert_table(tokens, kept)).collect()}
     assert sparse == pytest.approx({l: EXPERTS * (shares[l] * probabilities[l]).sum() for l in range(LAYERS)})
     variance = {r.layer: r.balance_loss for r in routing.balance_variance(means).collect()}
     assert variance == pytest.approx({l: probabilities[l].var(ddof=1) for l in range(LAYERS)})
@@ -180,8 +180,10 @@ def test_balance(spark, tokens, logits, kept):
 
 
 def test_metric_log(tokens, kept):
-    stats = routing.sparse_layer_stats(tokens, kept)
-    log = {r.tag: r.value for r in routing.layer_metric_log(stats, routing.balance_sparse(tokens, kept)).collect()}
+    experts = routing.expert_table(tokens, routing.renormalize_kept(kept))
+    probabilities = routing.mean_expert_weights(tokens, routing.router_softmax(tokens))
+    losses = routing.balance_sparse(probabilities, experts)
+    log = {r.tag: r.value for r in routing.layer_metric_log(routing.sparse_layer_stats(experts), losses).collect()}
     assert {"routing/layer00/entropy", "routing/layer01/hot_expert_count", "routing/global_overflow_fraction", "routing/balance_loss"} <= set(log)
     assert log["routing/global_cv"] == pytest.approx((log["routing/layer00/cv"] + log["routing/layer01/cv"]) / 2)
     assert "routing/global_hot_expert_count" not in log

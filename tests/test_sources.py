@@ -76,7 +76,7 @@ def test_instruction_job(spark):
     )
     rows = encode_instructions(df, max_samples=60, fraction=0.05).collect()
     assert len(rows) == 60 and sum(r.split == "validation" for r in rows) == 3
-    assert all(r.response_tokens == 3 for r in rows)
+    assert all(r.num_response_tokens == 3 for r in rows)
 
 
 def test_chat_job(spark, sf_dir):
