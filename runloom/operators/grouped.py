@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +20,9 @@ from runloom.session import checkpointed
 GROUP_ROWS = 2_000_000
 #: Values of one group that ``percentile`` may hold in memory; it cannot spill them.
 PERCENTILE_ROWS = 200_000
-#: Slices per group and level when values are searched in a large group.
-SLICES = 200
+#: Cuts of a large group: this far on both sides of a wanted share, then evenly.
+MARGIN = 0.0005
+EVEN_CUTS = tuple(i / 50 for i in range(1, 50))
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -43,9 +45,13 @@ def row_positions(
     order: Sequence[str | Column],
     name: str = "position",
     group_rows: int = GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Add the 1-based position of each row in its group. ``order`` must be unique per group."""
-    if largest_group(df, keys) <= group_rows:
+    """Add the 1-based position of each row in its group. ``order`` must be unique per group.
+
+    A caller that knows a bound of the ``largest`` group saves the count.
+    """
+    if (largest_group(df, keys) if largest is None else largest) <= group_rows:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("long"))
     return _spread_positions(df, keys, order, name)
@@ -90,13 +96,14 @@ def chunked(
 ) -> DataFrame:
     """Prepare bounded windows: add ``_chunk`` (a further window key) and ``_own``.
 
-    In a large group each chunk holds ``group_rows`` rows of its own and repeats
-    the ``before`` / ``after`` neighbours it needs; those have ``_own`` false and
-    are filtered out after the window. Any frame within those bounds is exact.
+    A large group is cut into chunks, several per ``group_rows`` so that they can be
+    spread evenly. A chunk repeats the ``before`` / ``after`` neighbours it needs;
+    those have ``_own`` false and are filtered out after the window. Any frame
+    within those bounds is exact.
     """
     if largest_group(df, keys) <= group_rows:
         return df.select("*", F.lit(0).cast("long").alias("_chunk"), F.lit(True).alias("_own"))
-    size = max(group_rows, before + after + 1)
+    size = max(group_rows // 8, before + after + 1)
     index = F.col("_position") - 1
     own = F.floor(index / size)
     first = F.greatest(F.floor((index - after) / size), F.lit(0))
@@ -110,14 +117,18 @@ def chunked(
 
 
 def values_at(
-    rows: DataFrame, keys: Sequence[str], ranks: DataFrame, group_rows: int = GROUP_ROWS
+    rows: DataFrame,
+    keys: Sequence[str],
+    ranks: DataFrame,
+    cuts: Sequence[float] = EVEN_CUTS,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """The value at each wanted position of its group, in value order.
 
     ``rows`` has the keys, ``value`` and ``copies``; ``ranks`` has the keys and a
     0-based ``rank``. A large group is cut at approximate quantiles, its slices
     are counted exactly, and only slices that hold a wanted position are kept and
-    searched again. The cuts decide only how much is left, never the result.
+    searched again. The ``cuts`` decide only how much is left, never the result.
     """
     within = (F.col("_upto") - F.col("copies") <= F.col("rank")) & (F.col("rank") < F.col("_upto"))
     if largest_group(rows, keys) <= group_rows:
@@ -129,10 +140,10 @@ def values_at(
         )
         return join_on(ranks, placed, keys).filter(within).select(*keys, "rank", "value")
 
-    cuts = [F.lit(i / SLICES) for i in range(1, SLICES)]
-    edges = rows.groupBy(*keys).agg(F.percentile_approx("value", F.array(*cuts)).alias("_edges"))
-    smaller = F.filter("_edges", lambda edge: edge < F.col("value"))
-    sliced = join_on(rows, edges, keys).withColumn("_slice", F.size(smaller)).drop("_edges")
+    shares = F.array(*[F.lit(cut) for cut in cuts])
+    edges = rows.groupBy(*keys).agg(F.percentile_approx("value", shares).alias("_edges"))
+    passed = [(F.col("_edges")[i] < F.col("value")).cast("int") for i in range(len(cuts))]
+    sliced = join_on(rows, edges, keys).withColumn("_slice", reduce(add, passed)).drop("_edges")
     running = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
     slices = (
         sliced.groupBy(*keys, "_slice")
@@ -158,7 +169,7 @@ def values_at(
         left_over.withColumnRenamed("_slice", depth),
         [*keys, depth],
         wanted.select(*keys, F.col("_slice").alias(depth), F.col("_local").alias("rank")).distinct(),
-        group_rows,
+        group_rows=group_rows,
     )
     found = found.withColumnsRenamed({depth: "_slice", "rank": "_local"})
     return join_on(wanted, found, [*level, "_local"]).select(*keys, "rank", "value")
@@ -190,7 +201,9 @@ def exact_percentiles(
         .select(*keys, F.inline(F.array(*parts)))
     )
     present = rows.filter(F.col("value").isNotNull()).withColumn("copies", F.lit(1).cast("long"))
-    found = values_at(present, keys, targets.select(*keys, "rank").distinct(), group_rows)
+    around = {s + side for s in shares.values() for side in (-MARGIN, MARGIN)}
+    cuts = sorted(cut for cut in around if 0 < cut < 1)
+    found = values_at(present, keys, targets.select(*keys, "rank").distinct(), cuts, group_rows)
     weighted = F.col("part") * F.col("value")
     return (
         join_on(targets, found, [*keys, "rank"], "left")

@@ -82,7 +82,7 @@ def topk_or_dense(tokens: DataFrame, num_experts: int, top_k: int = 0) -> DataFr
 
 
 def capacity_enforce(
-    assigned: DataFrame, capacity_factor: float, group_rows: int = GROUP_ROWS
+    assigned: DataFrame, tokens: DataFrame, capacity_factor: float, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """Mark as ``kept`` the best assignments of each expert and batch, up to its capacity.
 
@@ -92,18 +92,17 @@ def capacity_enforce(
     if capacity_factor <= 0:
         return assigned.withColumn("kept", F.lit(True))
     batch = ["layer", "batch_id"]
-    sizes = assigned.groupBy(*batch).agg(
-        F.ceil(
-            F.lit(float(capacity_factor)) * F.count_if(F.col("choice") == 0) / F.max("num_experts")
-        ).alias("_capacity")
-    )
+    sizes = tokens.groupBy(*batch).agg(F.count("*").alias("_tokens"))
+    # A token queues once at most per expert, so its batch bounds every queue.
+    longest = sizes.agg(F.max("_tokens")).first()[0] or 0
     queue = row_positions(
-        assigned, [*batch, "expert_id"], [F.desc("logit"), "token_id"], "_place", group_rows
+        assigned, [*batch, "expert_id"], [F.desc("logit"), "token_id"], "_place", group_rows, longest
     )
+    capacity = F.ceil(F.lit(float(capacity_factor)) * F.col("_tokens") / F.col("num_experts"))
     return (
         queue.join(sizes, batch)
-        .withColumn("kept", F.col("_place") <= F.col("_capacity"))
-        .drop("_place", "_capacity")
+        .withColumn("kept", F.col("_place") <= capacity)
+        .drop("_place", "_tokens")
     )
 
 
@@ -126,31 +125,31 @@ def overflow_fraction(assigned: DataFrame, keys: Sequence[str] = ("layer",)) ->
     )
 
 
-def _per_layer(tokens: DataFrame) -> DataFrame:
-    """Token count and number of experts per layer."""
-    return tokens.groupBy("layer").agg(
-        F.count("*").alias("_tokens"), F.max(F.size("logits")).alias("_experts")
-    )
-
-
-def _grid(per_layer: DataFrame) -> DataFrame:
-    """One row per layer and expert, idle experts included."""
+def _grid(tokens: DataFrame, num_experts: int | None) -> DataFrame:
+    """One row per layer and expert, idle experts included, with the layer's token count."""
+    # A known number of experts saves reading the logits.
+    number = F.lit(num_experts) if num_experts else F.max(F.size("logits"))
+    layers = tokens.groupBy("layer").agg(F.count("*").alias("_tokens"), number.alias("_experts"))
     experts = F.explode(F.sequence(F.lit(0), F.col("_experts") - 1)).alias("expert_id")
-    return per_layer.select("layer", "_tokens", experts)
+    return layers.select("layer", "_tokens", experts)
 
 
-def mean_expert_weights(tokens: DataFrame, weights: DataFrame) -> DataFrame:
+def mean_expert_weights(
+    tokens: DataFrame, weights: DataFrame, num_experts: int | None = None
+) -> DataFrame:
     """Mean weight per layer and expert over all tokens, absent weights counting as 0."""
     sums = weights.groupBy("layer", "expert_id").agg(F.sum("weight").alias("_sum"))
     mean = F.coalesce("_sum", F.lit(0.0)) / F.col("_tokens")
     return (
-        _grid(_per_layer(tokens))
+        _grid(tokens, num_experts)
         .join(sums, ["layer", "expert_id"], "left")
         .select("layer", "expert_id", mean.alias("mean_weight"))
     )
 
 
-def expert_table(tokens: DataFrame, assigned: DataFrame) -> DataFrame:
+def expert_table(
+    tokens: DataFrame, assigned: DataFrame, num_experts: int | None = None
+) -> DataFrame:
     """Per layer and expert: mean weight, tokens before (``raw_tokens``) and after capacity
     (``tokens``), and the share of all tokens that is dispatched.
 
@@ -161,7 +160,7 @@ def expert_table(tokens: DataFrame, assigned: DataFrame) -> DataFrame:
         F.count("*").alias("_raw"),
         F.count_if("kept").alias("_kept"),
     )
-    cells = _grid(_per_layer(tokens)).join(sums, ["layer", "expert_id"], "left")
+    cells = _grid(tokens, num_experts).join(sums, ["layer", "expert_id"], "left")
     kept = F.coalesce("_kept", F.lit(0))
     return cells.select(
         "layer",

@@ -65,11 +65,13 @@ def _last_key(df: DataFrame, id_col: str, wanted: Column, seed: int) -> Column:
     ``wanted`` is an expression over ``_total``, the number of rows.
     """
     keyed = df.select(hash_key(F.col(id_col), seed).alias("_key"))
-    ends = _bucket_ends(keyed)
-    total = ends.select(F.max("_upto").alias("total")).scalar()
+    everything = Window.orderBy("_bucket").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
     # One bucket at most holds the cut, hence a one-row broadcast.
     cut = (
-        ends.withColumn("_total", total)
+        _bucket_ends(keyed)
+        .withColumn("_total", F.sum("_rows").over(everything))
         .withColumn("_wanted", F.least(wanted, F.col("_total")))
         .filter((F.col("_wanted") > F.col("_upto") - F.col("_rows")) & (F.col("_wanted") <= F.col("_upto")))
         .select("_bucket", (F.col("_wanted") - F.col("_upto") + F.col("_rows")).alias("_rank"))

@@ -114,7 +114,7 @@ def read_run_artifacts(spark, sf_dir):
 @query
 def explode_snapshot(spark, sf_dir):
     tokens = views.router_tokens(spark, sf_dir)
-    means = routing.mean_expert_weights(tokens, routing.router_softmax(tokens))
+    means = routing.mean_expert_weights(tokens, routing.router_softmax(tokens), views.EXPERTS)
     pair = F.struct("expert_id", F.round("mean_weight", 6).alias("w"))
     layers = means.groupBy("layer").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
     entry = F.struct(F.col("layer").cast("string"), F.transform("pairs", lambda p: p["w"]))
@@ -410,22 +410,23 @@ def _assigned(spark, sf_dir):
 
 
 def _kept(spark, sf_dir):
-    return routing.capacity_enforce(_assigned(spark, sf_dir), CAPACITY_FACTOR)
+    tokens = views.router_tokens(spark, sf_dir)
+    return routing.capacity_enforce(routing.topk_route(tokens), tokens, CAPACITY_FACTOR)
 
 
 def _soft_means(spark, sf_dir):
     tokens = views.router_tokens(spark, sf_dir)
-    return routing.mean_expert_weights(tokens, routing.router_softmax(tokens))
+    return routing.mean_expert_weights(tokens, routing.router_softmax(tokens), views.EXPERTS)
 
 
 def _sigmoid_means(spark, sf_dir):
     tokens = views.router_tokens(spark, sf_dir)
-    return routing.mean_expert_weights(tokens, routing.router_sigmoid(tokens))
+    return routing.mean_expert_weights(tokens, routing.router_sigmoid(tokens), views.EXPERTS)
 
 
 def _experts(spark, sf_dir):
     sparse = routing.renormalize_kept(_kept(spark, sf_dir))
-    return routing.expert_table(views.router_tokens(spark, sf_dir), sparse)
+    return routing.expert_table(views.router_tokens(spark, sf_dir), sparse, views.EXPERTS)
 
 
 def _counts(spark, sf_dir):
@@ -507,7 +508,8 @@ def balance_dense(spark, sf_dir):
 
 @query
 def balance_sparse(spark, sf_dir):
-    experts = routing.expert_table(views.router_tokens(spark, sf_dir), _kept(spark, sf_dir))
+    tokens = views.router_tokens(spark, sf_dir)
+    experts = routing.expert_table(tokens, _kept(spark, sf_dir), views.EXPERTS)
     return rounded(routing.balance_sparse(_soft_means(spark, sf_dir), experts))
 
 

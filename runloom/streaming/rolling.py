@@ -10,21 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from runloom.functions.rolling import sliding_percentiles
 from runloom.operators.series import ROLLING, ROLLING_ROWS
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-#: Rows whose frames are worked out together.
-BLOCK = 10_000
-
-
-def _interpolated(ordered: np.ndarray, counts: np.ndarray, share: float) -> np.ndarray:
-    """Percentile of the first ``counts`` values of each sorted row."""
-    spot = (counts - 1) * share
-    low, row = np.floor(spot).astype(int), np.arange(len(counts))
-    lower, upper = ordered[row, low], ordered[row, np.ceil(spot).astype(int)]
-    return lower + (upper - lower) * (spot - low)
-
 
 class _LastValues(StatefulProcessor):
     """Keeps the last values of a key; its state never exceeds ``rows`` numbers."""
@@ -41,18 +31,11 @@ class _LastValues(StatefulProcessor):
         earlier = [row[0] for row in self.last.get()] if self.last.exists() else []
         held = np.asarray(earlier[-(self.rows - 1):] if self.rows > 1 else [], dtype=float)
         values = np.concatenate([held, new[self.value].to_numpy(dtype=float)])
-        padded = np.concatenate([np.full(self.rows - 1, np.nan), values])
-        frames = np.lib.stride_tricks.sliding_window_view(padded, self.rows)[len(held):]
-        counts = np.minimum(np.arange(len(held), len(values)) + 1, self.rows)
+        results = sliding_percentiles(values, self.rows, list(ROLLING.values()), skip=len(held))
         self.last.put([(float(v),) for v in values[-self.rows:]])
-        for start in range(0, len(new), BLOCK):
-            block = slice(start, start + BLOCK)
-            out = new.iloc[block][[*self.order, self.value]]
-            out.insert(0, self.key, key[0])
-            ordered = np.sort(frames[block], axis=1)  # absent values come last
-            for name, share in ROLLING.items():
-                out[name] = _interpolated(ordered, counts[block], share)
-            yield out
+        out = new[[*self.order, self.value]].assign(**dict(zip(ROLLING, results)))
+        out.insert(0, self.key, key[0])
+        yield out
 
     def close(self) -> None:
         pass

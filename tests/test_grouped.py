@@ -127,7 +127,7 @@ def test_capacity_of_a_crowded_expert(spark, limit):
     df = spark.createDataFrame(
         rows, "layer INT, batch_id INT, token_id INT, num_experts INT, choice INT, expert_id INT, logit DOUBLE"
     )
-    got = {r["token_id"]: r["kept"] for r in capacity_enforce(df, 1.25, limit).collect()}
+    got = {r["token_id"]: r["kept"] for r in capacity_enforce(df, df, 1.25, limit).collect()}
     capacity = int(np.ceil(1.25 * 200 / 4))
     for expert in range(4):
         queue = sorted((r for r in rows if r[5] == expert), key=lambda r: (-r[6], r[2]))

@@ -92,7 +92,7 @@ def test_softmax_form_is_dense_without_k(tokens, k):
 
 @pytest.mark.parametrize("factor", [0.05, 0.5, 1.25])
 def test_capacity(tokens, logits, factor):
-    assigned = routing.capacity_enforce(routing.topk_route(tokens), factor)
+    assigned = routing.capacity_enforce(routing.topk_route(tokens), tokens, factor)
     chosen, kept = capped(logits, 2, factor)
     assert (dense(assigned.collect(), "kept") == kept).all()
     weights = dense(routing.renormalize_kept(assigned).collect())
@@ -106,13 +106,13 @@ def test_capacity(tokens, logits, factor):
 
 
 def test_capacity_off(tokens):
-    off = routing.capacity_enforce(routing.topk_route(tokens), 0)
+    off = routing.capacity_enforce(routing.topk_route(tokens), tokens, 0)
     assert off.filter(~F.col("kept")).count() == 0
 
 
 @pytest.fixture(scope="module")
 def kept(tokens):
-    return routing.capacity_enforce(routing.topk_route(tokens), 1.25)
+    return routing.capacity_enforce(routing.topk_route(tokens), tokens, 1.25)
 
 
 def test_load(tokens, logits, kept):
