@@ -29,10 +29,19 @@ def flatten_first_turns(
     return turns.groupBy(key).agg(*[_first_text(r).alias(name) for r, name in columns.items()])
 
 
-def flatten_messages(messages: Column, role: str) -> Column:
-    """First non-empty ``content`` of a role in an ``ARRAY<STRUCT<role, content>>``."""
-    spoken = F.filter(messages, lambda m: (m["role"] == role) & (m["content"] != ""))
-    return F.coalesce(F.get(spoken, F.lit(0))["content"], F.lit(""))
+def flatten_messages(
+    chats: DataFrame,
+    messages: str = "messages",
+    columns: dict[str, str] | None = None,
+) -> DataFrame:
+    """The same for a nested ``ARRAY<STRUCT<role, content>>`` column, row by row."""
+    columns = columns or {"user": "instruction", "assistant": "response"}
+
+    def first(role: str) -> Column:
+        spoken = F.filter(messages, lambda m: (m["role"] == role) & (m["content"] != ""))
+        return F.coalesce(F.get(spoken, F.lit(0))["content"], F.lit(""))
+
+    return chats.withColumns({name: first(role) for role, name in columns.items()}).drop(messages)
 
 
 def filter_complete_pairs(

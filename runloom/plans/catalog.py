@@ -179,15 +179,12 @@ def flatten_messages(spark, sf_dir):
     messages = F.transform(
         "conversations", lambda t: F.struct(t["from"].alias("role"), t["value"].alias("content"))
     )
-    # A chat beyond one part answers from the first part that has the role.
-    parts = nested.select(
-        "conv_id",
-        F.col("part").alias("turn"),
-        chats.flatten_messages(messages, "human").alias("user"),
-        chats.flatten_messages(messages, "gpt").alias("assistant"),
-    )
-    turns = parts.unpivot(["conv_id", "turn"], ["user", "assistant"], "role", "text")
-    return chats.flatten_first_turns(turns)
+    columns = {"human": "instruction", "gpt": "response"}
+    parts = chats.flatten_messages(nested.withColumn("messages", messages), columns=columns)
+    # A chat in several parts answers from the first part that has the role.
+    turns = parts.select("conv_id", F.col("part").alias("turn"), "instruction", "response")
+    turns = turns.unpivot(["conv_id", "turn"], ["instruction", "response"], "role", "text")
+    return chats.flatten_first_turns(turns, columns={c: c for c in columns.values()})
 
 
 @query
@@ -298,11 +295,20 @@ def expand_templates(spark, sf_dir):
 # ---- encoding ----
 
 
+def _tokenized(spark, sf_dir, max_length=None):
+    documents = spread_small(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = encoding.tokenize(documents, max_length=max_length, tokenizer=portable_tokenizer)
+    return ids.select("doc_id", F.size("input_ids").alias("tokens"), listed("input_ids").alias("input_ids"))
+
+
 @query
 def tokenize(spark, sf_dir):
-    documents = spread_small(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    cut = encoding.tokenize(documents, max_length=512, tokenizer=portable_tokenizer)
-    return cut.select("doc_id", F.size("input_ids").alias("tokens"), listed("input_ids").alias("input_ids"))
+    return _tokenized(spark, sf_dir)
+
+
+@query
+def tokenize_truncated(spark, sf_dir):
+    return _tokenized(spark, sf_dir, max_length=512)
 
 
 def _utf8_encoder():
@@ -352,7 +358,8 @@ def pad_batches(spark, sf_dir):
 @query
 def split_counts(spark, sf_dir):
     turns = views.table(spark, sf_dir, "conversations")
-    return encoding.split_counts(prepare.encode_chats(turns, fraction=0.1))
+    pairs = chats.flatten_first_turns(turns)
+    return encoding.split_counts(prepare.encode_pairs(pairs, "conv_id", fraction=0.1))
 
 
 # ---- latency ----
@@ -651,7 +658,9 @@ def run_summary_wide(spark, sf_dir):
 def stream_rolling_percentiles(spark, sf_dir):
     out, state = scratch_path(spark, "stream"), scratch_path(spark, "state")
     schema = views.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(sf_dir, pathGlobFilter="events.parquet")
+    # The limit bounds what one key can bring into a task per micro-batch.
+    source = spark.readStream.schema(schema).option("maxBytesPerTrigger", 2**30)
+    stream = source.parquet(sf_dir, pathGlobFilter="events.parquet")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", rolling.STATE_STORE)
     result = rolling.stream_rolling_percentiles(stream, "event_type", ["event_id"], "value")
     run = (

@@ -394,7 +394,9 @@ def statements() -> dict[str, str]:
         "expand_templates": _with(_template_sql()),
         # encoding
         "tokenize": f"SELECT doc_id, CAST(len(ids) AS INT) AS tokens, {_joined('ids')} AS input_ids FROM "
-        f"(SELECT doc_id, {_IDS.format(f'({_WORDS.format("text")})[1:512]')} AS ids FROM documents)",
+        f"(SELECT doc_id, {_IDS.format(_WORDS.format('text'))} AS ids FROM documents)",
+        "tokenize_truncated": f"SELECT doc_id, CAST(len(ids) AS INT) AS tokens, {_joined('ids')} AS input_ids "
+        f"FROM (SELECT doc_id, ({_IDS.format(_WORDS.format('text'))})[1:512] AS ids FROM documents)",
         "tokenizer_plugin": "SELECT doc_id, CAST(strlen(text) AS INT) AS tokens FROM documents",
         "encode_masked": _example(_encoded("prompts", "prompt", "output", 512)),
         "filter_trainable": _example(

@@ -59,9 +59,9 @@ def encode_instructions(
     return encoding.encode_words(records.render_prompt(split), max_length=max_length)
 
 
-def encode_chats(
-    turns: DataFrame,
-    key: str = "conv_id",
+def encode_pairs(
+    pairs: DataFrame,
+    id_col: str,
     max_length: int = 1024,
     fraction: float = 0.05,
     max_samples: int | None = None,
@@ -69,15 +69,14 @@ def encode_chats(
     tokenizer: Tokenizer | None = None,
     eos: str = "</s>",
 ) -> DataFrame:
-    """Chats to split, masked, trainable examples.
+    """First turns of chats (``instruction, response``) to split, masked, trainable examples.
 
     Incomplete chats are counted in the split, then dropped before any text is
     rendered or tokenized.
     """
-    pairs = chats.flatten_first_turns(turns, key)
-    pairs = sampling.sample_exact(pairs, key, max_samples, seed)
-    pairs = sampling.split_library(pairs, key, fraction, seed)
-    prompts = records.render_prompt(chats.filter_complete_pairs(pairs), extra=None)
+    pool = sampling.sample_exact(pairs, id_col, max_samples, seed)
+    split = sampling.split_library(pool, id_col, fraction, seed)
+    prompts = records.render_prompt(chats.filter_complete_pairs(split), extra=None)
     if tokenizer is None:
         encoded = encoding.encode_words(prompts, response="response", max_length=max_length)
     else:

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from runloom.operators import summary
-from runloom.plans.prepare import encode_chats, encode_instructions, prepare_training_data, validate_data_format
+from runloom.operators.chats import flatten_first_turns
+from runloom.plans.prepare import encode_instructions, encode_pairs, prepare_training_data, validate_data_format
 from runloom.sources import records, run_logs
 
 ROWS = [
@@ -81,7 +82,8 @@ def test_instruction_job(spark):
 
 def test_chat_job(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    rows = encode_chats(turns, max_samples=10, fraction=0.25).collect()
+    pairs = flatten_first_turns(turns)
+    rows = encode_pairs(pairs, "conv_id", max_samples=10, fraction=0.25).collect()
     assert 0 < len(rows) <= 10 and {r.split for r in rows} <= {"train", "validation"}
 
 
