@@ -18,6 +18,8 @@ from runloom.session import checkpointed
 
 #: Rows of one group that a single task may sort.
 GROUP_ROWS = 2_000_000
+#: Most ranges of a spread sort; beyond it ranges grow instead.
+MAX_RANGES = 50_000
 #: Values of one group that ``percentile`` may hold in memory; it cannot spill them.
 PERCENTILE_ROWS = 200_000
 #: Cuts of a large group: this far on both sides of a wanted share, then evenly.
@@ -54,18 +56,19 @@ def row_positions(
     if (largest_group(df, keys) if largest is None else largest) <= group_rows:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("long"))
-    return _spread_positions(df, keys, order, name)
+    return _spread_positions(df, keys, order, name, group_rows)
 
 
 def _spread_positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str, range_rows: int
 ) -> DataFrame:
     """Positions by a range sort: rows before this range, plus the place within the range.
 
     Range boundaries come from a sample and may differ between runs, so the range
     of each row is checkpointed before it is used twice.
     """
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(partitions, min(df.count() // range_rows + 1, MAX_RANGES))
     spread = checkpointed(
         df.repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id())
     )
@@ -109,7 +112,7 @@ def chunked(
     first = F.greatest(F.floor((index - after) / size), F.lit(0))
     last = F.floor((index + before) / size)
     return (
-        _spread_positions(df, keys, order, "_position")
+        _spread_positions(df, keys, order, "_position", group_rows)
         .select("*", F.explode(F.sequence(first, last)).alias("_chunk"))
         .withColumn("_own", F.col("_chunk") == own)
         .drop("_position")

@@ -657,9 +657,8 @@ def run_summary_wide(spark, sf_dir):
 @query
 def stream_rolling_percentiles(spark, sf_dir):
     out, state = scratch_path(spark, "stream"), scratch_path(spark, "state")
-    schema = views.table(spark, sf_dir, "events").schema
     # The limit bounds what one key can bring into a task per micro-batch.
-    source = spark.readStream.schema(schema).option("maxBytesPerTrigger", 2**30)
+    source = spark.readStream.schema(views.SCHEMAS["events"]).option("maxBytesPerTrigger", 2**30)
     stream = source.parquet(sf_dir, pathGlobFilter="events.parquet")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", rolling.STATE_STORE)
     result = rolling.stream_rolling_percentiles(stream, "event_type", ["event_id"], "value")

@@ -13,8 +13,18 @@ LAYERS = 8
 EXPERTS = 8
 
 
+#: Columns of the given tables; a stated schema saves a job per read.
+SCHEMAS = {
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+    "value DOUBLE, props STRING",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
