@@ -7,6 +7,8 @@ from math import lcm
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runloom.operators.sampling import SEED, shuffle_positions
+
 #: Templates per category.
 TEMPLATES = {
     "math": [
@@ -75,7 +77,7 @@ FILLS = {
 
 
 def rendered_slots(spark, templates=TEMPLATES, fills=FILLS) -> DataFrame:
-    """The distinct prompts: ``category, slot, prompt_text`` and ``slots`` per category.
+    """The distinct prompts: ``category_no, category, slot, prompt_text``.
 
     Templates and fillings are taken in turn, so category texts repeat after the
     least common multiple of their numbers. If a filling lacks a key of its
@@ -87,10 +89,10 @@ def rendered_slots(spark, templates=TEMPLATES, fills=FILLS) -> DataFrame:
         period = lcm(len(texts), len(values))
         for slot in range(period):
             filling = {k: str(v) for k, v in values[slot % len(values)].items()}
-            rows.append((number, category, slot, period, texts[slot % len(texts)], filling))
+            rows.append((number, category, slot, texts[slot % len(texts)], filling))
     raw = spark.createDataFrame(
         rows,
-        "category_no INT, category STRING, slot INT, slots INT, template STRING, fill MAP<STRING, STRING>",
+        "category_no INT, category STRING, slot INT, template STRING, fill MAP<STRING, STRING>",
     )
     wanted = F.regexp_extract_all("template", F.lit(r"\{(\w+)\}"), F.lit(1))
     complete = F.size(F.array_except(wanted, F.map_keys("fill"))) == 0
@@ -103,25 +105,30 @@ def rendered_slots(spark, templates=TEMPLATES, fills=FILLS) -> DataFrame:
         "",
     )
     return raw.select(
-        "category_no", "category", "slot", "slots",
+        "category_no", "category", "slot",
         F.when(complete, text).otherwise(F.col("template")).alias("prompt_text"),
     )
 
 
 def expand_templates(
-    requests: DataFrame, index: str, templates=TEMPLATES, fills=FILLS
+    requests: DataFrame, id_col: str, templates=TEMPLATES, fills=FILLS, seed: int = SEED
 ) -> DataFrame:
-    """Give each request a prompt; ``index`` numbers the requests from 0.
+    """Give each request a prompt.
 
-    Requests go round the categories; the n-th request of a category gets its
-    n-th text. The join side has at most a few dozen rows, fixed by the lists.
+    Requests in seeded random order go round the categories, and the n-th request of
+    a category gets its n-th text: every category serves equally many, shuffled. The
+    joined side has at most a few dozen rows, fixed by the lists.
     """
     slots = rendered_slots(requests.sparkSession, templates, fills)
     periods = F.array(*[F.lit(lcm(len(templates[c]), len(fills[c]))) for c in templates])
     kinds = len(templates)
-    number = F.pmod(F.col(index), F.lit(kinds)).cast("int")
-    ordinal = F.floor(F.col(index) / kinds)
-    placed = requests.withColumn("category_no", number).withColumn(
-        "slot", F.pmod(ordinal, periods[F.col("category_no")]).cast("int")
+    number = F.col("_position") - 1
+    placed = shuffle_positions(requests, id_col, seed, "_position").withColumn(
+        "category_no", F.pmod(number, F.lit(kinds)).cast("int")
+    )
+    slot = F.pmod(F.floor(number / kinds), periods[F.col("category_no")]).cast("int")
+    return (
+        placed.withColumn("slot", slot)
+        .join(F.broadcast(slots), ["category_no", "slot"])
+        .drop("category_no", "slot", "_position")
     )
-    return placed.join(F.broadcast(slots.drop("slots")), ["category_no", "slot"]).drop("category_no", "slot")

@@ -185,9 +185,10 @@ def _template_sql() -> str:
                 f"({number}, {_text(category)}, {slot}, {lcm(len(texts), len(fills))}, "
                 f"CASE WHEN {filled} LIKE '%{{%' THEN {_text(template)} ELSE {filled} END)"
             )
-    return f"""SELECT r.id, r.workload, s.category, s.prompt_text FROM requests r
+    return f"""SELECT r.id, r.workload, s.category, s.prompt_text FROM
+      (SELECT id, workload, position - 1 AS no FROM ({_hash_rank('requests', 'id')})) r
       JOIN (VALUES {', '.join(rows)}) s(no, category, slot, slots, prompt_text)
-      ON s.no = r.id % 4 AND s.slot = (r.id // 4) % s.slots"""
+      ON s.no = r.no % 4 AND s.slot = (r.no // 4) % s.slots"""
 
 
 def _rolling(order: str = "event_id") -> str:
