@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: the characters that count as white space when text is stripped.
 BLANK = (
@@ -49,3 +50,17 @@ def softmax(logits: Column) -> Column:
 
 def sigmoid(logit: Column) -> Column:
     return 1 / (1 + F.exp(-logit))
+
+
+def micros(df: DataFrame, name: str) -> Column:
+    """Microseconds of a time column on its own clock.
+
+    A timestamp without zone is taken apart instead of cast: a cast would read it in
+    the session's zone, where a change of daylight saving time shifts differences.
+    """
+    ts = F.col(name)
+    if not isinstance(df.schema[name].dataType, T.TimestampNTZType):
+        return F.unix_micros(ts)
+    day = F.unix_date(ts.cast("date")).cast("long")
+    seconds = day * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runloom.functions.columns import micros
 from runloom.operators.grouped import PERCENTILE_ROWS, exact_percentiles, join_on
 
 #: Reported percentiles.
@@ -132,9 +133,6 @@ def arrival_offsets(events: DataFrame, keys: Sequence[str], ts: str) -> DataFram
     per group replaces an ordered window over the whole group.
     """
     first = events.groupBy(*keys).agg(F.min(ts).alias("_first"))
-    micros = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_first").cast("timestamp"))
-    return (
-        join_on(events, first, keys)
-        .withColumn("arrival_s", micros / 1_000_000)
-        .drop("_first")
-    )
+    timed = join_on(events, first, keys)
+    elapsed = micros(timed, ts) - micros(timed, "_first")
+    return timed.withColumn("arrival_s", elapsed / 1_000_000).drop("_first")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runloom.functions.columns import micros
 from runloom.functions.rolling import sliding_percentiles
 from runloom.operators.grouped import (
     GROUP_ROWS,
@@ -38,9 +39,9 @@ def step_durations(
     """Milliseconds since the previous mark of the key; null for the first mark."""
     rows = chunked(marks, keys, [ts, tie], before=1, group_rows=group_rows)
     window = Window.partitionBy(*keys, "_chunk").orderBy(ts, tie)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    elapsed = (micros - F.lag(micros).over(window)) / 1000
-    return rows.withColumn("elapsed_ms", elapsed).filter("_own").drop("_chunk", "_own")
+    timed = rows.withColumn("_micros", micros(rows, ts))
+    elapsed = (F.col("_micros") - F.lag("_micros").over(window)) / 1000
+    return timed.withColumn("elapsed_ms", elapsed).filter("_own").drop("_chunk", "_own", "_micros")
 
 
 def rolling_percentiles(

@@ -103,3 +103,21 @@ def test_summaries_keep_runs_without_metrics(spark):
     wide = {r.run: r for r in summary.run_summary_wide(runs, df, evals, report).collect()}
     assert (wide["r"].p99_latency_bursty, wide["r"].tail_amp_bursty) == (50.0, 4.052)
     assert wide["r"].p99_latency_homogeneous is None and wide["bare"].tail_amp_bursty is None
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+@pytest.mark.parametrize("kind", ["TIMESTAMP_NTZ", "TIMESTAMP"])
+def test_times_do_not_depend_on_the_zone(spark, zone, kind):
+    """Daylight saving time begins between the two times in one of the zones."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        mark = "Z" if kind == "TIMESTAMP" else ""
+        texts = spark.createDataFrame(
+            [(1, "k", f"2024-03-10 01:59:59.500001{mark}"), (2, "k", f"2024-03-10 04:00:00{mark}")], "id INT, key STRING, at STRING"
+        )
+        df = texts.select("id", "key", F.col("at").cast(kind).alias("ts"))
+        assert [r.arrival_s for r in latency.arrival_offsets(df, ["key"], "ts").orderBy("id").collect()] == [0, 7200.499999]
+        assert [r.elapsed_ms for r in series.step_durations(df, ["key"], "ts", "id").orderBy("id").collect()] == [None, 7200499.999]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
