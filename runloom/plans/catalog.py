@@ -40,7 +40,10 @@ def query(function: Query) -> Query:
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Sums of doubles depend on their order, so results are compared rounded."""
+    """Sums of doubles depend on their order, so results are compared rounded.
+
+    Ratios of counts get more places, where they cannot lie on the border of two values.
+    """
     doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
     return df.withColumns({c: F.round(c, places) + 0.0 for c in doubles})
 
@@ -480,7 +483,7 @@ def renormalize_kept(spark, sf_dir):
 
 @query
 def overflow_fraction(spark, sf_dir):
-    return rounded(routing.overflow_fraction(_kept(spark, sf_dir)))
+    return rounded(routing.overflow_fraction(_kept(spark, sf_dir)), 9)
 
 
 @query
@@ -535,7 +538,7 @@ def layer_metric_log(spark, sf_dir):
     # Two tables of layers x experts, read many times below.
     experts = checkpointed(_experts(spark, sf_dir))
     losses = routing.balance_sparse(checkpointed(_soft_means(spark, sf_dir)), experts)
-    return rounded(routing.layer_metric_log(routing.sparse_layer_stats(experts), losses))
+    return rounded(routing.layer_metric_log(routing.sparse_layer_stats(experts), losses), 9)
 
 
 @query

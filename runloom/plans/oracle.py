@@ -466,7 +466,9 @@ def statements() -> dict[str, str]:
             f"SELECT {tokens}, CAST(choice AS INT) AS choice, expert_id, logit, kept FROM kept", "logit"
         ),
         "renormalize_kept": _rounded(f"SELECT {tokens}, expert_id, kept, weight FROM renormed", "weight"),
-        "overflow_fraction": _rounded("SELECT * FROM overflow", "overflow_fraction", "dropped_share"),
+        "overflow_fraction": _rounded(
+            "SELECT * FROM overflow", "overflow_fraction", "dropped_share", places=9
+        ),
         "expert_load_stats": _rounded(
             "SELECT * REPLACE (CAST(hot_expert_count AS BIGINT) AS hot_expert_count, "
             "CAST(raw_tokens AS BIGINT) AS raw_tokens, CAST(kept_tokens AS BIGINT) AS kept_tokens) FROM load",
@@ -492,7 +494,7 @@ def statements() -> dict[str, str]:
             "(SELECT layer, 8 * sum(m * m) AS l FROM soft_means GROUP BY layer)",
             "balance_loss", places=10,
         ),
-        "layer_metric_log": _rounded(_layer_log(), "value"),
+        "layer_metric_log": _rounded(_layer_log(), "value", places=9),
         "global_expert_load": _rounded(
             "SELECT max(m) AS max_mean_expert_weight, avg(m) AS mean_expert_weight, "
             "max(m) / (avg(m) + 1e-8) AS max_mean_ratio, -sum(p * ln(p + 1e-9)) AS expert_weight_entropy "
