@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from math import lcm
 
 from runloom.functions.columns import BLANK
@@ -102,8 +103,6 @@ _IDS = "list_transform({0}, lambda t: CAST('0x' || substr(md5(t), 1, 7) AS INT)
 
 def _with(sql: str) -> str:
     """Prepend the views that a statement uses, in order."""
-    import re
-
     def mentions(text: str) -> set[str]:
         return {name for name in VIEWS if re.search(rf"\b{name}\b", text)}
 
