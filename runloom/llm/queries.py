@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import pieces, simhash, substrings, suffix_tree, toxicity
+from runloom.llm import (
+    chat_tree,
+    common,
+    contamination,
+    fixity,
+    licenses,
+    line_rules,
+    pieces,
+    simhash,
+    substrings,
+    suffix_tree,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,6 +110,68 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as WARC files against a replica in which, by rule, some records are changed, lost or added."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    records = fixity.layout(pages, "page_id", "url", "html", per_file=1000)
+    damage = F.col("page") % 97
+    flipped = F.concat(F.col("record").substr(1, 40), F.lit(b"?"), F.col("record").substr(42, 2**31 - 1))
+    replica = records.where(damage != 31).withColumn("record", F.when(damage == 13, flipped).otherwise(F.col("record")))
+    added = records.where(F.col("page") % 997 == 7).withColumn("offset", F.col("offset") + 1)
+    found = fixity.audit(fixity.leaves(records), fixity.leaves(replica.unionByName(added)))
+    return found.select(
+        "file", "offset", "kind", "left_size", "right_size", "left_hash", "right_hash", "left_root", "right_root"
+    )
+
+
+@query
+def op2_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = licenses.scan(docs)
+    return found.select(
+        "doc_id",
+        F.array_join("license_sentences", ";").alias("sentence_ids"),
+        F.array_join("licenses", ";").alias("licenses"),
+        "n_unknown",
+    )
+
+
+@query
+def op5_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    forest, leaves = chat_tree.format_forest(turns.unionByName(extra), ranks, pattern)
+    read = chat_tree.read_back(common.written(forest, "forest"), leaves, ranks, pattern)
+    return read.select(
+        F.col("conv").alias("conv_id"),
+        "n_turns",
+        digest(F.col("turns")).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        digest(F.col("loss")).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contamination.find(docs, benchmark)
+
+
+@query
+def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    return line_rules.judge(docs)
+
+
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express, for DuckDB."""
     return dict(SQL)
