@@ -22,7 +22,7 @@ WINDOW = 8
 
 def normalised(line: Column) -> Column:
     """Letters and digits in lower case, digits alike, anything else one blank."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[^\\p{L}\\p{N}]+", " "), "[0-9]", "0"))
+    return F.translate(F.trim(F.regexp_replace(F.lower(line), "[^\\p{L}\\p{N}]+", " ")), "123456789", "000000000")
 
 
 def _repeated_words(windows: Column) -> Column:
@@ -50,10 +50,12 @@ def base_figures(docs: DataFrame, text_col: str, **kept: Column) -> DataFrame:
     rows = docs.select(*[c.alias(n) for n, c in kept.items()], text.alias("text_"))
     rows = rows.withColumn("words_", common.words_of(F.col("text_")))
     rows = rows.withColumn("hashes_", F.transform("words_", lambda w: F.xxhash64(w)))
-    each = F.sequence(F.lit(0), F.size("hashes_") - WINDOW)
-    window = F.transform(each, lambda i: F.xxhash64(*[F.get(F.col("hashes_"), i + k) for k in range(WINDOW)]))
+    # Hashes of 2, 4, then 8 words, each from two of the one before; what runs over the end is cut off.
+    for name, source, step in (("twos_", "hashes_", 1), ("fours_", "twos_", 2), ("eights_", "fours_", 4)):
+        rows = rows.withColumn(name, F.transform(source, lambda h, i: F.xxhash64(h, F.get(F.col(source), i + step))))
     none = F.array().cast("array<bigint>")
-    rows = rows.withColumn("windows_", F.when(F.size("hashes_") >= WINDOW, window).otherwise(none))
+    whole = F.slice("eights_", 1, F.size("hashes_") - (WINDOW - 1))
+    rows = rows.withColumn("windows_", F.when(F.size("hashes_") >= WINDOW, whole).otherwise(none))
     lines = F.filter(F.split("text_", "\n"), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]"))
     rows = rows.withColumn("lines_", lines)
     repeats = F.size(F.array_distinct("windows_")) < F.size("windows_")
