@@ -143,7 +143,7 @@ def _find_size(
     windows = common.written(windows.withColumn("fp", simhash(F.col("shingles"))), "windows")
     masks = F.array(*[F.lit(m) for m in near_masks(radius // BLOCKS)])
     probes = items.withColumn("b", F.explode(block_values(F.col("item_fp"))))
-    probes = probes.select("item", "size", "item_fp", "item_shingles", "b.block", "b.value", F.explode(masks).alias("mask"))
+    probes = probes.select("item", "size", "item_fp", "b.block", "b.value", F.explode(masks).alias("mask"))
     probes = probes.withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
     asked = windows.withColumn("b", F.explode(block_values(F.col("fp")))).select("*", "b.block", "b.value").drop("b")
     near = asked.join(_maybe_broadcast(probes), ["size", "block", "value"])
@@ -153,6 +153,7 @@ def _find_size(
     differing = lambda k: F.bit_count(F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("item_fp")), BLOCK_BITS * k).bitwiseAND(F.lit(byte)))
     meeting = F.coalesce(*[F.when(differing(k) <= radius // BLOCKS, F.lit(k)) for k in range(BLOCKS)])
     near = near.where(F.col("block") == meeting)
+    near = near.join(_maybe_broadcast(items.select(F.col("item").alias("item_"), "item_shingles")), F.col("item").eqNullSafe(F.col("item_")))
     near = near.withColumn("similarity", similarity(F.col("shingles"), F.col("item_shingles")))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "stop"))
     passed = near.where(F.col("similarity") >= threshold).groupBy("id", "item")
