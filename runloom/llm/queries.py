@@ -175,3 +175,66 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express, for DuckDB."""
     return dict(SQL)
+
+
+SQL["op9_line_frequency"] = rf"""WITH {WORDS},
+figures AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(len(array_to_string(ws, '')), 0) AS word_chars,
+    len(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS ls, ws, source, text
+  FROM words JOIN documents USING (doc_id)),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (
+  SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, ws FROM figures WHERE len(ws) >= 8)),
+twice AS (SELECT doc_id, k FROM windows GROUP BY doc_id, k HAVING count(*) > 1),
+repeated AS (
+  SELECT doc_id, count(DISTINCT i + s) AS n FROM windows JOIN twice USING (doc_id, k), range(8) r(s) GROUP BY doc_id),
+base AS (
+  SELECT doc_id, source, text, n_words, word_chars, n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words FROM figures LEFT JOIN repeated USING (doc_id)),
+lines AS (
+  SELECT source, text, line, sum(len(line)) AS size FROM (
+    SELECT source, text,
+      regexp_replace(trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), '[0-9]', '0', 'g') AS line
+    FROM (SELECT source, text, unnest(string_split(text, chr(10))) AS x FROM documents))
+  WHERE line <> '' GROUP BY ALL),
+often AS (
+  SELECT source, line FROM lines GROUP BY source, line
+  HAVING count(*) > 20 AND count(*) > 0.1 * (SELECT count(DISTINCT o.text) FROM lines o WHERE o.source = lines.source)),
+shares AS (
+  SELECT l.source, l.text, coalesce(sum(size) FILTER (WHERE o.line IS NOT NULL), 0) / sum(size) AS share
+  FROM lines l LEFT JOIN often o ON l.source = o.source AND l.line = o.line GROUP BY l.source, l.text)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines,
+  n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(share, 0) <= 0.5 AS kept,
+  CAST(coalesce(share, 0) AS DOUBLE) AS common_share
+FROM base LEFT JOIN shares USING (source, text)"""
+
+SQL["op7_decontamination"] = r"""WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws
+  FROM documents),
+items AS (
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS iw
+  FROM benchmark),
+item_runs AS (
+  SELECT item_id, len(iw) AS size, list_transform(range(1, len(iw) - 3), lambda i: array_to_string(iw[i:i + 4], ' ')) AS b
+  FROM items WHERE len(iw) >= 5),
+doc_runs AS (
+  SELECT doc_id, len(ws) AS n, list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) AS a
+  FROM docs WHERE len(ws) >= 5),
+marks AS (SELECT DISTINCT unnest(b) AS h, size FROM item_runs),
+places AS (SELECT doc_id, unnest(a) AS h, unnest(range(0, len(a))) AS p FROM doc_runs),
+starts AS (
+  SELECT DISTINCT doc_id, size, least(p, greatest(0, n - 4 - (size - 4))) AS start
+  FROM places JOIN marks USING (h) JOIN doc_runs USING (doc_id)),
+windows AS (
+  SELECT doc_id, size, start, least(n, start + size) AS stop, a[start + 1:start + size - 4] AS w
+  FROM starts JOIN doc_runs USING (doc_id)),
+pairs AS (
+  SELECT doc_id, item_id, start, stop, len(w) + len(b) AS total, list_sum(list_transform(list_distinct(list_intersect(w, b)),
+    lambda x: least(len(list_filter(w, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS shared
+  FROM windows JOIN item_runs USING (size)),
+scored AS (SELECT doc_id, item_id, start, stop, shared / (total - shared) AS similarity FROM pairs WHERE shared > 0),
+passed AS (SELECT * FROM scored WHERE similarity >= 0.8)
+SELECT doc_id, item_id, similarity, start AS first_word, stop - 1 AS last_word, n_windows
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r,
+  count(*) OVER (PARTITION BY doc_id, item_id) AS n_windows FROM passed) WHERE r = 1"""
