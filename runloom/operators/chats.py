@@ -51,13 +51,8 @@ def filter_complete_pairs(
     return pairs.filter((F.col(instruction) != "") & (F.col(response) != ""))
 
 
-def group_chat(turns: DataFrame, key: str = "conv_id", part_turns: int = 10_000) -> DataFrame:
-    """Turn rows to the nested "from/value" array.
-
-    ``(key, turn)`` is unique, so a part holds at most ``part_turns`` turns. An
-    ordinary chat is one row with part 0; a longer one goes on in further parts,
-    so that no array grows without bound.
-    """
+def group_chat(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Turn rows to the nested "from/value" array, one row per chat whatever its turn numbers."""
     speaker = F.create_map(*[F.lit(x) for pair in SPEAKERS.items() for x in pair])
     entry = F.struct(
         "turn",
@@ -65,12 +60,10 @@ def group_chat(turns: DataFrame, key: str = "conv_id", part_turns: int = 10_000)
         F.col("text").alias("value"),
     )
     return (
-        turns.withColumn("part", F.floor(F.col("turn") / part_turns))
-        .groupBy(key, "part")
+        turns.groupBy(key)
         .agg(F.array_sort(F.collect_list(entry)).alias("_turns"))
         .select(
             key,
-            "part",
             F.transform(
                 "_turns", lambda t: F.struct(t["from"].alias("from"), t["value"].alias("value"))
             ).alias("conversations"),

@@ -207,9 +207,9 @@ def exact_percentiles(
     around = {s + side for s in shares.values() for side in (-MARGIN, MARGIN)}
     cuts = sorted(cut for cut in around if 0 < cut < 1)
     found = values_at(present, keys, targets.select(*keys, "rank").distinct(), cuts, group_rows)
-    weighted = F.col("part") * F.col("value")
+    weighted = F.col("part") * F.col("value")  # a part of 0 is left out: 0 times infinity is no number
     return (
         join_on(targets, found, [*keys, "rank"], "left")
         .groupBy(*keys)
-        .agg(*[F.sum(F.when(F.col("name") == name, weighted)).alias(name) for name in shares])
+        .agg(*[F.sum(F.when((F.col("name") == name) & (F.col("part") > 0), weighted)).alias(name) for name in shares])
     )

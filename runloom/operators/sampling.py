@@ -16,8 +16,6 @@ from runloom.operators.grouped import row_positions
 from runloom.session import checkpointed
 
 SEED = 42
-#: Largest head that is taken by an ordinary top-n sort.
-HEAD_ROWS = 1_000
 
 
 def add_row_ids(df: DataFrame, name: str = "id") -> DataFrame:
@@ -96,16 +94,11 @@ def sample_exact(df: DataFrame, id_col: str, max_samples: int | None, seed: int
 
 
 def head_sample(df: DataFrame, order: str, rows: int) -> DataFrame:
-    """The first ``min(rows, n)`` rows by a unique column.
+    """The first ``min(rows, n)`` rows by a column, whatever their number.
 
-    A top-n sort gathers ``rows`` rows per input split in one task, so a longer
-    head is cut at its last value instead, found on that column alone.
+    Of rows with equal values at the cut any may be chosen, never more than are asked for.
     """
-    if rows <= HEAD_ROWS:
-        return df.orderBy(order).limit(rows)
-    placed = row_positions(df.select(order), [], [order], "_position")
-    last = placed.filter(F.col("_position") == rows).select(F.max(order).alias("last")).scalar()
-    return df.filter(F.coalesce(F.col(order) <= last, F.lit(True)))
+    return df.orderBy(order).limit(rows)
 
 
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = SEED) -> DataFrame:

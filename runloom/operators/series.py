@@ -103,7 +103,7 @@ def smooth_centered(
 
 def final_value(log: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Last value of each series, rounded to 4 places."""
-    return log.groupBy(*keys).agg(F.round(F.max_by("value", "step"), 4).alias("final_value"))
+    return log.groupBy(*keys).agg(F.round(F.max_by("value", F.struct("step", "value")), 4).alias("final_value"))
 
 
 def tail_mean(
@@ -113,7 +113,7 @@ def tail_mean(
 
     Spark limits every series to ``points`` rows before the shuffle.
     """
-    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("step")))
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("step"), F.desc("value")))
     return (
         log.withColumn("_newest", newest)
         .filter(F.col("_newest") <= points)

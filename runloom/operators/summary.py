@@ -53,7 +53,7 @@ def perplexity(loss: Column) -> Column:
 
 def _final(log: DataFrame, key: str, name: str) -> DataFrame:
     points = log.filter(F.col("tag") == TAGS[key])
-    return points.groupBy("run").agg(F.round(F.max_by("value", "step"), 4).alias(name))
+    return points.groupBy("run").agg(F.round(F.max_by("value", F.struct("step", "value")), 4).alias(name))
 
 
 def _tails(log: DataFrame, names: dict[str, str], points: int) -> DataFrame:

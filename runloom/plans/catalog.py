@@ -22,7 +22,7 @@ from runloom.operators import (
     templates,
 )
 from runloom.plans import prepare, views
-from runloom.session import checkpointed, scratch_path, spread_small
+from runloom.session import checkpointed, scratch_path
 from runloom.sources import records as record_files
 from runloom.sources import run_logs
 from runloom.streaming import rolling
@@ -79,8 +79,10 @@ def read_records_csv(spark, sf_dir):
 
 @query
 def read_split_files(spark, sf_dir):
-    path = _written_records(spark, sf_dir, ".jsonl")
-    paths = {"train": path, "validation": path}
+    path = scratch_path(spark, "records")
+    split = sampling.split_exact_floor(views.instructions(spark, sf_dir), "id")
+    record_files.write_splits(split.drop("id"), path)
+    paths = {name: f"{path}/split={name}" for name in ("train", "validation")}
     rows = record_files.read_split_files(spark, paths)
     return rows.groupBy("split").agg(
         F.count("*").alias("rows"), F.sum(F.length("instruction")).alias("chars")
@@ -183,11 +185,8 @@ def flatten_messages(spark, sf_dir):
         "conversations", lambda t: F.struct(t["from"].alias("role"), t["value"].alias("content"))
     )
     columns = {"human": "instruction", "gpt": "response"}
-    parts = chats.flatten_messages(nested.withColumn("messages", messages), columns=columns)
-    # A chat in several parts answers from the first part that has the role.
-    turns = parts.select("conv_id", F.col("part").alias("turn"), "instruction", "response")
-    turns = turns.unpivot(["conv_id", "turn"], ["instruction", "response"], "role", "text")
-    return chats.flatten_first_turns(turns, columns={c: c for c in columns.values()})
+    flat = chats.flatten_messages(nested.withColumn("messages", messages), columns=columns)
+    return flat.select("conv_id", *columns.values())
 
 
 @query
@@ -201,7 +200,6 @@ def group_chat(spark, sf_dir):
     lines = F.transform("conversations", lambda t: F.concat_ws(": ", t["from"], t["value"]))
     return nested.select(
         "conv_id",
-        "part",
         F.size("conversations").alias("turns"),
         F.concat_ws("\n", lines).alias("rendered"),
     )
@@ -299,7 +297,7 @@ def expand_templates(spark, sf_dir):
 
 
 def _tokenized(spark, sf_dir, max_length=None):
-    documents = spread_small(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = views.table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = encoding.tokenize(documents, max_length=max_length, tokenizer=portable_tokenizer)
     return ids.select("doc_id", F.size("input_ids").alias("tokens"), listed("input_ids").alias("input_ids"))
 
@@ -321,7 +319,7 @@ def _utf8_encoder():
 
 @query
 def tokenizer_plugin(spark, sf_dir):
-    documents = spread_small(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = views.table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = encoding.tokenize(documents, tokenizer=arrow_tokenizer(_utf8_encoder))
     return encoded.select("doc_id", F.size("input_ids").alias("tokens"))
 
@@ -662,8 +660,11 @@ def stream_rolling_percentiles(spark, sf_dir):
     out, state = scratch_path(spark, "stream"), scratch_path(spark, "state")
     # The limit bounds what one key can bring into a task per micro-batch.
     source = spark.readStream.schema(views.SCHEMAS["events"]).option("maxBytesPerTrigger", 2**30)
-    stream = source.parquet(sf_dir, pathGlobFilter="events.parquet")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", rolling.STATE_STORE)
+    # A pattern finds the table both as one file and as a folder of parts.
+    stream = source.parquet(f"{sf_dir}/events.parque[t]")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, rolling.STATE_STORE)
     result = rolling.stream_rolling_percentiles(stream, "event_type", ["event_id"], "value")
     run = (
         result.writeStream.option("checkpointLocation", state)
@@ -673,4 +674,5 @@ def stream_rolling_percentiles(spark, sf_dir):
         .start(out)
     )
     run.awaitTermination()
+    spark.conf.set(setting, before) if before else spark.conf.unset(setting)
     return rounded(spark.read.parquet(out))

@@ -19,11 +19,12 @@ VIEWS = {
       coalesce(min_by(text, turn) FILTER (WHERE role='user' AND text<>''), '') AS instruction,
       coalesce(min_by(text, turn) FILTER (WHERE role='assistant' AND text<>''), '') AS response
       FROM conversations GROUP BY conv_id""",
-    "instructions": """SELECT conv_id AS id,
-      coalesce(min_by(text, turn) FILTER (WHERE role='user' AND text<>''), '') AS instruction,
-      coalesce(min_by(text, turn) FILTER (WHERE role='system' AND text<>''), '') AS input,
-      coalesce(min_by(text, turn) FILTER (WHERE role='assistant' AND text<>''), '') AS output
-      FROM conversations GROUP BY conv_id""",
+    "instructions": """SELECT conv_id * 1000000 + turn AS id, text AS instruction, coalesce(setting, '') AS input,
+      CASE WHEN answered THEN answer ELSE '' END AS output FROM (SELECT *,
+        lead(role) OVER w = 'assistant' AS answered, lead(text) OVER w AS answer,
+        last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS setting
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+      WHERE role = 'user'""",
     "requests": """SELECT event_id AS id, event_type AS method,
       CASE user_id % 4 WHEN 0 THEN 'homogeneous' WHEN 1 THEN 'heterogeneous'
         WHEN 2 THEN 'bursty' ELSE 'mixed_semantic' END AS workload,
@@ -325,8 +326,10 @@ def statements() -> dict[str, str]:
         "read_records": _with("SELECT instruction, input, output FROM instructions"),
         "read_records_csv": _with("SELECT instruction, input, output FROM instructions"),
         "read_split_files": _with(
-            "SELECT split, count(*) AS rows, CAST(sum(length(instruction)) AS BIGINT) AS chars "
-            "FROM instructions, (VALUES ('train'), ('validation')) s(split) GROUP BY split"
+            "SELECT split, count(*) AS rows, CAST(sum(n) AS BIGINT) AS chars FROM ("
+            "SELECT CASE WHEN row_number() OVER (ORDER BY md5(concat('42:', id)), CAST(id AS VARCHAR)) "
+            "<= floor(count(*) OVER () * 0.1) THEN 'validation' ELSE 'train' END AS split, length(instruction) AS n "
+            "FROM instructions) GROUP BY split"
         ),
         "concat_splits": "SELECT * FROM conversations WHERE conv_id % 10 <> 0 UNION ALL "
         "SELECT * FROM conversations WHERE conv_id % 10 = 0",
@@ -360,7 +363,7 @@ def statements() -> dict[str, str]:
         "flatten_first_turns": _with("SELECT * FROM flat"),
         "flatten_messages": _with("SELECT * FROM flat"),
         "filter_complete_pairs": _with(f"SELECT * FROM {complete}"),
-        "group_chat": "SELECT conv_id, turn // 10000 AS part, CAST(count(*) AS INT) AS turns, "
+        "group_chat": "SELECT conv_id, CAST(count(*) AS INT) AS turns, "
         "string_agg(concat(CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END, "
         "': ', text), chr(10) ORDER BY turn) AS rendered FROM conversations GROUP BY ALL",
         "render_prompt": _with("SELECT id, prompt FROM prompts"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from runloom.operators import chats, encoding, records, sampling
 from runloom.operators.encoding import Tokenizer
@@ -17,19 +18,22 @@ def prepare_training_data(
     validation_split: float = 0.1,
     max_samples: int | None = None,
     seed: int = sampling.SEED,
+    schema: str | T.StructType | None = None,
+    file_format: str | None = None,
 ) -> dict[str, object]:
     """Read, sample, split and write a record set; return its manifest.
 
-    Records are numbered when read, so sample and split are exact and repeatable.
+    Records are numbered when read, so sample and split are exact and repeatable. ``schema`` names
+    the fields of a format that ``register_format`` added, or further fields to keep.
     """
-    rows = read_records(spark, input_path, data_format, spread=False)
+    rows = read_records(spark, input_path, data_format, schema, spread=False, file_format=file_format)
     rows = sampling.add_row_index(records.format_hook(rows, data_format), "_id")
     rows = sampling.sample_exact(rows, "_id", max_samples, seed)
     split = sampling.split_exact_floor(rows, "_id", validation_split, seed).drop("_id")
     data = f"{output_dir.rstrip('/')}/data"
     write_splits(split, data)
     info = dataset_info(spark.read.json(data, schema="split STRING"), data_format)
-    info.coalesce(1).write.mode("overwrite").json(f"{output_dir.rstrip('/')}/dataset_info")
+    info.repartition(1).write.mode("overwrite").json(f"{output_dir.rstrip('/')}/dataset_info")
     manifest = info.first().asDict()
     return manifest | {
         "train_file": f"{data}/{manifest['train_file']}",

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runloom.operators.chats import flatten_first_turns
 from runloom.operators.grouped import row_positions
 from runloom.operators.series import step_durations
 
-LAYERS = 8
+#: Experts of a layer; a vector holds as many layers as it has room for.
 EXPERTS = 8
 
 
@@ -28,10 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One instruction record per chat."""
-    columns = {"user": "instruction", "system": "input", "assistant": "output"}
-    turns = table(spark, sf_dir, "conversations")
-    return flatten_first_turns(turns, columns=columns).withColumnRenamed("conv_id", "id")
+    """One instruction record per user turn: its text, the setting so far and the answer that follows."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    setting = F.last(F.when(F.col("role") == "system", F.col("text")), ignorenulls=True)
+    answered = F.lead("role").over(w) == "assistant"
+    turns = table(spark, sf_dir, "conversations").select(
+        "role",
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"),
+        F.col("text").alias("instruction"),
+        F.coalesce(setting.over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit("")).alias("input"),
+        F.when(answered, F.lead("text").over(w)).otherwise("").alias("output"),
+    )
+    return turns.where("role = 'user'").drop("role")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +83,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def router_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Router logits, one row per layer and token: each vector holds 8 layers x 8 experts."""
-    layer = F.explode(F.sequence(F.lit(0), F.lit(LAYERS - 1))).alias("layer")
+    """Router logits, one row per layer and token: a vector holds all layers of 8 experts each."""
+    layer = F.explode(F.sequence(F.lit(0), F.floor(F.size("embedding") / EXPERTS).cast("int") - 1)).alias("layer")
     return (
         table(spark, sf_dir, "embeddings")
         .select(layer, F.col("label").alias("batch_id"), F.col("vec_id").alias("token_id"), "embedding")

@@ -34,13 +34,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Use all cores for a scan that has fewer splits than cores.
-
-    Such a scan is at most one split per core, which bounds the shuffle; a larger
-    one is left as it lies.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

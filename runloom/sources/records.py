@@ -23,6 +23,29 @@ SCHEMAS = {
 CORRUPT = "_corrupt_record"
 
 
+#: Endings of compressed files, which do not tell the form.
+_PACKED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate", ".xz")
+_FORMS = {".jsonl": "jsonl", ".ndjson": "jsonl", ".csv": "csv"}
+
+
+def form_of(spark: SparkSession, path: str) -> str:
+    """``jsonl``, ``json`` or ``csv``: by the ending of the name, else by the first line.
+
+    A first line that opens an array, or an object that it does not close, is a document of JSON;
+    anything else is one record per line. Compression endings do not count.
+    """
+    name = path.rstrip("/").lower()
+    for ending in _PACKED:
+        name = name.removesuffix(ending)
+    for ending, form in _FORMS.items():
+        if name.endswith(ending):
+            return form
+    first = spark.read.text(path).where("trim(value) <> ''").head()
+    line = first["value"].strip() if first else ""
+    whole = line.startswith("[") or (line.startswith("{") and not line.endswith("}"))
+    return "json" if whole else "jsonl"
+
+
 def read_records(
     spark: SparkSession,
     path: str,
@@ -31,35 +54,46 @@ def read_records(
     keep_corrupt: bool = False,
     spread: bool = True,
     multi_line: bool = True,
+    file_format: str | None = None,
 ) -> DataFrame:
-    """Read ``.jsonl`` line by line, ``.csv`` with a header, anything else as JSON arrays.
+    """Read record files: one record per line, JSON documents, or CSV with a header.
+
+    ``file_format`` is ``jsonl``, ``json`` or ``csv``; without it ``form_of`` decides, so a folder of parts,
+    compressed files and the output of ``write_splits`` are read whole. Files of different forms in
+    one folder need separate calls. The schema is fixed, so nothing is inferred; ``schema`` names
+    further fields of the records to keep, or the fields of a format of one's own.
 
-    The schema is fixed, so nothing is inferred. A JSON array cannot be divided:
-    unless ``spread`` is false, its rows are spread over the cluster right after the
-    read. Nor can CSV, unless ``multi_line`` is false because no text holds a line
-    break. Many ``.jsonl`` files are the form for large data.
+    A JSON array cannot be divided: unless ``spread`` is false, its rows are spread over the cluster
+    right after the read. Nor can CSV, unless ``multi_line`` is false because no text holds a line
+    break. Line-JSON is the form for large data.
     """
-    columns = schema or SCHEMAS[data_format]
+    columns = schema or SCHEMAS.get(data_format)
+    if columns is None:
+        raise ValueError(f"the format {data_format!r} needs a schema")
     columns = T.StructType.fromDDL(columns) if isinstance(columns, str) else columns
     if keep_corrupt:
         columns = T.StructType([*columns.fields, T.StructField(CORRUPT, T.StringType())])
     reader = spark.read.schema(columns).option("mode", "PERMISSIVE")
     reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-    plain = path.rstrip("/")
-    if plain.endswith(".jsonl"):
+    form = file_format or form_of(spark, path)
+    if form == "jsonl":
         return reader.json(path)
-    if plain.endswith(".csv"):
+    if form == "csv":
         return reader.csv(path, header=True, multiLine=multi_line, quote='"', escape='"')
     rows = reader.option("multiLine", True).json(path)
     return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if spread else rows
 
 
 def read_split_files(
-    spark: SparkSession, paths: Mapping[str, str], data_format: str = "alpaca"
+    spark: SparkSession,
+    paths: Mapping[str, str],
+    data_format: str = "alpaca",
+    schema: str | T.StructType | None = None,
+    file_format: str | None = None,
 ) -> DataFrame:
     """One file set per split, tagged by ``split``."""
     parts = [
-        read_records(spark, path, data_format).withColumn("split", F.lit(split))
+        read_records(spark, path, data_format, schema, file_format=file_format).withColumn("split", F.lit(split))
         for split, path in paths.items()
     ]
     return concat_splits(*parts)

@@ -82,4 +82,4 @@ def explode_snapshot(snapshots: DataFrame, text: str = "snapshot", keys: tuple[s
 def write_summary(summary: DataFrame, path: str, headers: Mapping[str, str] | None = None) -> None:
     """Write a summary table as one CSV part with a header; it has one row per run."""
     named = summary.withColumnsRenamed(dict(headers)) if headers else summary
-    named.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    named.repartition(1).write.mode("overwrite").option("header", True).csv(path)

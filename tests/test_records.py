@@ -1,10 +1,12 @@
 """Hand-made edge cases of chats, records, prompts and templates."""
 
+import pytest
+
 from runloom.operators import chats, records, sampling, templates
 
 
 def turns(spark, rows):
-    return spark.createDataFrame(rows, "conv_id INT, turn INT, role STRING, text STRING")
+    return spark.createDataFrame(rows, "conv_id INT, turn BIGINT, role STRING, text STRING")
 
 
 def test_first_turns(spark):
@@ -27,13 +29,12 @@ def test_first_turns_of_nested_messages(spark):
     assert [tuple(r) for r in got] == [(1, "q", "x"), (2, "", ""), (3, "", "")]
 
 
-def test_group_chat_in_parts(spark):
-    df = turns(spark, [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in (4, 0, 3, 1, 2)])
-    got = {r.part: [(t["from"], t["value"]) for t in r.conversations] for r in chats.group_chat(df, part_turns=3).collect()}
-    assert got == {
-        0: [("human", "t0"), ("gpt", "t1"), ("human", "t2")],
-        1: [("gpt", "t3"), ("human", "t4")],
-    }
+@pytest.mark.parametrize("step", [1, 1_700_000_000_000])
+def test_one_chat_is_one_row(spark, step):
+    df = turns(spark, [(1, i * step, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in (4, 0, 3, 1, 2)])
+    (row,) = chats.group_chat(df).collect()
+    names = ["human", "gpt"] * 3
+    assert [(t["from"], t["value"]) for t in row.conversations] == [(names[i], f"t{i}") for i in range(5)]
 
 
 def test_prompt_input_block(spark):

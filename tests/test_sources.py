@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from runloom.operators import records as formats
 from runloom.operators import summary
 from runloom.operators.chats import flatten_first_turns
 from runloom.plans.prepare import encode_instructions, encode_pairs, prepare_training_data, validate_data_format
@@ -138,3 +139,27 @@ def test_summary_file(spark, tmp_path):
     run_logs.write_summary(table, str(tmp_path / "s"), summary.HEADERS)
     back = spark.read.csv(str(tmp_path / "s"), header=True)
     assert back.columns == list(summary.HEADERS.values()) and back.count() == 1
+
+
+@pytest.mark.parametrize("ending", ["", ".gz"])
+def test_line_json_is_read_whole_whatever_its_name(spark, tmp_path, ending):
+    import gzip
+
+    text = "\n".join(json.dumps({"instruction": f"i{n}", "output": "o", "extra": n}) for n in range(40)) + "\n"
+    path = tmp_path / f"rows{ending}"
+    path.write_bytes(gzip.compress(text.encode()) if ending else text.encode())
+    schema = records.SCHEMAS["alpaca"] + ", extra INT"
+    rows = records.read_records(spark, str(path), schema=schema).collect()
+    assert sorted(r.extra for r in rows) == list(range(40))
+
+
+def test_prepared_splits_read_back_complete(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text("\n".join(json.dumps({"raw": f"r{n}", "extra": n}) for n in range(40)))
+    formats.register_format("raw", lambda rows: rows.withColumnRenamed("raw", "text"))
+    info = prepare_training_data(
+        spark, str(tmp_path / "in.jsonl"), str(tmp_path / "out"), data_format="raw", schema="raw STRING, extra INT"
+    )
+    paths = {"train": info["train_file"], "validation": info["validation_file"]}
+    rows = records.read_split_files(spark, paths, schema="text STRING, extra INT").collect()
+    assert sorted((r.text, r.extra) for r in rows) == sorted((f"r{n}", n) for n in range(40))
+    assert sum(r.split == "validation" for r in rows) == info["num_val_samples"] == 4
