@@ -195,34 +195,48 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     return w
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic and other texts each word and each beginning of a word stands."""
-    toxic, other = Counter(), Counter()
-    for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-            words = {plain(w)[:32] for w in (text or "").split()}
-            terms = {w for w in words if len(w) >= 3}
-            terms |= {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}
-            (toxic if label else other).update(terms)
-    terms = list(toxic.keys() | other.keys())
-    columns = [pa.array(terms, pa.string())] + [pa.array([c[t] for t in terms], pa.int64()) for c in (toxic, other)]
-    yield pa.RecordBatch.from_arrays(columns, names=["term", "toxic", "other"])
-
-
-def _lexicon(counts: DataFrame, toxic: int, other: int, max_terms: int) -> tuple[list[str], list[str]]:
+#: A term stands in at least this share of the toxic texts learned from, and in four of them.
+MIN_SHARE = 0.01
+
+
+def _term_counts(wanted: frozenset | None):
+    """In how many texts each word and each beginning of a word stands; only those ``wanted``, if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                words = {plain(w)[:32] for w in (text or "").split()}
+                terms = {w for w in words if len(w) >= 3}
+                terms.update(w[:n] + "*" for w in words for n in STEMS if len(w) >= n)
+                counts.update(terms if wanted is None else terms & wanted)
+        columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "n"])
+
+    return run
+
+
+def _lexicon(sample: DataFrame, toxic: int, other: int, max_terms: int) -> tuple[list[str], list[str]]:
     """Terms that mark toxic texts, the strongest first; a stem makes its words and longer stems needless."""
-    share = (F.col("toxic") + 0.5) / (toxic + 1)
-    rate = (F.col("other") + 0.5) / (other + 1)
-    strong = counts.where((F.col("toxic") >= 4) & (share > 8 * rate) & (F.col("toxic") > 2 * F.col("other")))
-    rows = strong.withColumn("s", F.col("toxic") * F.log(share / rate)).orderBy(F.desc("s"), "term").limit(max_terms).collect()
-    found = {r["term"]: r["toxic"] for r in rows}
+
+    def counted(rows: DataFrame, wanted: frozenset | None, least: float) -> dict[str, int]:
+        # At most 1 / MIN_SHARE times the terms of a text come to the driver.
+        terms = rows.mapInArrow(_term_counts(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        return {r["term"]: r["n"] for r in terms.where(F.col("n") >= least).collect()}
+
+    bad = counted(sample.where("label > 0"), None, max(4, MIN_SHARE * toxic))
+    good = counted(sample.where("label <= 0"), frozenset(bad), 1)
+    ratio = {t: (n + 0.5) / (toxic + 1) / ((good.get(t, 0) + 0.5) / (other + 1)) for t, n in bad.items()}
+    strong = [t for t, n in bad.items() if ratio[t] > 8 and n > 2 * good.get(t, 0)]
+    strong = sorted(strong, key=lambda t: (-bad[t] * math.log(ratio[t]), t))[:max_terms]
+    found = {t: bad[t] for t in strong}
     stems: list[str] = []
     for term in sorted((t[:-1] for t in found if t.endswith("*")), key=lambda t: (len(t), t)):
         # A beginning is a stem only if its texts are not all those of one word.
         words = max((n for t, n in found.items() if not t.endswith("*") and t.startswith(term)), default=0)
-        if found[term + "*"] > 1.2 * words and not any(term.startswith(s) for s in stems):
+        if found[term + "*"] > 1.2 * words and not any(term.startswith(x) for x in stems):
             stems.append(term)
-    words = [t for t in found if not t.endswith("*") and not any(t.startswith(s) for s in stems)]
+    words = [t for t in found if not t.endswith("*") and not any(t.startswith(x) for x in stems)]
     return sorted(words), stems
 
 
@@ -246,11 +260,10 @@ def train(
     label = common.written(label, "labelled")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # At most max_labelled pairs of numbers are broadcast.
-    sample = common.written(texts.join(F.broadcast(label), "id").select("text", "label"), "sample")
-    sizes = {r["label"] > 0: r["count"] for r in sample.groupBy("label").count().collect()}
-    counts = sample.mapInArrow(_term_counts, "term string, toxic long, other long")
-    counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    words, stems = _lexicon(counts, sizes.get(True, 0), sizes.get(False, 0), max_terms)
+    sample = texts.join(F.broadcast(label), "id").select("text", "label").dropDuplicates()  # copies count once
+    sample = common.written(sample, "sample")
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy((F.col("label") > 0).alias("toxic")).count().collect()}
+    words, stems = _lexicon(sample, sizes.get(True, 0), sizes.get(False, 0), max_terms)
     finder = Finder(words, stems)
     if len(sizes) < 2:
         return Model(finder, [0.0] * len(FEATURES))
