@@ -22,6 +22,8 @@ GROUP_ROWS = 2_000_000
 MAX_RANGES = 50_000
 #: Values of one group that ``percentile`` may hold in memory; it cannot spill them.
 PERCENTILE_ROWS = 200_000
+#: Groups up to which one row per group is broadcast.
+BROADCAST_GROUPS = 100_000
 #: Cuts of a large group: this far on both sides of a wanted share, then evenly.
 MARGIN = 0.0005
 EVEN_CUTS = tuple(i / 50 for i in range(1, 50))
@@ -32,6 +34,20 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """The number of groups and the rows of the largest, from one pass."""
+    groups, largest = df.groupBy(*keys).count().agg(F.count("*"), F.max("count")).first()
+    return groups, largest or 0
+
+
+def per_group(df: DataFrame, groups: int) -> DataFrame:
+    """``df``, a few rows per group, marked for a broadcast if so many counted ``groups`` allow it.
+
+    Without it a join of all rows with one row per group would shuffle the rows first.
+    """
+    return F.broadcast(df) if groups <= BROADCAST_GROUPS else df
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that also matches null keys, as grouping does."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
@@ -134,7 +150,8 @@ def values_at(
     searched again. The ``cuts`` decide only how much is left, never the result.
     """
     within = (F.col("_upto") - F.col("copies") <= F.col("rank")) & (F.col("rank") < F.col("_upto"))
-    if largest_group(rows, keys) <= group_rows:
+    groups, largest = group_sizes(rows, keys)
+    if largest <= group_rows:
         running = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         placed = (
             rows.groupBy(*keys, "value")
@@ -146,7 +163,7 @@ def values_at(
     shares = F.array(*[F.lit(cut) for cut in cuts])
     edges = rows.groupBy(*keys).agg(F.percentile_approx("value", shares).alias("_edges"))
     passed = [(F.col("_edges")[i] < F.col("value")).cast("int") for i in range(len(cuts))]
-    sliced = join_on(rows, edges, keys).withColumn("_slice", reduce(add, passed)).drop("_edges")
+    sliced = join_on(rows, per_group(edges, groups), keys).withColumn("_slice", reduce(add, passed)).drop("_edges")
     running = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
     slices = (
         sliced.groupBy(*keys, "_slice")
@@ -162,7 +179,7 @@ def values_at(
     wanted = checkpointed(wanted)
     level = [*keys, "_slice"]
     left_over = checkpointed(
-        join_on(sliced, wanted.select(*level).distinct(), level, "left_semi")
+        join_on(sliced, per_group(wanted.select(*level).distinct(), groups), level, "left_semi")
         .groupBy(*level, "value")
         .agg(F.sum("copies").alias("copies"))
     )
@@ -184,10 +201,14 @@ def exact_percentiles(
     value: str,
     shares: Mapping[str, float],
     group_rows: int = PERCENTILE_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
-    """One row per group with a column per named share, interpolated at ``(n - 1) * share``."""
+    """One row per group with a column per named share, interpolated at ``(n - 1) * share``.
+
+    A caller that knows the ``largest`` group saves the count.
+    """
     rows = df.select(*keys, F.col(value).cast("double").alias("value"))
-    if largest_group(rows, keys) <= group_rows:
+    if (largest_group(rows, keys) if largest is None else largest) <= group_rows:
         exact = F.percentile("value", F.array(*[F.lit(s) for s in shares.values()]))
         columns = [F.col("_p")[i].alias(name) for i, name in enumerate(shares)]
         return rows.groupBy(*keys).agg(exact.alias("_p")).select(*keys, *columns)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions.columns import micros
-from runloom.operators.grouped import PERCENTILE_ROWS, exact_percentiles, join_on
+from runloom.operators.grouped import PERCENTILE_ROWS, exact_percentiles, group_sizes, join_on, per_group
 
 #: Reported percentiles.
 PERCENTILES = {
@@ -32,10 +32,13 @@ def _with_ms(requests: DataFrame) -> DataFrame:
 
 
 def latency_percentiles(
-    requests: DataFrame, keys: Sequence[str] = GROUP, group_rows: int = PERCENTILE_ROWS
+    requests: DataFrame,
+    keys: Sequence[str] = GROUP,
+    group_rows: int = PERCENTILE_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """p50, p95, p99 and p99.9 in milliseconds per group, exact and interpolated."""
-    return exact_percentiles(_with_ms(requests), keys, "_ms", PERCENTILES, group_rows)
+    return exact_percentiles(_with_ms(requests), keys, "_ms", PERCENTILES, group_rows, largest)
 
 
 def _rate() -> Column:
@@ -59,8 +62,9 @@ def stall_ratio(
     requests: DataFrame, keys: Sequence[str] = GROUP, group_rows: int = PERCENTILE_ROWS
 ) -> DataFrame:
     """Share of requests slower than twice the median of their group."""
-    median = exact_percentiles(_with_ms(requests), keys, "_ms", {"_p50": 0.5}, group_rows)
-    return _stalls(requests, median, keys).select(*keys, "stall_ratio")
+    groups, largest = group_sizes(requests, keys)
+    median = exact_percentiles(_with_ms(requests), keys, "_ms", {"_p50": 0.5}, group_rows, largest)
+    return _stalls(requests, per_group(median, groups), keys).select(*keys, "stall_ratio")
 
 
 def _stalls(requests: DataFrame, medians: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -83,9 +87,10 @@ def benchmark_report(
     requests: DataFrame, keys: Sequence[str] = GROUP, group_rows: int = PERCENTILE_ROWS
 ) -> DataFrame:
     """One row per group with counts, percentiles, tail, stalls and throughput."""
-    percentiles = latency_percentiles(requests, keys, group_rows)
+    groups, largest = group_sizes(requests, keys)
+    percentiles = latency_percentiles(requests, keys, group_rows, largest)
     medians = percentiles.select(*keys, F.col("latency_p50_ms").alias("_p50"))
-    totals = _stalls(requests, medians, keys)
+    totals = _stalls(requests, per_group(medians, groups), keys)
     return tail_amplification(join_on(totals, percentiles, keys)).select(
         *keys,
         "num_requests",

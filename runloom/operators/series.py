@@ -16,7 +16,9 @@ from runloom.operators.grouped import (
     PERCENTILE_ROWS,
     chunked,
     exact_percentiles,
+    group_sizes,
     join_on,
+    per_group,
 )
 
 #: Lengths of the rolling window and of the averaged tail.
@@ -24,6 +26,9 @@ ROLLING_ROWS = 100
 TAIL_POINTS = 50
 #: Rolling percentiles.
 ROLLING = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+#: Series of step times, the first that a run has; marks of a step.
+STEP_TIME_TAGS = ("train/step_time_ms/p50", "step_time_ms/p50")
+BEGIN, END = "begin", "end"
 EPSILON = 1e-8
 
 SERIES = ("run", "tag")
@@ -35,13 +40,21 @@ def step_durations(
     ts: str,
     tie: str,
     group_rows: int = GROUP_ROWS,
+    kind: str | None = None,
 ) -> DataFrame:
-    """Milliseconds since the previous mark of the key; null for the first mark."""
+    """Milliseconds since the previous mark of the key; null for the first mark.
+
+    With a ``kind`` column only the time from a begin mark to the end mark right after it
+    counts, one row per end; an end that follows no begin is left out, and so is idle time.
+    """
     rows = chunked(marks, keys, [ts, tie], before=1, group_rows=group_rows)
     window = Window.partitionBy(*keys, "_chunk").orderBy(ts, tie)
     timed = rows.withColumn("_micros", micros(rows, ts))
     elapsed = (F.col("_micros") - F.lag("_micros").over(window)) / 1000
-    return timed.withColumn("elapsed_ms", elapsed).filter("_own").drop("_chunk", "_own", "_micros")
+    timed = timed.withColumn("elapsed_ms", elapsed)
+    if kind is not None:
+        timed = timed.withColumn("_pair", (F.col(kind) == END) & (F.lag(kind).over(window) == BEGIN)).filter("_pair").drop("_pair")
+    return timed.filter("_own").drop("_chunk", "_own", "_micros")
 
 
 def rolling_percentiles(
@@ -74,6 +87,30 @@ def rolling_percentiles(
     return parts.groupBy(*keys, "_chunk").applyInArrow(roll, schema)
 
 
+def timing_log(
+    steps: DataFrame,
+    run: str = "run",
+    rank: str = "rank",
+    step: str = "step",
+    value: str = "elapsed_ms",
+    prefix: str = "train/",
+    group_rows: int = GROUP_ROWS,
+) -> DataFrame:
+    """Rolling step times as scalar points ``run, tag, step, value``.
+
+    Tags look like ``train/step_time_ms/rank3/p50``; a run of one process has a null rank
+    and no rank in its tags.
+    """
+    rows = steps.select(F.col(run).alias("run"), F.col(rank).alias("rank"), F.col(step).alias("step"), F.col(value).alias("ms"))
+    rolled = rolling_percentiles(rows, ["run", "rank"], ["step"], "ms", group_rows=group_rows)
+    of_rank = F.coalesce(F.concat(F.lit("/rank"), F.col("rank").cast("string")), F.lit(""))
+    points = [
+        F.struct(F.concat(F.lit(f"{prefix}step_time_ms"), of_rank, F.lit(f"/{name}")).alias("tag"), "step", F.col(name).alias("value"))
+        for name in ROLLING
+    ]
+    return rolled.select("run", F.inline(F.array(*points)))
+
+
 def smooth_centered(
     log: DataFrame,
     width: int,
@@ -135,15 +172,21 @@ def step_time_distribution(
     keys: Sequence[str] = ("run",),
     bins: int = 20,
     group_rows: int = PERCENTILE_ROWS,
+    tags: Sequence[str] = STEP_TIME_TAGS,
 ) -> DataFrame:
-    """Minimum, median and maximum per run, and the counts of ``bins`` equal bins between."""
-    edges = log.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    medians = exact_percentiles(log, keys, "value", {"median": 0.5}, group_rows)
+    """Minimum, median and maximum per run, and the counts of ``bins`` equal bins between.
+
+    A run is judged by the first of the ``tags`` that it has; runs with none are left out.
+    """
+    chosen = series_fallback(log, tags, keys).select(*keys, "value")
+    groups, largest = group_sizes(chosen, keys)
+    edges = chosen.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    medians = exact_percentiles(chosen, keys, "value", {"median": 0.5}, group_rows, largest)
     span = F.col("high") - F.col("low")
     place = F.floor((F.col("value") - F.col("low")) / span * bins)
     inside = F.when(span > 0, F.least(place, F.lit(bins - 1))).otherwise(0)
     counts = (
-        join_on(log.select(*keys, "value"), edges, keys)
+        join_on(chosen, per_group(edges, groups), keys)
         .withColumn("bin", inside.cast("int"))
         .groupBy(*keys, "low", "high", "bin")
         .agg(F.count("value").alias("points"))
@@ -158,15 +201,16 @@ def rank_step_skew(log: DataFrame, group_rows: int = PERCENTILE_ROWS) -> DataFra
     without ``train/`` is used.
     """
     pattern = r"^(train/)?step_time_ms/rank([0-9]+)/p50$"
-    ranked = log.filter(F.col("tag").rlike(pattern)).select(
+    # The starts reach the scan; the pattern does not.
+    begins = F.col("tag").startswith("train/step_time_ms/rank") | F.col("tag").startswith("step_time_ms/rank")
+    ranked = log.filter(begins & F.col("tag").rlike(pattern)).select(
         "run",
         F.when(F.col("tag").startswith("train/"), 0).otherwise(1).alias("_form"),
         F.regexp_extract("tag", pattern, 2).cast("int").alias("rank"),
         "value",
     )
-    best = ranked.groupBy("run").agg(F.min("_form").alias("_form"))
-    chosen = join_on(ranked, best, ["run", "_form"], "left_semi")
-    medians = exact_percentiles(chosen, ["run", "rank"], "value", {"median": 0.5}, group_rows)
+    medians = exact_percentiles(ranked, ["run", "_form", "rank"], "value", {"median": 0.5}, group_rows)
     run = Window.partitionBy("run")
+    chosen = medians.withColumn("_best", F.min("_form").over(run)).filter("_form = _best").drop("_form", "_best")
     skew = F.max("median").over(run) / (F.min("median").over(run) + EPSILON)
-    return medians.withColumn("skew", F.when(F.count("*").over(run) > 1, skew))
+    return chosen.withColumn("skew", F.when(F.count("*").over(run) > 1, skew))

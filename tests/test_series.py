@@ -76,13 +76,46 @@ def test_rank_skew(spark):
 
 def test_distribution(spark):
     df = log(spark, [("r", "t", i, float(i)) for i in range(11)] + [("flat", "t", 1, 3.0)])
-    rows = series.step_time_distribution(df, bins=5).collect()
+    rows = series.step_time_distribution(df, bins=5, tags=["t"]).collect()
     bins = {r.bin: r.points for r in rows if r.run == "r"}
     assert bins == {0: 2, 1: 2, 2: 2, 3: 2, 4: 3}
     flat = [r for r in rows if r.run == "flat"][0]
     assert (flat.low, flat.median, flat.high, flat.bin, flat.points) == (3.0, 3.0, 3.0, 0, 1)
 
 
+def test_distribution_takes_the_first_tag_of_a_run(spark):
+    df = log(spark, [
+        ("r", "train/step_time_ms/p50", 1, 4.0), ("r", "step_time_ms/p50", 1, 90.0), ("r", "train/step_time_ms/rank1/p50", 1, 70.0),
+        ("s", "step_time_ms/p50", 1, 6.0), ("none", "train/step_time_ms/rank0/p50", 1, 8.0),
+    ])
+    assert {(r.run, r.median, r.points) for r in series.step_time_distribution(df).collect()} == {("r", 4.0, 1), ("s", 6.0, 1)}
+
+
+def test_idle_time_is_no_step(spark):
+    marks = [(1, "end", 0), (2, "begin", 10), (3, "end", 110), (4, "begin", 5000), (5, "begin", 5010), (6, "end", 5110), (7, "end", 6000)]
+    df = spark.createDataFrame(marks, "id INT, kind STRING, ms INT").select("id", "kind", F.lit("k").alias("key"), F.timestamp_millis("ms").alias("ts"))
+    for rows in (100, 2):
+        got = series.step_durations(df, ["key"], "ts", "id", rows, "kind").orderBy("id").collect()
+        assert [(r.id, r.elapsed_ms) for r in got] == [(3, 100.0), (6, 100.0)]
+
+
+def test_timing_log(spark):
+    df = spark.createDataFrame([("r", None, 1, 5.0), ("r", None, 2, 7.0), ("s", 3, 1, 2.0)], "run STRING, rank INT, step BIGINT, elapsed_ms DOUBLE")
+    got = {(r.run, r.tag, r.step): r.value for r in series.timing_log(df).collect()}
+    assert len(got) == 9 and got["r", "train/step_time_ms/p50", 2] == 6.0 and got["s", "train/step_time_ms/rank3/p99", 1] == 2.0
+
+
+def test_few_groups_need_no_shuffle_of_requests(spark):
+    df = spark.createDataFrame([("m", "w", 1.0, 5)], "method STRING, workload STRING, latency_s DOUBLE, output_tokens INT")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = latency.stall_ratio(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_published_perplexities(spark):
     losses = spark.createDataFrame([(1.172,), (1.143,), (1.155,), (1.134,)], "loss DOUBLE")
     got = [r[0] for r in losses.select(summary.perplexity(F.col("loss"))).collect()]
