@@ -64,15 +64,14 @@ def arrow_tokenizer(make_encoder: Callable[[], Encoder]) -> Tokenizer:
     texts to a list of id lists.
     """
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = make_encoder()
-        for texts in batches:
-            known = texts.notna()
-            ids = pd.Series([None] * len(texts), dtype=object)
-            encoded = encoder(texts[known].tolist())
-            for place, row in zip(known.to_numpy().nonzero()[0], encoded):
-                ids.iat[place] = row
-            yield ids
-
-    return lambda text, limit=None: _cut(encode(text), limit)
+    def tokenizer(text: Column, limit: int | None = None) -> Column:
+        @F.pandas_udf("array<int>")
+        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            encoder = make_encoder()
+            for texts in batches:
+                encoded = iter(encoder(texts.dropna().tolist()))
+                yield pd.Series([next(encoded)[:limit] if known else None for known in texts.notna()], dtype=object)
+
+        return encode(text)
+
+    return tokenizer

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.functions.columns import sigmoid, softmax
-from runloom.operators.grouped import GROUP_ROWS, row_positions
+from runloom.operators.grouped import GROUP_ROWS, join_on, row_positions
 
 TOKEN = ("layer", "batch_id", "token_id")
 #: Fixed values of the statistics.
@@ -290,16 +290,17 @@ def sparse_layer_stats(experts: DataFrame) -> DataFrame:
     return stats.join(overflow, "layer")
 
 
-def global_expert_load(means: DataFrame) -> DataFrame:
-    """Mean over layers per expert, then max, mean, their ratio and entropy."""
-    experts = means.groupBy("expert_id").agg(F.avg("mean_weight").alias("mean_weight"))
+def global_expert_load(means: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean over layers per expert, then max, mean, their ratio and entropy, per group if ``keys`` are given."""
+    experts = means.groupBy(*keys, "expert_id").agg(F.avg("mean_weight").alias("mean_weight"))
     # One row per expert: the number of experts bounds the arrays.
-    loads = experts.agg(F.collect_list("mean_weight").alias("w"))
+    loads = experts.groupBy(*keys).agg(F.collect_list("mean_weight").alias("w"))
     total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
     loads = loads.withColumn("total", total).withColumn("mean", F.col("total") / F.size("w"))
     shares = F.transform("w", lambda x: x / (F.col("total") + EPSILON))
     entropy = -F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * F.ln(p + LOG_EPSILON))
     return loads.select(
+        *keys,
         F.array_max("w").alias("max_mean_expert_weight"),
         F.col("mean").alias("mean_expert_weight"),
         (F.array_max("w") / (F.col("mean") + EPSILON)).alias("max_mean_ratio"),
@@ -307,9 +308,18 @@ def global_expert_load(means: DataFrame) -> DataFrame:
     )
 
 
-def token_counts_mean(counts: DataFrame) -> DataFrame:
-    """Mean over layers of the tokens per expert."""
-    return counts.groupBy("expert_id").agg(F.avg("tokens").alias("mean_tokens"))
+def token_counts_mean(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean over layers of the tokens per expert, per group if ``keys`` are given."""
+    return counts.groupBy(*keys, "expert_id").agg(F.avg("tokens").alias("mean_tokens"))
+
+
+def with_expert_figures(report: DataFrame, means: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A benchmark report with its expert load and ``per_expert_token_counts``, by expert; null without experts."""
+    # One entry per expert: the number of experts bounds the arrays.
+    entries = F.array_sort(F.collect_list(F.struct("expert_id", "mean_tokens")))
+    tokens = token_counts_mean(counts, keys).groupBy(*keys).agg(entries.alias("_e"))
+    tokens = tokens.select(*keys, F.col("_e.mean_tokens").alias("per_expert_token_counts"))
+    return join_on(join_on(report, global_expert_load(means, keys), keys, "left"), tokens, keys, "left")
 
 
 def hot_expert_flags(counts: DataFrame, keys: Sequence[str], tokens: str = "tokens") -> DataFrame:

@@ -321,7 +321,7 @@ def _utf8_encoder():
 def tokenizer_plugin(spark, sf_dir):
     documents = views.table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = encoding.tokenize(documents, tokenizer=arrow_tokenizer(_utf8_encoder))
-    return encoded.select("doc_id", F.size("input_ids").alias("tokens"))
+    return encoded.select("doc_id", F.size("input_ids").alias("tokens"), listed("input_ids").alias("input_ids"))
 
 
 def _encoded(spark, sf_dir, max_length=512):
@@ -554,6 +554,41 @@ def hot_expert_flags(spark, sf_dir):
     return rounded(routing.hot_expert_flags(_counts(spark, sf_dir), ["layer"]))
 
 
+def _expert_report(spark, sf_dir):
+    keys = list(latency.GROUP)
+    cell = [*keys, "layer", "expert_id"]
+    soft = views.served(routing.router_softmax(views.router_tokens(spark, sf_dir)))
+    sent = views.served(_assigned(spark, sf_dir)).select(*cell, F.lit(1).alias("sent"))
+    means = soft.groupBy(*cell).agg(F.avg("weight").alias("mean_weight"))
+    counts = sent.unionByName(soft.select(*cell, F.lit(0).alias("sent"))).groupBy(*cell).agg(F.sum("sent").alias("tokens"))
+    report = latency.benchmark_report(views.requests(spark, sf_dir))
+    return routing.with_expert_figures(report, means, counts, keys)
+
+
+@query
+def benchmark_report_experts(spark, sf_dir):
+    report = _expert_report(spark, sf_dir)
+    total = F.aggregate("per_expert_token_counts", F.lit(0.0), lambda a, x: a + x)
+    return rounded(
+        report.select(
+            *latency.GROUP,
+            "num_requests",
+            "max_mean_expert_weight",
+            "mean_expert_weight",
+            "max_mean_ratio",
+            "expert_weight_entropy",
+            total.alias("tokens_per_layer"),
+        )
+    )
+
+
+@query
+def hot_expert_flags_by_run(spark, sf_dir):
+    report = _expert_report(spark, sf_dir)
+    counts = report.select(*latency.GROUP, F.posexplode("per_expert_token_counts").alias("expert_id", "tokens"))
+    return rounded(routing.hot_expert_flags(counts, list(latency.GROUP)))
+
+
 @query
 def expert_heatmap(spark, sf_dir):
     return rounded(routing.expert_heatmap(_soft_means(spark, sf_dir), views.EXPERTS))
@@ -572,6 +607,12 @@ def step_durations(spark, sf_dir):
     return rounded(views.step_times(spark, sf_dir).drop("ts"))
 
 
+@query
+def step_pairs(spark, sf_dir):
+    marks = views.step_marks(spark, sf_dir)
+    return rounded(series.step_durations(marks, ["event_type"], "ts", "event_id", kind="kind").drop("ts", "kind"))
+
+
 def _values(spark, sf_dir):
     return views.table(spark, sf_dir, "events").select("event_type", "event_id", "value")
 
@@ -605,14 +646,27 @@ def tail_mean(spark, sf_dir):
 
 @query
 def series_fallback(spark, sf_dir):
-    tags = ["train/routing/global_overflow_fraction", "train/routing/global_cv"]
-    return rounded(series.series_fallback(views.scalar_log(spark, sf_dir), tags))
+    tags = ["train/routing/global_entropy", "train/routing/global_cv"]
+    # Runs with names of even length lack the first series.
+    lacking = (F.col("tag") == tags[0]) & (F.length("run") % 2 == 0)
+    return rounded(series.series_fallback(views.scalar_log(spark, sf_dir).where(~lacking), tags))
+
+
+@query
+def timing_log(spark, sf_dir):
+    return rounded(series.timing_log(views.timed_steps(spark, sf_dir)))
 
 
 @query
 def step_time_distribution(spark, sf_dir):
-    log = run_logs.scalar_tags_by_prefix(views.scalar_log(spark, sf_dir), "train/step_time_ms/")
-    return rounded(series.step_time_distribution(log))
+    # Half of the runs have both series, the second with other values; the rest only the second.
+    steps = views.timed_steps(spark, sf_dir).withColumn("rank", F.lit(None).cast("int"))
+    path = scratch_path(spark, "timing_log")
+    plain = F.regexp_replace("tag", "^train/", "").alias("tag")
+    both = F.array(F.struct("tag", "value"), F.struct(plain, F.lit(-1.0).alias("value")))
+    series_of_run = F.when(F.length("run") % 2 == 1, both).otherwise(F.array(F.struct(plain, "value")))
+    series.timing_log(steps).select("run", "step", F.inline(series_of_run)).write.parquet(path)
+    return rounded(series.step_time_distribution(spark.read.parquet(path)))
 
 
 @query

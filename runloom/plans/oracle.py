@@ -95,6 +95,15 @@ VIEWS = {
     "tails": """SELECT run, tag, round(avg(value), 4) AS tail_mean FROM (
       SELECT *, row_number() OVER (PARTITION BY run, tag ORDER BY step DESC) AS newest FROM scalar_log)
       WHERE newest <= 50 GROUP BY run, tag""",
+    "step_points": """SELECT event_type AS run, quantile_cont(value, 0.5) OVER (PARTITION BY event_type
+      ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS value FROM events""",
+    "served": """SELECT layer, expert_id, weight, choice, CASE token_id % 2 WHEN 0 THEN 'click' ELSE 'view' END AS method,
+      CASE (token_id // 2) % 4 WHEN 0 THEN 'homogeneous' WHEN 1 THEN 'heterogeneous'
+        WHEN 2 THEN 'bursty' ELSE 'mixed_semantic' END AS workload
+      FROM soft JOIN ranked USING (layer, batch_id, token_id, expert_id)""",
+    "served_experts": """SELECT method, workload, expert_id, avg(m) AS m, avg(n) AS tokens FROM (
+        SELECT method, workload, layer, expert_id, avg(weight) AS m, count_if(choice < 2) AS n FROM served GROUP BY ALL)
+      GROUP BY ALL""",
     "step_log": "SELECT * FROM scalar_log WHERE tag LIKE 'train/step_time_ms/%'",
 }
 
@@ -198,6 +207,18 @@ def _rolling(order: str = "event_id") -> str:
     return _rounded(f"SELECT event_type, event_id, value, {columns} FROM events", "value", *shares)
 
 
+def _timing_log() -> str:
+    frame = "OVER (PARTITION BY run, rank ORDER BY step ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)"
+    parts = [
+        f"SELECT run, concat('train/step_time_ms', rank, '/{name}') AS tag, step, "
+        f"quantile_cont(value, {share}) {frame} AS value FROM steps"
+        for name, share in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
+    ]
+    steps = """SELECT event_type AS run, event_id AS step, value, CASE WHEN length(event_type) % 2 = 1
+      THEN concat('/rank', user_id % 4) ELSE '' END AS rank FROM events"""
+    return f"WITH steps AS ({steps}) {' UNION ALL '.join(parts)}"
+
+
 def _smooth(width: int, divisor: str) -> str:
     before, after = width // 2, width - 1 - width // 2
     frame = (
@@ -319,8 +340,8 @@ def statements() -> dict[str, str]:
     heat = ", ".join(f"max(m) FILTER (WHERE expert_id = {e}) AS expert_{e}" for e in range(8))
     bins = """SELECT run, low, median, high, CAST(CASE WHEN high > low
       THEN least(floor((value - low) / (high - low) * 20), 19) ELSE 0 END AS INT) AS bin, count(*) AS points
-      FROM step_log JOIN (SELECT run, min(value) AS low, quantile_cont(value, 0.5) AS median, max(value) AS high
-        FROM step_log GROUP BY run) USING (run) GROUP BY ALL"""
+      FROM step_points JOIN (SELECT run, min(value) AS low, quantile_cont(value, 0.5) AS median, max(value) AS high
+        FROM step_points GROUP BY run) USING (run) GROUP BY ALL"""
     return {
         # sources and sinks
         "read_records": _with("SELECT instruction, input, output FROM instructions"),
@@ -400,7 +421,8 @@ def statements() -> dict[str, str]:
         f"(SELECT doc_id, {_IDS.format(_WORDS.format('text'))} AS ids FROM documents)",
         "tokenize_truncated": f"SELECT doc_id, CAST(len(ids) AS INT) AS tokens, {_joined('ids')} AS input_ids "
         f"FROM (SELECT doc_id, ({_IDS.format(_WORDS.format('text'))})[1:512] AS ids FROM documents)",
-        "tokenizer_plugin": "SELECT doc_id, CAST(strlen(text) AS INT) AS tokens FROM documents",
+        "tokenizer_plugin": "SELECT doc_id, CAST(strlen(text) AS INT) AS tokens, array_to_string(list_transform("
+        "regexp_extract_all(hex(text), '..'), lambda h: CAST('0x' || h AS INT)), ' ') AS input_ids FROM documents",
         "encode_masked": _example(_encoded("prompts", "prompt", "output", 512)),
         "filter_trainable": _example(
             f"SELECT * FROM ({_encoded('prompts', 'prompt', 'output', 48)}) WHERE trainable > 0"
@@ -511,6 +533,19 @@ def statements() -> dict[str, str]:
             "(SELECT *, avg(tokens) OVER (PARTITION BY layer) AS group_mean FROM counts)",
             "group_mean",
         ),
+        "benchmark_report_experts": _rounded(
+            "SELECT method, workload, num_requests, max(m) AS max_mean_expert_weight, avg(m) AS mean_expert_weight, "
+            "max(m) / (avg(m) + 1e-8) AS max_mean_ratio, -sum(p * ln(p + 1e-9)) AS expert_weight_entropy, "
+            "sum(tokens) AS tokens_per_layer FROM report LEFT JOIN (SELECT *, "
+            "m / (sum(m) OVER (PARTITION BY method, workload) + 1e-8) AS p FROM served_experts) USING (method, workload) "
+            "GROUP BY ALL",
+            "max_mean_expert_weight", "mean_expert_weight", "max_mean_ratio", "expert_weight_entropy", "tokens_per_layer",
+        ),
+        "hot_expert_flags_by_run": _rounded(
+            "SELECT *, tokens > 2 * group_mean AS is_hot FROM (SELECT method, workload, expert_id, tokens, "
+            "avg(tokens) OVER (PARTITION BY method, workload) AS group_mean FROM served_experts)",
+            "tokens", "group_mean",
+        ),
         "expert_heatmap": _rounded(
             f"SELECT layer, {heat} FROM soft_means GROUP BY layer", *[f"expert_{e}" for e in range(8)]
         ),
@@ -525,6 +560,12 @@ def statements() -> dict[str, str]:
             "(PARTITION BY event_type ORDER BY ts, event_id)) / 1000.0 AS elapsed_ms FROM events",
             "elapsed_ms",
         ),
+        "step_pairs": _rounded(
+            "SELECT event_id, event_type, (ended - begun) / 1000.0 AS elapsed_ms FROM (SELECT *, epoch_us(ts) AS ended, "
+            "lag(epoch_us(ts)) OVER w AS begun, lag(user_id % 2) OVER w AS kind_before FROM events "
+            "WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) WHERE user_id % 2 = 1 AND kind_before = 0",
+            "elapsed_ms",
+        ),
         "rolling_percentiles": _rolling(),
         "smooth_centered": _rounded(_smooth(10, "10"), "value", "smoothed"),
         "smooth_centered_average": _rounded(_smooth(5, "count(value) {frame}"), "value", "smoothed"),
@@ -534,8 +575,10 @@ def statements() -> dict[str, str]:
         ),
         "tail_mean": _rounded("SELECT * FROM tails", "tail_mean", places=4),
         "series_fallback": _rounded(
-            "SELECT * FROM scalar_log WHERE tag = 'train/routing/global_cv'", "value"
+            "SELECT * FROM scalar_log WHERE tag = CASE WHEN length(run) % 2 = 0 "
+            "THEN 'train/routing/global_cv' ELSE 'train/routing/global_entropy' END", "value"
         ),
+        "timing_log": _rounded(_timing_log(), "value"),
         "step_time_distribution": _rounded(bins, "low", "median", "high"),
         "rank_step_skew": _rounded(
             "SELECT *, CASE WHEN count(*) OVER (PARTITION BY run) > 1 THEN max(median) OVER (PARTITION BY run) "

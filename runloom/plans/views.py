@@ -106,6 +106,17 @@ def router_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def served(tokens: DataFrame) -> DataFrame:
+    """The method and workload that a token of the router was served for."""
+    workloads = F.array(*[F.lit(w) for w in ("homogeneous", "heterogeneous", "bursty", "mixed_semantic")])
+    half = F.floor(F.col("token_id") / 2)
+    return tokens.select(
+        "*",
+        F.when(F.col("token_id") % 2 == 0, "click").otherwise("view").alias("method"),
+        workloads[F.pmod(half, F.lit(4)).cast("int")].alias("workload"),
+    )
+
+
 def pools(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two published parts of the chats."""
     turns = table(spark, sf_dir, "conversations")
@@ -116,3 +127,17 @@ def step_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elapsed time between the events of a type."""
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
     return step_durations(events, ["event_type"], "ts", "event_id")
+
+
+def step_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as marks where a step begins or ends."""
+    kind = F.when(F.col("user_id") % 2 == 0, "begin").otherwise("end").alias("kind")
+    return table(spark, sf_dir, "events").select("event_id", "event_type", "ts", kind)
+
+
+def timed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step times; a run with a name of even length has one process, so its rank is null."""
+    rank = F.when(F.length("event_type") % 2 == 1, F.pmod("user_id", F.lit(4)).cast("int"))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("run"), rank.alias("rank"), F.col("event_id").alias("step"), F.col("value").alias("elapsed_ms")
+    )
