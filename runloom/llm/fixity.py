@@ -99,8 +99,8 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     roots = common.written(differing(LEVELS, None).select("file", F.col("left_hash").alias("left_root"), F.col("right_hash").alias("right_root")), "roots")
     within = roots.select("file", F.lit(0).cast("long").alias("up"))
     for level in range(LEVELS - 1, -1, -1):
-        within = differing(level, within).select("file", F.col("node").alias("up"))
-    within = common.written(within, "ranges")
+        # Both sides use the ranges; unwritten, each level would double the plan.
+        within = common.written(differing(level, within).select("file", F.col("node").alias("up")), "ranges")
     rows = [
         s.withColumn("up", F.shiftright("offset", LEAF_BITS)).join(within, ["file", "up"], "left_semi").select(
             "file", "offset", F.col("size").alias(f"{n}_size"), F.col("hash").alias(f"{n}_hash")
