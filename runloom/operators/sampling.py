@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.functions.columns import hash_key
-from runloom.operators.grouped import row_positions
+from runloom.operators.grouped import per_group
 from runloom.session import checkpointed
 
 SEED = 42
@@ -40,7 +40,7 @@ def add_row_index(df: DataFrame, name: str = "id") -> DataFrame:
     row = F.col("_place").bitwiseAND(F.lit(2**33 - 1))
     return (
         ids.withColumn("_partition", partition)
-        .join(F.broadcast(starts), "_partition")
+        .join(per_group(starts, ids.rdd.getNumPartitions()), "_partition")
         .withColumn(name, F.col("_start") + row)
         .drop("_place", "_partition", "_start")
     )
