@@ -151,3 +151,20 @@ def errors(a, b):
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
     return row[-1]
+
+
+def least_errors(word, words, stems, allowed):
+    """The fewest errors at which a word is one of the terms or begins with a stem, within those allowed; else None."""
+    found = []
+    for term, is_stem in [(w, False) for w in words] + [(s, True) for s in stems]:
+        if is_stem:
+            column, least = list(range(len(term) + 1)), len(term)
+            for i, x in enumerate(word, 1):
+                last, column[0] = column[0], i
+                for j, y in enumerate(term, 1):
+                    last, column[j] = column[j], min(column[j] + 1, column[j - 1] + 1, last + (x != y))
+                least = min(least, column[-1])
+        else:
+            least = errors(word, term) if abs(len(word) - len(term)) <= allowed(len(term)) else len(term) + len(word)
+        found += [least] if least <= allowed(len(term)) else []
+    return min(found, default=None)
