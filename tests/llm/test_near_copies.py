@@ -1,4 +1,4 @@
-"""The near-copy stage of the pipeline against all pairs compared by their shingles."""
+"""The near-copy stage of the pipeline against all pairs compared by their shingles, and rows judged one by one."""
 
 import random
 
@@ -81,3 +81,13 @@ def test_extra_columns_stay(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (2, "a  B", "y")], "doc_id LONG, text STRING, mark STRING")
     assert [tuple(r) for r in simhash.first_copies(df).collect()] == [(1, "a b", "x")]
     assert simhash.first_copies(df.where(F.lit(False))).count() == 0
+
+
+def test_contaminated_rows_go_alone(spark, tmp_path):
+    rng = random.Random(9)
+    item, clean = (" ".join(f"w{rng.randrange(4000)}" for _ in range(40)) for _ in range(2))
+    spark.createDataFrame([(1, item)], "item_id LONG, text STRING").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, item), (None, clean), (None, None), (1, item), (1, clean), (2, clean)]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    got = {tuple(r) for r in corpus_pipeline.drop_contaminated(spark, df, str(tmp_path)).collect()}
+    assert got == {(None, clean), (None, None), (1, clean), (2, clean)}
