@@ -41,16 +41,42 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BsdBinary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BsdNames",
     "all rights reserved": "Reserved",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "Mpl2Form",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "Gpl2Later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "Lgpl21Later",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GplWarranty",
+    "see the gnu lesser general public license for more details": "LgplSee",
 }
 
+#: How a licence is named in a sentence of its own, as expressions over normalised words.
+REFERENCES = {
+    "ApacheRef": "apache(?: license)?(?: version)? 2 0(?: license)?",
+    "MitRef": "mit(?: license)?",
+    "Gpl3Ref": "(?:gnu general public license|gnu gpl|gpl)(?: version)? v?3(?: 0)?(?: only)?",
+    "Gpl2Ref": "(?:gnu general public license|gnu gpl|gpl)(?: version)? v?2(?: 0)?(?: only)?",
+    "Lgpl3Ref": "(?:gnu lesser general public license|gnu lgpl|lgpl)(?: version)? v?3(?: 0)?(?: only)?",
+    "Lgpl21Ref": "(?:gnu lesser general public license|gnu lgpl|lgpl)(?: version)? v?2 1(?: only)?",
+    "Mpl2Ref": "(?:mozilla public license|mpl)(?: version| v)? 2 0",
+    "IscRef": "isc(?: license)?",
+    "Cc0Ref": "(?:cc0|creative commons zero)(?: v?1 0)?(?: universal)?(?: license)?",
+    "Bsd3Ref": "bsd 3 clause(?: license)?",
+    "Bsd2Ref": "bsd 2 clause(?: license)?",
+}
+_SUBJECT = "(?:this (?:project|work|software|program|file|code|library|package|repository) is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?"
+
 #: Ordered rules, the longer before the shorter.
 RULES = (
     (("ApacheRef", "ApacheUse", "ApacheCopy", "ApacheWarranty", "ApacheLimits"), "Apache-2.0"),
     (("BsdGrant", "BsdSource", "BsdBinary", "BsdNames"), "BSD-3-Clause"),
     (("MitGrant", "MitNotice", "MitWarranty"), "MIT"),
     (("Gpl3Later", "GplWarranty", "GplSee"), "GPL-3.0-or-later"),
+    (("Gpl2Later", "GplWarranty", "GplSee"), "GPL-2.0-or-later"),
+    (("Lgpl21Later", "GplWarranty", "LgplSee"), "LGPL-2.1-or-later"),
     (("BsdGrant", "BsdSource", "BsdBinary"), "BSD-2-Clause"),
     (("Gpl3Later",), "GPL-3.0-or-later"),
+    (("Gpl2Later",), "GPL-2.0-or-later"),
+    (("Lgpl21Later",), "LGPL-2.1-or-later"),
     (("MitGrant", "MitNotice"), "MIT"),
     (("ApacheRef",), "Apache-2.0"),
     (("MitRef",), "MIT"),
@@ -58,22 +84,50 @@ RULES = (
     (("CcByNc4Ref",), "CC-BY-NC-4.0"),
     (("CcBy4Ref",), "CC-BY-4.0"),
     (("Bsd3Ref",), "BSD-3-Clause"),
+    (("Bsd2Ref",), "BSD-2-Clause"),
+    (("Gpl2Ref",), "GPL-2.0-only"),
+    (("Lgpl3Ref",), "LGPL-3.0-only"),
+    (("Lgpl21Ref",), "LGPL-2.1-only"),
+    (("IscGrant",), "ISC"),
+    (("IscRef",), "ISC"),
+    (("Mpl2Form",), "MPL-2.0"),
+    (("Mpl2Ref",), "MPL-2.0"),
+    (("Cc0Ref",), "CC0-1.0"),
 )
 
 #: Identifiers of sentences that are not in the list: a line of copyright, or anything else with a trigger.
 COPYRIGHT, UNKNOWN = "Copyright", "Unknown"
 
 
+def _listed() -> dict[str, str]:
+    """For each identifier an expression of its sentences, between marks of cuts; words may be parted by a cut as well."""
+    ways: dict[str, list[str]] = {}
+    for sentence, name in sorted(SENTENCES.items(), key=lambda x: -len(x[0])):
+        ways.setdefault(name, []).append(sentence)
+    for name, words in REFERENCES.items():
+        ways.setdefault(name, []).append(_SUBJECT + words)
+    return {n: "\u0001(?:" + "|".join(w).replace(" ", "[ \u0001]") + ")(?=\u0001)" for n, w in ways.items()}
+
+
 def sentences(text: Column) -> Column:
-    """The sentences of a text that can speak of a licence, normalised."""
-    cut = F.regexp_replace(text, "([.!?;:])[ \\t\\r\\n]+", "$1\u0001")
+    """The sentences of a text that can speak of a licence, normalised; a listed one is its identifier after ``=``."""
+    # A line of an address is apart from the sentence before it.
+    cut = F.regexp_replace(text, "\\n[^\\p{L}\\p{N}\\n]*((?i:https?://)[^ \\t\\r\\n]*)", "\u0001$1\u0001")
+    cut = F.regexp_replace(cut, "([.!?;:])[ \\t\\r\\n]+", "$1\u0001")
     # A line break ends a sentence unless the next line goes on in lower case.
     cut = F.regexp_replace(cut, "[ \\t\\r]*\\n[ \\t\\r\\n]*([^a-z \\t\\r\\n])", "\u0001$1")
     plain = F.transform(
         F.split(cut, "\u0001"), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^\\p{L}\\p{N}]+", " "))
     )
-    return F.filter(plain, lambda s: s.rlike("|".join([*TRIGGERS, "^all rights reserved$", *_WITHOUT_TRIGGER])))
+    # Listed sentences are put together again over line wraps, comment marks, semicolons and colons.
+    joined = F.concat(F.lit("\u0001"), F.array_join(F.filter(plain, lambda s: s != ""), "\u0001"), F.lit("\u0001"))
+    for name, way in _listed().items():
+        joined = F.regexp_replace(joined, way, f"\u0001={name}")
+    return F.filter(F.split(joined, "\u0001"), lambda s: s.rlike("^=|" + "|".join(TRIGGERS)))
+
 
+#: References may have no trigger either.
+_NAMED = "(?:released|distributed)[^\\p{L}\\p{N}]+under[^\\p{L}\\p{N}]"
 
 #: Known sentences in which no trigger stands.
 _WITHOUT_TRIGGER = tuple(f"^{s}$" for s in SENTENCES if not any(t in s for t in TRIGGERS) and s != "all rights reserved")
@@ -94,9 +148,8 @@ def scan(
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     # Texts without any trigger are not cut at all; they cannot hold a listed sentence.
-    found = F.when(F.lower(text).rlike("|".join([*TRIGGERS, "all rights reserved", *_WITHOUT_TRIGGER])), sentences(text))
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    name = lambda s: F.coalesce(F.element_at(known, s), F.when(s.startswith("copyright "), COPYRIGHT), F.lit(UNKNOWN))
+    found = F.when(F.lower(text).rlike("|".join([*TRIGGERS, "all rights reserved", _NAMED, *_WITHOUT_TRIGGER])), sentences(text))
+    name = lambda s: F.coalesce(F.when(s.startswith("="), F.substr(s, F.lit(2))), F.when(s.startswith("copyright "), COPYRIGHT), F.lit(UNKNOWN))
     ids = F.transform(F.coalesce(found, F.array().cast("array<string>")), name)
     out = docs.withColumn(sentences_col, ids)
     # What rules match on: identifiers between semicolons, without those that stand between a licence's own.
