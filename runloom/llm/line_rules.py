@@ -79,6 +79,7 @@ def judge(
     max_share: float = 0.1,
     min_texts: int = 20,
     max_removed: float = 0.5,
+    clean_col: str | None = None,
 ) -> DataFrame:
     """The base figures of every document, what common lines take of it, and whether it is kept.
 
@@ -86,6 +87,9 @@ def judge(
     them hold it. A document that has more than ``max_removed`` of its characters in common lines is
     depleted. ``kept`` is false if the base rules fail or the document is depleted.
 
+    With ``clean_col``, that column has the text without its common lines; what is taken out of it is what the
+    depletion is judged by. Other lines stay as they are, blank ones included.
+
     A null text is empty and fails the base rules. A null host counts as the host with the empty name.
     Repeated rows get the same verdict, one row each. An empty table gives an empty one.
     """
@@ -101,16 +105,20 @@ def judge(
     texts = lines.select("host", "d1", "d2").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     often = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_texts)
     often = often.join(texts, "host").where(F.col("n") > max_share * F.col("texts")).select("host", "h", F.lit(True).alias("common"))
+    gone = [F.collect_set(F.when(F.col("common"), F.col("h"))).alias("gone")] if clean_col else []
     # Fewer than 1 / max_share times the lines of a text can be common in a host.
     sums = (
         lines.join(often, ["host", "h"], "left")
         .groupBy("host", "d1", "d2")
-        .agg(F.sum("size").alias("all_chars"), F.sum(F.when(F.col("common"), F.col("size")).otherwise(0)).alias("common_chars"))
+        .agg(F.sum("size").alias("all_chars"), F.sum(F.when(F.col("common"), F.col("size")).otherwise(0)).alias("common_chars"), *gone)
         .where("common_chars > 0")
     )
-    figures = base_figures(docs, text_col, **{"id_": F.col(id_col)}, **name)
+    figures = base_figures(docs, text_col, **{"id_": F.col(id_col)}, **name, **({"whole": text} if clean_col else {}))
     share = F.coalesce(F.col("common_chars") / F.col("all_chars"), F.lit(0.0))
     judged = figures.join(sums, ["host", "d1", "d2"], "left").withColumn("common_share", share)
+    stays = lambda x: (normalised(x) == "") | ~F.array_contains("gone", F.xxhash64(normalised(x)))
+    left = F.array_join(F.filter(F.split("whole", "\n"), stays), "\n")
+    clean = [F.when(F.col("gone").isNull(), F.col("whole")).otherwise(left).alias(clean_col)] if clean_col else []
     return judged.select(
         F.col("id_").alias(id_col),
         "n_words",
@@ -121,4 +129,5 @@ def judge(
         "base_failed",
         (~F.col("base_failed") & (F.col("common_share") <= max_removed)).alias("kept"),
         "common_share",
+        *clean,
     )
