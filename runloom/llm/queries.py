@@ -11,7 +11,9 @@ from runloom.llm import (
     chat_tree,
     common,
     contamination,
+    filter_audit,
     fixity,
+    jaccard_join,
     licenses,
     line_rules,
     pieces,
@@ -19,6 +21,7 @@ from runloom.llm import (
     substrings,
     suffix_tree,
     toxicity,
+    turn_repair,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,6 +175,37 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(docs)
 
 
+@query
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return jaccard_join.similar_groups(docs, size=4, percent=85)
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Conversations damaged by rule: each row's hash drops it (``present`` false), empties, cuts or repeats it, or changes its role."""
+    spaced = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    fate = F.crc32(F.concat(spaced["conv_id"], F.lit(":"), spaced["turn"]).cast("binary")) % 20
+    text = F.when(fate == 1, "").when(fate == 2, F.regexp_replace(spaced["text"], "[.!?]", "")).otherwise(spaced["text"])
+    copies = F.explode(F.array_repeat(fate != 0, F.when(fate == 3, 2).otherwise(1)))
+    role = F.when(fate == 4, "user").otherwise(spaced["role"])
+    return turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("present"))
+
+
+@query
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return turn_repair.repair(damaged_turns(turns), present=F.col("present"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    flagged = filter_audit.measured(docs)
+    flagged = filter_audit.with_labels(flagged, labels, "doc_id", {"good": "quality", "toxic": "toxic"})
+    return filter_audit.audit(flagged, "ABCDE", weights=["good", "toxic"])
+
+
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express, for DuckDB."""
     return dict(SQL)
@@ -238,3 +272,59 @@ passed AS (SELECT * FROM scored WHERE similarity >= 0.8)
 SELECT doc_id, item_id, similarity, start AS first_word, stop - 1 AS last_word, n_windows
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r,
   count(*) OVER (PARTITION BY doc_id, item_id) AS n_windows FROM passed) WHERE r = 1"""
+
+SQL["op13_filter_audit"] = rf"""WITH {WORDS},
+measured AS (
+  SELECT doc_id, coalesce(lang, '') AS part, len(ws) < 100 AS a, 100 * len(list_distinct(ws)) < 80 * len(ws) AS b,
+    100 * len(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) > 10 * length(coalesce(text, '')) AS c,
+    regexp_matches(coalesce(text, ''), '[#$%&*|]') AS d,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS e
+  FROM words JOIN documents USING (doc_id)),
+marks AS (
+  SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM measured LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest(range(1, 6)) AS f),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.f, q.f, r.f, s.f, t.f] AS o
+  FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.f, q.f, r.f, s.f, t.f])) = 5),
+gone AS (
+  SELECT part, filter_order, fails, n, good, toxic,
+    list_min(list_filter([CASE WHEN fails[o[1]] THEN 1 END, CASE WHEN fails[o[2]] THEN 2 END, CASE WHEN fails[o[3]] THEN 3 END,
+      CASE WHEN fails[o[4]] THEN 4 END, CASE WHEN fails[o[5]] THEN 5 END], lambda x: x IS NOT NULL)) AS hit
+  FROM masks, orders),
+steps AS (
+  SELECT g.part, g.filter_order, r.step, o.o[r.step] AS f,
+    sum(n) FILTER (WHERE hit IS NULL OR hit > r.step) AS kept,
+    sum(n) FILTER (WHERE hit = r.step) AS removed,
+    sum(n) FILTER (WHERE hit < r.step AND fails[o.o[r.step]]) AS redundant,
+    sum(n) FILTER (WHERE fails[o.o[r.step]] AND len(list_filter(fails, lambda x: x)) = 1) AS unique_fails,
+    sum(good) FILTER (WHERE hit = r.step) AS good_lost,
+    sum(toxic) FILTER (WHERE hit = r.step) AS toxic_lost
+  FROM gone g JOIN orders o USING (filter_order), range(1, 6) r(step)
+  GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+  CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley
+FROM steps"""
+
+SQL["op11_jaccard_join"] = r"""WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS ws
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE
+    list_distinct(list_transform(range(1, greatest(len(ws) - 2, 2)), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS s
+  FROM words),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, len(s) AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM sets"""
