@@ -99,6 +99,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def majority_bits(hashes: np.ndarray) -> int:
+    """64 bits, each set in more than half of the hashes; none for no hashes."""
+    ones = np.zeros(64, np.int64)
+    for begin in range(0, len(hashes), 1 << 16):  # bounds what a very long text takes
+        part = hashes[begin : begin + (1 << 16)].astype(">u8").view(np.uint8)
+        ones += np.unpackbits(part.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0])
+
+
 def range_bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Where sorted 64-bit keys are cut into equal ranges of the key space."""
     step = (1 << 64) // ranges

@@ -34,6 +34,9 @@ COUNT_PARTS, COUNT_GROUPS = 16, 16
 #: Members of a bucket that one task compares with each other; larger buckets are dealt out in pairs of blocks.
 BUCKET_BLOCK = 2048
 
+#: Pairs that a task looks at in one step.
+PAIRS = 1 << 19
+
 #: Rounds in which a bucket's members are compared with one of them, before those not yet connected are compared in pairs.
 STAR_ROUNDS = 2
 
@@ -57,6 +60,14 @@ def ngrams(text: bytes, size: int) -> np.ndarray:
     return common.mixed(total + np.uint64(width))
 
 
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc`` and ``text`` with two hashes of the text, by which a row is found again."""
+    text = docs[text_col]
+    return docs.select(
+        docs[id_col].alias("doc"), text.alias("text"), F.xxhash64(text).alias("mark"), F.xxhash64(F.lit("second"), text).alias("second")
+    )
+
+
 def rareness(texts: DataFrame, size: int) -> np.ndarray:
     """How often the n-grams of each hash occur in the ``text`` of all rows."""
 
@@ -112,11 +123,29 @@ def least_shared(total, percent: int):
     return -(-percent * total // (100 + percent))
 
 
-def _rows(texts: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Each row's set: 128-bit key, size, prefix and cells."""
+def described(texts: DataFrame, size: int, percent: int, fingerprints: bool = False) -> DataFrame:
+    """The rows without their ``text``, numbered, with what the join needs of each one's set: key, size, prefix and cells.
+
+    The key has 128 bits. ``fp`` is the SimHash of the n-grams, repeats included, if asked for. The table is written, so numbers never change.
+    """
+    numbered = texts.withColumn("row", F.monotonically_increasing_id())
+    return common.written(_described(numbered, rareness(texts, size), size, percent, fingerprints), "rows")
+
+
+def points_of(rows: DataFrame) -> DataFrame:
+    """One row per distinct set, named by its least row in ``id``, with the ``doc``, ``mark`` and ``second`` of one text that has it."""
+    one = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark", "second")
+    points = rows.groupBy("k1", "k2").agg(
+        F.min("row").alias("id"), F.min(one).alias("one"), *[F.first(c).alias(c) for c in ("n", "prefix", "cells", "fp")]
+    )
+    points = points.select("k1", "k2", "id", "one.doc", "one.mark", "one.second", "n", "prefix", "cells", "fp")
+    return common.written(points, "points")
+
+
+def _described(texts: DataFrame, counts: np.ndarray, size: int, percent: int, fingerprints: bool) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(counts)
     carried = [f for f in texts.schema if f.name != "text"]
-    figures = "k1 long, k2 long, n int, prefix array<long>, cells binary"
+    figures = "k1 long, k2 long, n int, prefix array<long>, cells binary, fp long"
     schema = T.StructType([*carried, *T.StructType.fromDDL(figures)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +153,11 @@ def _rows(texts: DataFrame, counts: np.ndarray, size: int, percent: int) -> Data
         for whole in batches:
             for begin in range(0, whole.num_rows, 1000):
                 batch = whole.slice(begin, 1000)
-                keys, sizes, prefixes, cells = [], [], [], []
+                keys, sizes, prefixes, cells, marks = [], [], [], [], []
                 for text in common.as_bytes(batch.column("text")):
-                    s = np.unique(ngrams(text, size))
+                    grams = ngrams(text, size)
+                    marks.append(common.majority_bits(grams) if fingerprints else 0)
+                    s = np.unique(grams)
                     seen = order_of[(s & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)]
                     first = np.lexsort((s, seen))[: prefix_length(len(s), percent) if len(s) else 0]
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -144,6 +175,7 @@ def _rows(texts: DataFrame, counts: np.ndarray, size: int, percent: int) -> Data
                     pa.array(sizes, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                     pa.array(cells, pa.binary()),
+                    pa.array(np.array(marks, np.uint64).view(np.int64)),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
@@ -207,58 +239,101 @@ def _verified(pairs: DataFrame, points: DataFrame, texts: DataFrame, size: int,
     return common.written(both.where((100 + percent) * shared >= percent * total).select("a", "b"), "links")
 
 
+def verified_links(pairs: DataFrame, points: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of any pairs ``a``, ``b`` of points those that are similar enough, each once."""
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    return _verified(_filtered(ordered, points, percent), points, texts, size, percent)
+
+
 def _block_pairs(percent: int):
-    """The pairs of one bucket or pair of blocks that are not connected and pass all filters."""
+    """The pairs of each bucket or pair of blocks that are not connected and pass all filters.
+
+    Rows come sorted by bucket. Whole buckets, small ones by the thousand, are compared at once.
+    """
 
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["n"].to_numpy(), kind="stable")
-        ids, n, place, label, block = (table[c].to_numpy()[order] for c in ("id", "n", "pos", "label", "mine"))
-        cells = np.frombuffer(b"".join(table["cells"].to_pylist()), np.uint8).reshape(-1, CELLS)[order]
+    def pairs_of(rows: pa.Table) -> np.ndarray:
+        ids, n, place, label, mine, token, i, j = (
+            rows[c].to_numpy() for c in ("id", "n", "pos", "label", "mine", "token", "i", "j")
+        )
+        cells = np.frombuffer(b"".join(rows["cells"].to_pylist()), np.uint8).reshape(-1, CELLS)
         after = n - place
-        found = [np.empty((0, 2), np.int64)]
-        # Sets sorted by size: the partners of each are the larger ones that its size allows.
-        last = np.searchsorted(n, n.astype(np.int64) * 100 // percent, side="right")
-        whole = len(np.unique(block)) == 1
-        for i in range(len(ids)):
-            j = np.arange(i + 1, last[i])
-            j = j[label[j] != label[i]]
-            j = j if whole else j[block[j] != block[i]]
-            j = j[np.minimum(after[i], after[j]) >= least_shared(n[i].astype(np.int64) + n[j], percent)]
-            if len(j):
-                j = j[_may_be_similar(n[i], n[j], cells[i], cells[j], percent)]
-                found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
-        pairs = np.concatenate(found)
-        return pa.table({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
+        ends = np.append(_starts(token, i, j)[1:], len(ids))
+        end_of = np.repeat(ends, np.diff(np.append(0, ends)))
+        partners = end_of - np.arange(len(ids)) - 1
+        total = np.concatenate([[0], np.cumsum(partners)])
+        found, begin = [np.empty((0, 2), np.int64)], 0
+        while begin < len(ids):
+            # So many rows that their pairs fit; a row has fewer partners than its bucket has members.
+            stop = max(begin + 1, int(np.searchsorted(total, total[begin] + PAIRS, side="right")) - 1)
+            count = partners[begin:stop]
+            a = np.repeat(np.arange(begin, stop), count)
+            b = a + 1 + np.arange(len(a)) - np.repeat(total[begin:stop] - total[begin], count)
+            fits = (label[a] != label[b]) & ((mine[a] != mine[b]) | (i[a] == j[a]))
+            fits &= np.minimum(after[a], after[b]) >= least_shared(n[a].astype(np.int64) + n[b], percent)
+            a, b = a[fits], b[fits]
+            near = _may_be_similar(n[a], n[b], cells[a], cells[b], percent)
+            a, b = ids[a[near]], ids[b[near]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            begin = stop
+        return np.unique(np.concatenate(found), axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            last = int(_starts(*[rows[c].to_numpy() for c in ("token", "i", "j")])[-1]) if rows.num_rows else 0
+            held = rows.slice(last)
+            if last:
+                yield _as_batch(pairs_of(rows.slice(0, last)))
+        if held is not None and held.num_rows:
+            yield _as_batch(pairs_of(held))
 
     return run
 
 
-def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """The members of buckets that are not connected yet, with the ``label`` of what each belongs to."""
-    label = components(links, "a", "b").withColumnRenamed("node", "id")
-    named = buckets.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    named = common.written(named, "labels")
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the one before."""
+    changed = np.ones(len(columns[0]), bool)
+    changed[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(changed)
+
+
+def _as_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+
+def _open_members(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The members of buckets that are not wholly connected yet, with the ``label`` of what each belongs to."""
+    if links is None:
+        named = buckets.withColumn("label", F.col("id"))
+    else:
+        label = components(links, "a", "b").withColumnRenamed("node", "id")
+        named = buckets.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        named = common.written(named, "labels")
     ends = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
     return named.join(ends.where("low < high"), "token")
 
 
-def links_between(points: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Edges ``a``, ``b`` that connect every two points whose sets are similar enough; each is such a pair itself."""
+def links_between(
+    points: DataFrame, texts: DataFrame, size: int, percent: int, known: DataFrame | None = None, block: int | None = None
+) -> DataFrame:
+    """Edges ``a``, ``b`` that connect every two points whose sets are similar enough; each is such a pair itself.
+
+    ``known`` has edges that were found by other means; what they connect is not compared again.
+    """
+    block = block or BUCKET_BLOCK
     postings = points.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    ends = postings.groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("high")).where("head < high")
-    buckets = common.written(postings.join(ends.select("token", "head"), "token"), "buckets")
-    known = None
-    members = buckets
-    for turn in range(STAR_ROUNDS):
-        # The least of a bucket first, then the least that belongs to the last label.
-        stars = members.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
-        found = _verified(_filtered(stars.distinct(), points, percent), points, texts, size, percent)
+    ends = postings.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    buckets = common.written(postings.join(ends.select("token"), "token"), "buckets")
+    for _ in range(STAR_ROUNDS):
+        # One member that belongs to the last label, compared with all that belong to others.
+        members = common.written(_open_members(buckets, known), "members")
+        heads = members.where("label = high").groupBy("token").agg(F.min("id").alias("head"))
+        rest = members.where("label < high").join(heads, "token")
+        stars = rest.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+        found = _verified(_filtered(stars, points, percent), points, texts, size, percent)
         known = found if known is None else known.unionByName(found)
-        members = _labelled(buckets.drop("head"), known)
-        if turn + 1 < STAR_ROUNDS:
-            members = common.written(members, "members")
-            heads = members.where("label = high").groupBy("token").agg(F.min("id").alias("head"))
-            members = members.join(heads, "token").where("label < high")
     pair = F.explode(
         F.transform(
             F.sequence(F.lit(0), F.col("blocks").cast("int") - 1),
@@ -266,13 +341,16 @@ def links_between(points: DataFrame, texts: DataFrame, size: int, percent: int)
         )
     )
     dealt = (
-        members.withColumn("blocks", F.ceil(F.col("size") / BUCKET_BLOCK))
+        _open_members(buckets, known)
+        .withColumn("blocks", F.ceil(F.col("size") / block))
         .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .join(points.select("id", "cells"), "id")
         .select("token", "id", "n", "pos", "label", "cells", "mine", pair.alias("pair"))
+        .select("token", "pair.i", "pair.j", "id", "n", "pos", "label", "cells", "mine")
     )
-    rest = dealt.groupBy("token", "pair").applyInArrow(_block_pairs(percent), "a long, b long").distinct()
-    return known.unionByName(_verified(rest, points, texts, size, percent))
+    sorted_ = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    rest = sorted_.mapInArrow(_block_pairs(percent), "a long, b long").distinct()
+    return common.written(known.unionByName(_verified(rest, points, texts, size, percent)), "links")
 
 
 def similar_groups(
@@ -293,30 +371,10 @@ def similar_groups(
 
     N-grams are compared by 64-bit keys, sets of equal texts by 128 bits. No pair is left out, whatever the size of its bucket.
     """
-    texts = docs.select(
-        docs[id_col].alias("doc"),
-        docs[text_col].alias("text"),
-        F.xxhash64(docs[text_col]).alias("mark"),
-        F.xxhash64(F.lit("second"), docs[text_col]).alias("second"),
-    )
-    counts = rareness(texts, size)
-    # Numbers are kept with the rows, so they never change.
-    numbered = texts.withColumn("row", F.monotonically_increasing_id())
-    rows = common.written(_rows(numbered, counts, size, percent), "rows")
-    one = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark", "second")
-    points = (
-        rows.where("n > 0")
-        .groupBy("k1", "k2")
-        .agg(
-            F.min("row").alias("id"),
-            F.min(one).alias("one"),
-            *[F.first(c).alias(c) for c in ("n", "prefix", "cells")],
-        )
-        .select("k1", "k2", "id", "one.doc", "one.mark", "one.second", "n", "prefix", "cells")
-    )
-    points = common.written(points, "points")
-    links = links_between(points, texts, size, percent)
-    label = components(common.written(links, "links"), "a", "b").withColumnRenamed("node", "id")
+    texts = marked(docs, id_col, text_col)
+    rows = described(texts, size, percent)
+    points = points_of(rows.where("n > 0"))
+    label = components(links_between(points, texts, size, percent), "a", "b").withColumnRenamed("node", "id")
     named = points.select("k1", "k2", "id", "doc").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = common.written(named, "classes")
     least = named.groupBy("label").agg(F.min("doc").alias("least"))
