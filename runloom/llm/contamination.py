@@ -28,8 +28,8 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
-def with_shingles(df: DataFrame, text: str, shingle: int) -> DataFrame:
-    """``df`` without its text, with the number of words and the hashes of all runs of ``shingle`` words."""
+def with_shingles(df: DataFrame, text: str, shingle: int, keep: bool = False) -> DataFrame:
+    """``df``, its text only with ``keep``, with the number of words and the hashes of all runs of ``shingle`` words."""
 
     def hashes(words: Column) -> Column:
         each = F.sequence(F.lit(0), F.size(words) - shingle)
@@ -39,7 +39,7 @@ def with_shingles(df: DataFrame, text: str, shingle: int) -> DataFrame:
 
     # The words are bound once per row, or the optimizer may split the text anew for each of them.
     return df.withColumn("s", let(words_of(F.col(text)), hashes)).select(
-        *[c for c in df.columns if c != text], "s.shingles", "s.n_words"
+        *[c for c in df.columns if keep or c != text], "s.shingles", "s.n_words"
     )
 
 
@@ -114,20 +114,30 @@ def find(
     return result.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
+def _hits(rows: DataFrame, marks: DataFrame, shingle: int) -> DataFrame:
+    """``id, digest, text`` of the rows that share a shingle with an item, and in ``seeds`` where and with items of what size."""
+    seeds = F.collect_set(F.struct("place", "size")).alias("seeds")
+    if marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # The text goes along to the aggregation, so that only documents with a hit are shuffled and none is read again.
+        places = with_shingles(rows, "text", shingle, keep=True).select("id", "digest", "text", F.posexplode_outer("shingles").alias("place", "h"))
+        return places.join(F.broadcast(marks), "h").groupBy("id", "digest").agg(seeds, F.first("text").alias("text"))
+    places = with_shingles(rows, "text", shingle).select("id", "digest", F.posexplode_outer("shingles").alias("place", "h"))
+    found = places.join(marks, "h").groupBy("id", "digest").agg(seeds)
+    found = found.withColumnsRenamed({"id": "seed_id", "digest": "seed_digest"})
+    same = F.col("id").eqNullSafe(F.col("seed_id")) & (F.col("digest") == F.col("seed_digest"))
+    return rows.join(found, same).groupBy("id", "digest").agg(F.first("seeds").alias("seeds"), F.first("text").alias("text"))
+
+
 def _find_size(
     docs: DataFrame, items: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, radius: int
 ) -> DataFrame:
     items = with_shingles(items, "item_text", shingle).withColumnsRenamed({"shingles": "item_shingles", "n_words": "size"})
     items = common.written(items.withColumn("item_fp", simhash(F.col("item_shingles"))), "items")
-    marks = _maybe_broadcast(items.select(F.explode("item_shingles").alias("h"), "size").distinct())
+    marks = items.select(F.explode("item_shingles").alias("h"), "size").distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("digest", F.xxhash64("text"))
-    places = with_shingles(rows, "text", shingle).select("id", "digest", F.posexplode_outer("shingles").alias("place", "h"))
-    seeds = places.join(marks, "h").groupBy("id", "digest").agg(F.collect_set(F.struct("place", "size")).alias("seeds"))
-    seeds = common.written(seeds.select(F.col("id").alias("seed_id"), F.col("digest").alias("seed_digest"), "seeds"), "seeds")
-    same = F.col("id").eqNullSafe(F.col("seed_id")) & (F.col("digest") == F.col("seed_digest"))
-    hit = rows.join(seeds, same).select("id", "digest", "text", "seeds")
-    hit = with_shingles(hit, "text", shingle)
+    hit = _hits(rows, marks, shingle)
+    hit = with_shingles(common.written(hit, "hits"), "text", shingle)
     last = lambda size: F.greatest(F.lit(0), F.size("shingles") - (size - shingle + 1))
     starts = F.array_distinct(
         F.transform("seeds", lambda s: F.struct(F.least(s["place"], last(s["size"])).alias("start"), s["size"].alias("size")))
