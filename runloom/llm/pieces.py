@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,10 @@ BLANK = "▁"
 
 #: Segments longer than this are encoded anew each time.
 CACHED_CHARACTERS = 64
-CACHED_SEGMENTS = 400_000
+#: Segments that a worker keeps of late; when they are as many, those not seen since the last time go.
+CACHED_SEGMENTS = 250_000
+#: Symbols up to which the agenda is a list.
+SHORT = 24
 
 
 class Pieces:
@@ -47,12 +51,48 @@ class Pieces:
         across = any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.segments = re.compile("(?s:.+)" if across else f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
         self.seen: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         if library.normalize("x y") != f"{BLANK}x{BLANK}y":
             raise ValueError("a vocabulary that marks blanks and adds one in front is needed")
 
     def merge(self, segment: str) -> list[int]:
         """The ids of one segment, by the agenda."""
         symbols: list[str] = list(segment)
+        if len(symbols) <= SHORT:
+            self._merge_short(symbols)
+        else:
+            self._merge_long(symbols)
+        out: list[int] = []
+        for symbol in symbols:
+            if not symbol:
+                continue
+            number = self.ids.get(symbol)
+            if number is not None:
+                out.append(number)
+            elif self.bytes:
+                out.extend(self.bytes[b] for b in symbol.encode())
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
+        return out
+
+    def _merge_short(self, symbols: list[str]) -> None:
+        """The agenda of a few symbols is the list of their pairs' ranks; the first of the least is next."""
+        rank, none = self.ranks.get, float("inf")
+        agenda = [rank(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while agenda:
+            least = min(agenda)
+            if least == none:
+                return
+            i = agenda.index(least)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(symbols[i] + symbols[i + 1], none)
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], none)
+
+    def _merge_long(self, symbols: list[str]) -> None:
+        """The agenda as a heap; symbols merged away become empty."""
         n, ranks = len(symbols), self.ranks
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = []
@@ -82,37 +122,30 @@ class Pieces:
                 rank = ranks.get(wider)
                 if rank is not None:
                     heapq.heappush(agenda, (rank, h, wider))
-        out: list[int] = []
-        for symbol in symbols:
-            if not symbol:
-                continue
-            number = self.ids.get(symbol)
-            if number is not None:
-                out.append(number)
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in symbol.encode())
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed 32-bit numbers, checked against the library."""
         cut = [self.segments(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         if len(self.seen) > CACHED_SEGMENTS:
-            self.seen = {}
-        known, fresh = self.seen, {}
+            self.seen, self.before = {}, self.seen
+        known, before, fresh = self.seen, self.before, {}
         for parts in cut:
             for part in parts:
                 if part not in known and part not in fresh:
-                    fresh[part] = np.array(self.merge(part), np.int32).tobytes()
+                    ids = before.get(part)
+                    if ids is not None:
+                        known[part] = ids
+                    else:
+                        fresh[part] = self.merge(part)
         wanted = self.library.encode([p[1:].replace(BLANK, " ") for p in fresh], num_threads=1) if fresh else []
-        for part, ids in zip(fresh, wanted):
+        packed = {}
+        for (part, own), ids in zip(fresh.items(), wanted):
             # The library gives nothing for an empty text, which here is the blank in front alone.
-            if len(part) > 1 and np.array(ids, np.int32).tobytes() != fresh[part]:
+            if own != ids and len(part) > 1:
                 raise ValueError(f"ids of {part[:80]!r} differ from the library's")
-        short = {p: i for p, i in fresh.items() if len(p) <= CACHED_CHARACTERS}
-        out = [b"".join([known.get(p) or fresh[p] for p in parts]) for parts in cut]
-        known.update(short)
+            packed[part] = array("i", own).tobytes()
+        out = [b"".join([known.get(p) or packed[p] for p in parts]) for parts in cut]
+        known.update((p, i) for p, i in packed.items() if len(p) <= CACHED_CHARACTERS)
         return out
 
 
