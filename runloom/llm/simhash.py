@@ -5,8 +5,8 @@ vector v and keeps the bits whose vector has an odd product with v. The vectors
 ``radius`` differing bits span less than the whole space, so some v is orthogonal to all of them:
 in that table the pair agrees. No pair within the radius is missed.
 
-``first_copies`` is the general mode: near-copies by the exact similarity of word shingles, which
-differ by far more bits than any covering can reach. Candidates share a band of minimum hashes.
+``first_copies`` is the general mode: near-copies by the exact similarity of word shingles. Fingerprints connect the nearest ones;
+the others differ by more bits than any covering can reach and are found by shared rare shingles.
 """
 
 from __future__ import annotations
@@ -20,22 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runloom.llm import common
+from runloom.llm import common, jaccard_join
 from runloom.llm.components import components
 
 #: Fingerprints of one table's bucket that one task compares; larger buckets are dealt out in pairs of blocks.
 BUCKET_BLOCK = 2048
 
-#: Texts to compare up to which their hashes are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-
 #: Like ``BUCKET_BLOCK``, for texts whose shingles are compared.
-SET_BLOCK = 512
-
-#: Bands of minimum hashes. A pair at similarity 0.8 shares none of them with a chance of 1.3e-7, one at 0.9 with 3e-16.
-BANDS, BAND_ROWS = 40, 5
-_FACTORS, _ADDENDS = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
-_FACTORS |= np.uint64(1)
+SET_BLOCK = 2048
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -180,160 +172,45 @@ def near_duplicates(
     )
 
 
-def shingle_set(text: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
-    """The sorted distinct hashes of a text's word shingles; a shorter text is one shingle, an empty one has none."""
-    words = text.lower().split()
-    of = xxhash.xxh64_intdigest
-    spans = range(max(1, len(words) - shingle + 1)) if words else ()
-    return np.unique(np.array([of(b" ".join(words[i : i + shingle]), seed) for i in spans], np.uint64))
-
-
-def _least_hashes(shingles: np.ndarray) -> np.ndarray:
-    """For each hash function the least value over the shingles."""
-    least = np.full(len(_FACTORS), (1 << 64) - 1, np.uint64)
-    for begin in range(0, len(shingles), 128):
-        np.minimum(least, (shingles[begin : begin + 128, None] * _FACTORS + _ADDENDS).min(axis=0), out=least)
-    return least
-
-
-def _bands(sets: list[np.ndarray]) -> np.ndarray:
-    """One number per text and band, equal where all minimum hashes of the band are."""
-    least = np.stack([_least_hashes(s) for s in sets]).reshape(-1, BANDS, BAND_ROWS)
-    slots = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), least.shape[:2])
-    for k in range(BAND_ROWS):
-        slots = common.mixed(slots * np.uint64(0x9E3779B97F4A7C15) + common.mixed(least[:, :, k]))
-    return slots.view(np.int64)
-
-
-def _hashed(rows: DataFrame, out_col: str) -> DataFrame:
-    """The rows without their ``text``, with a key ``fp`` of its words and its ``bands`` or ``shingles``."""
-    carried = [f for f in rows.schema if f.name != "text"]
-    schema = T.StructType([*carried, T.StructField("fp", T.LongType()), T.StructField(out_col, T.ArrayType(T.LongType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 1000):
-                batch = whole.slice(begin, 1000)
-                texts = common.as_bytes(batch.column("text"))
-                keys = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) for t in texts], np.uint64).view(np.int64)
-                values = [shingle_set(t) for t in texts]
-                values = list(_bands(values)) if out_col == "bands" else values
-                ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).view(np.int64)))
-                kept = [batch.column(f.name) for f in carried]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(keys), lists], names=schema.names)
-
-    return rows.mapInArrow(run, schema)
-
-
-def _similar_forest(threshold: float):
-    """Edges that join the similar texts of one bucket or pair of blocks, of those not yet joined by their label."""
-
-    def run(table: pa.Table) -> pa.Table:
-        fp, first = np.unique(table["fp"].to_numpy(), return_index=True)
-        label = table["label"].to_numpy()[first]
-        lists = table["shingles"].combine_chunks().take(pa.array(first))
-        sizes = lists.value_lengths().to_numpy()
-        values = lists.flatten().to_numpy().view(np.uint64)
-        begins = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(fp)), sizes)
-        rest, edges = np.ones(len(fp), bool), []
-        for start in range(len(fp)):
-            front = np.flatnonzero(rest & (label == label[start])).tolist() if rest[start] else []
-            rest[front] = False
-            while front and rest.any():
-                pivot = front.pop()
-                own = values[begins[pivot] : begins[pivot] + sizes[pivot]]
-                place = np.minimum(np.searchsorted(own, values), max(0, len(own) - 1))
-                shared = np.bincount(owner[own[place] == values] if len(own) else owner[:0], minlength=len(fp))
-                near = rest & (shared >= 1) & (shared / np.maximum(sizes + sizes[pivot] - shared, 1) >= threshold)
-                edges.extend((fp[pivot], fp[x]) for x in np.flatnonzero(near))
-                joined = np.flatnonzero(rest & np.isin(label, label[near]))
-                front.extend(joined.tolist())
-                rest[joined] = False
-        pairs = np.array(edges, np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
-
-    return run
-
-
-def _sets_of(rows: DataFrame, asked: DataFrame, texts: DataFrame) -> DataFrame:
-    """``fp`` and ``shingles`` of the keys asked for, hashed again from one text each: few texts have candidates."""
-    one = rows.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("mark", "second")).alias("m"))
-    one = common.written(one.select("m.mark", "m.second"), "asked")
-    one = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one
-    wanted = texts.join(one, ["mark", "second"], "left_semi").select("text")
-    return common.written(_hashed(wanted, "shingles").groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
-
+def _fingerprint_pairs(points: DataFrame, radius: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of points that connect all whose fingerprints lie within the radius."""
+    heads = common.written(points.groupBy("fp").agg(F.min("id").alias("head")), "heads")
+    same = points.join(heads, "fp").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    ends = [heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab"]
+    near = links(heads.select("fp"), radius).join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    return common.written(same.unionByName(near), "near")
 
-def similar_links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Edges ``a``, ``b`` that connect every two texts whose shingles have that similarity or more.
 
-    ``rows`` has ``fp``, ``bands`` and the hashes ``mark`` and ``second`` of the text, ``texts`` has ``text`` and these.
-    As in ``links``, each bucket is first compared with its smallest member, and only what is not connected
-    then is compared in pairs.
-    """
-    points = rows.groupBy("fp").agg(F.first("bands").alias("bands"))
-    buckets = common.written(points.select("fp", F.explode("bands").alias("slot")), "slots")
-    heads = buckets.groupBy("slot").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    full = common.written(buckets.join(heads, "slot"), "buckets")
-    sets = _sets_of(rows, full.select("fp").distinct(), texts)
-    asked = full.where("fp <> head").select("head", "fp").distinct()
-    of_head = sets.select(F.col("fp").alias("head"), F.col("shingles").alias("head_shingles"))
-    shared = F.size(F.array_intersect("shingles", "head_shingles"))
-    both = asked.join(sets, "fp").join(of_head, "head").withColumn("shared", shared)
-    near = F.col("shared") / (F.size("shingles") + F.size("head_shingles") - F.col("shared")) >= threshold
-    stars = common.written(both.where((F.col("shared") > 0) & near).select(F.col("head").alias("a"), F.col("fp").alias("b")), "stars")
-    label = components(stars, "a", "b")
-    named = full.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    named = common.written(named.select("slot", "fp", "label"), "labels")
-    # A bucket of two was compared already.
-    open_buckets = (
-        named.groupBy("slot")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-        .where("low < high AND size > 2")
-    )
-    pairs = F.explode(
-        F.transform(
-            F.sequence(F.lit(0), F.col("blocks").cast("int") - 1),
-            lambda other: F.struct(F.least("mine", other).alias("i"), F.greatest("mine", other).alias("j")),
-        )
-    )
-    dealt = (
-        named.join(open_buckets, "slot")
-        .withColumn("blocks", F.ceil(F.col("size") / SET_BLOCK))
-        .withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        .select("slot", "fp", "label", pairs.alias("pair"))
-        .join(sets, "fp")
-    )
-    rest = dealt.groupBy("slot", "pair").applyInArrow(_similar_forest(threshold), "a long, b long")
-    return stars.unionByName(rest)
-
-
-def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` without near-copies: of each group, the row with the smallest id.
 
     Two texts are near-copies if their distinct 5-word shingles (ASCII letters in lower case, words between ASCII blanks)
-    have a Jaccard similarity of ``threshold`` or more; groups are what such pairs connect. The similarity is exact;
-    a pair is a candidate if it shares a band, see ``BANDS`` for the chance that it does not. A text below five words has
-    copies of equal words only. Null and empty texts are copies of each other.
+    have a Jaccard similarity of ``threshold`` or more, taken in percent; groups are what such pairs connect. Fingerprints within ``radius``
+    bits are the first candidates, each verified by the whole sets. At a similarity of 0.8 about nine bits differ, which no
+    covering reaches, so pairs that are not connected then are found by shared rare shingles, exactly, see ``jaccard_join``. A
+    text below five words has copies of equal words only. Null and empty texts are copies of each other.
 
     Rows are judged one by one: by id and text, so rows of one id with different texts, and rows without an id, are
     rows like any other. A null id comes after all others; then the text's hash decides. Repeated rows stay once.
-    All columns stay. An empty table gives an empty one. Texts of equal words (64-bit keys) are one point.
+    All columns stay, whatever their names. An empty table gives an empty one. Texts of any length are compared whole.
     """
-    mark, second = (common.free_name(n, docs) for n in ("mark", "second"))
-    marks = {mark: F.xxhash64(text_col), second: F.xxhash64(F.lit("second"), F.col(text_col))}
-    texts = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), marks[mark].alias("mark"), marks[second].alias("second")
-    )
-    rows = common.written(_hashed(texts, "bands"), "bands")
-    links_ = common.written(similar_links(rows, texts.drop("id"), threshold), "links")
-    label = components(links_, "a", "b").withColumnRenamed("node", "fp")
-    named = rows.select("fp", "id", "mark", "second").join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "second")
-    first = named.groupBy("label").agg(F.min(order).alias("o"))
-    first = first.select(F.col("o.id").alias("first_id"), F.col("o.mark").alias("first_mark"), F.col("o.second").alias("first_second"))
-    first = common.written(first, "first")
-    same = F.col(id_col).eqNullSafe(F.col("first_id")) & (F.col(mark) == F.col("first_mark")) & (F.col(second) == F.col("first_second"))
-    return docs.withColumns(marks).join(first, same, "left_semi").dropDuplicates([id_col, text_col]).drop(mark, second)
+    size, percent = 5, round(100 * threshold)
+    texts = jaccard_join.marked(docs, id_col, text_col)
+    rows = jaccard_join.described(texts, size, percent, fingerprints=True)
+    points = jaccard_join.points_of(rows)
+    known = jaccard_join.verified_links(_fingerprint_pairs(points.where("n > 0"), radius), points, texts, size, percent)
+    found = jaccard_join.links_between(points, texts, size, percent, known, SET_BLOCK)
+    label = components(found, "a", "b").withColumnRenamed("node", "id")
+    named = points.select("k1", "k2", "id").join(label, "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("label"))
+    order = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark", "second")
+    first = rows.select("doc", "mark", "second", "k1", "k2").join(named, ["k1", "k2"]).groupBy("label").agg(F.min(order).alias("o"))
+    # One column names a row, so the rows are dealt out once, for the join and for dropping repeated ones.
+    row, wanted = (common.free_name(n, docs) for n in ("row_key", "wanted_key"))
+    first = common.written(first.select(_row_key("o.doc", "o.mark", "o.second").alias(wanted)), "first")
+    keyed = docs.withColumn(row, _row_key(id_col, F.xxhash64(text_col), F.xxhash64(F.lit("second"), F.col(text_col))))
+    return keyed.join(first, F.col(row) == F.col(wanted), "left_semi").dropDuplicates([row]).drop(row)
+
+
+def _row_key(doc: str, mark: Column | str, second: Column | str) -> Column:
+    """The id, empty for none, and the hashes of the text, as one string."""
+    return F.concat_ws(" ", F.coalesce(F.col(doc).cast("string"), F.lit("")), mark, second)
