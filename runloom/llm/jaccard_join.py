@@ -231,6 +231,8 @@ def _sets_of(asked: DataFrame, points: DataFrame, texts: DataFrame, size: int) -
 def _verified(pairs: DataFrame, points: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
     pairs = common.written(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), points, texts, size)
     of = [sets.select(F.col("id").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab"]
     both = pairs.join(of[0], "a").join(of[1], "b")
@@ -329,6 +331,8 @@ def links_between(
     for _ in range(STAR_ROUNDS):
         # One member that belongs to the last label, compared with all that belong to others.
         members = common.written(_open_members(buckets, known), "members")
+        if members.isEmpty():
+            return known if known is not None else members.selectExpr("id AS a", "id AS b")
         heads = members.where("label = high").groupBy("token").agg(F.min("id").alias("head"))
         rest = members.where("label < high").join(heads, "token")
         stars = rest.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
