@@ -7,7 +7,10 @@ from pyspark.sql import types as T
 
 from runloom.operators import chats, encoding, records, sampling
 from runloom.operators.encoding import Tokenizer
-from runloom.sources.records import dataset_info, read_records, write_splits
+from runloom.sources.records import read_records, write_splits_counted
+
+#: Columns of the manifest.
+MANIFEST = "format STRING, num_train_samples BIGINT, num_val_samples BIGINT, train_file STRING, validation_file STRING"
 
 
 def prepare_training_data(
@@ -31,10 +34,9 @@ def prepare_training_data(
     rows = sampling.sample_exact(rows, "_id", max_samples, seed)
     split = sampling.split_exact_floor(rows, "_id", validation_split, seed).drop("_id")
     data = f"{output_dir.rstrip('/')}/data"
-    write_splits(split, data)
-    info = dataset_info(spark.read.json(data, schema="split STRING"), data_format)
+    manifest = write_splits_counted(split, data, data_format)
+    info = spark.createDataFrame([tuple(manifest.values())], MANIFEST)
     info.repartition(1).write.mode("overwrite").json(f"{output_dir.rstrip('/')}/dataset_info")
-    manifest = info.first().asDict()
     return manifest | {
         "train_file": f"{data}/{manifest['train_file']}",
         "validation_file": f"{data}/{manifest['validation_file']}",

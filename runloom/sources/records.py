@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runloom.sources.json_arrays import read_json_arrays
+
 _CHAT = "ARRAY<STRUCT<`from`: STRING, value: STRING>>"
 _MESSAGES = "ARRAY<STRUCT<role: STRING, content: STRING>>"
 
@@ -63,9 +65,9 @@ def read_records(
     one folder need separate calls. The schema is fixed, so nothing is inferred; ``schema`` names
     further fields of the records to keep, or the fields of a format of one's own.
 
-    A JSON array cannot be divided: unless ``spread`` is false, its rows are spread over the cluster
-    right after the read. Nor can CSV, unless ``multi_line`` is false because no text holds a line
-    break. Line-JSON is the form for large data.
+    JSON arrays are read in ranges of bytes by all cores, see ``json_arrays``. With ``spread`` false one task reads each
+    file, which keeps the order of its rows. A CSV file is one task's too, unless ``multi_line`` is false because no text holds a line
+    break.
     """
     columns = schema or SCHEMAS.get(data_format)
     if columns is None:
@@ -80,8 +82,9 @@ def read_records(
         return reader.json(path)
     if form == "csv":
         return reader.csv(path, header=True, multiLine=multi_line, quote='"', escape='"')
-    rows = reader.option("multiLine", True).json(path)
-    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if spread else rows
+    if spread:
+        return read_json_arrays(spark, path, columns, CORRUPT if keep_corrupt else None)
+    return reader.option("multiLine", True).json(path)
 
 
 def read_split_files(
@@ -109,6 +112,20 @@ def write_splits(df: DataFrame, path: str, file_format: str = "json") -> None:
     df.write.mode("overwrite").partitionBy("split").format(file_format).save(path)
 
 
+def write_splits_counted(df: DataFrame, path: str, data_format: str, file_format: str = "json") -> dict[str, object]:
+    """``write_splits``, and the manifest of ``dataset_info`` counted while the rows are written, without a second read."""
+    seen = Observation()
+    counts = [F.count_if(F.col("split") == split).alias(name) for split, name in SPLIT_COUNTS.items()]
+    write_splits(df.observe(seen, *counts), path, file_format)
+    found = seen.get
+    numbers = {name: found.get(name, 0) for name in SPLIT_COUNTS.values()}
+    return {"format": data_format} | numbers | {"train_file": "split=train", "validation_file": "split=validation"}
+
+
+#: Splits and what the manifest calls their rows.
+SPLIT_COUNTS = {"train": "num_train_samples", "validation": "num_val_samples"}
+
+
 def dataset_info(df: DataFrame, data_format: str) -> DataFrame:
     """One row: the format, rows per split and where each split lies."""
     return df.agg(
