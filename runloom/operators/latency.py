@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions.columns import micros
 from runloom.operators.grouped import PERCENTILE_ROWS, exact_percentiles, group_sizes, join_on, per_group
+from runloom.session import checkpointed
 
 #: Reported percentiles.
 PERCENTILES = {
@@ -25,6 +26,8 @@ P999_OVER_P99 = 1.1
 STALL_FACTOR = 2.0
 
 GROUP = ("method", "workload")
+#: Size of the approximate sketches: ranks within 0.1 %.
+SKETCH_SIZE = 4096
 
 
 def _with_ms(requests: DataFrame) -> DataFrame:
@@ -41,6 +44,40 @@ def latency_percentiles(
     return exact_percentiles(_with_ms(requests), keys, "_ms", PERCENTILES, group_rows, largest)
 
 
+def latency_sketches(requests: DataFrame, keys: Sequence[str] = GROUP, k: int = SKETCH_SIZE) -> DataFrame:
+    """A mergeable quantile sketch of the latencies in milliseconds per group: ``sketch`` and ``num_requests``.
+
+    For groups too large, or asked for too often, to be counted exactly: keep sketches per hour, say, and merge them for a
+    report. A sketch has a bounded size, whatever the size of its group.
+    """
+    return _with_ms(requests).groupBy(*keys).agg(
+        F.kll_sketch_agg_double("_ms", F.lit(k)).alias("sketch"), F.count("_ms").alias("num_requests")
+    )
+
+
+def merge_sketches(sketches: DataFrame, keys: Sequence[str] = GROUP, k: int = SKETCH_SIZE) -> DataFrame:
+    """The sketches of parts as those of the wholes that ``keys`` name."""
+    return sketches.groupBy(*keys).agg(
+        F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"), F.sum("num_requests").alias("num_requests")
+    )
+
+
+def sketch_percentiles(sketches: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
+    """Approximate p50, p95, p99 and p99.9 of each sketch, of the values that occurred.
+
+    The rank of a value is off by no more than ``rank_error`` of the group, with 99 % confidence. Sketches of fewer values than
+    ``SKETCH_SIZE`` are exact. A group without values has nulls.
+    """
+    known = F.when(F.col("num_requests") > 0, F.col("sketch"))
+    figures = [F.kll_sketch_get_quantile_double(known, F.lit(share)).alias(name) for name, share in PERCENTILES.items()]
+    return sketches.select(*keys, "num_requests", *figures)
+
+
+def rank_error(k: int = SKETCH_SIZE) -> float:
+    """The published error of the sketch's ranks by its size."""
+    return 2.446 / k**0.9433
+
+
 def _rate() -> Column:
     time = F.sum("latency_s")
     return F.when(time > 0, F.sum("output_tokens") / time).otherwise(0.0)
@@ -137,7 +174,7 @@ def arrival_offsets(events: DataFrame, keys: Sequence[str], ts: str) -> DataFram
     The running sum of gaps equals the distance from the first row, so a minimum
     per group replaces an ordered window over the whole group.
     """
-    first = events.groupBy(*keys).agg(F.min(ts).alias("_first"))
-    timed = join_on(events, first, keys)
+    first = checkpointed(events.groupBy(*keys).agg(F.min(ts).alias("_first")))
+    timed = join_on(events, per_group(first, first.count()), keys)
     elapsed = micros(timed, ts) - micros(timed, "_first")
     return timed.withColumn("arrival_s", elapsed / 1_000_000).drop("_first")

@@ -9,23 +9,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runloom.functions.columns import sigmoid, softmax
 from runloom.functions.tokenizers import arrow_tokenizer, portable_tokenizer
 from runloom.operators import (
     chats,
+    dispatch,
     encoding,
     latency,
+    raw_records,
     records,
     routing,
     sampling,
     series,
     summary,
     templates,
+    vocabulary,
 )
 from runloom.plans import prepare, views
 from runloom.session import checkpointed, scratch_path
 from runloom.sources import records as record_files
 from runloom.sources import run_logs
-from runloom.streaming import rolling
+from runloom.streaming import event_time, rolling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,7 +123,7 @@ def read_run_artifacts(spark, sf_dir):
 @query
 def explode_snapshot(spark, sf_dir):
     tokens = views.router_tokens(spark, sf_dir)
-    means = routing.mean_expert_weights(tokens, routing.router_softmax(tokens), views.EXPERTS)
+    means = dispatch.mean_weights(tokens, softmax(F.col("logits")), views.EXPERTS)
     pair = F.struct("expert_id", F.round("mean_weight", 6).alias("w"))
     layers = means.groupBy("layer").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
     entry = F.struct(F.col("layer").cast("string"), F.transform("pairs", lambda p: p["w"]))
@@ -128,6 +132,20 @@ def explode_snapshot(spark, sf_dir):
     return rounded(rows.withColumn("layer", F.col("layer").cast("int")))
 
 
+@query
+def snapshot_leaves(spark, sf_dir):
+    """A snapshot whose layout no schema knows."""
+    tokens = views.router_tokens(spark, sf_dir)
+    means = dispatch.mean_weights(tokens, softmax(F.col("logits")), views.EXPERTS)
+    pair = F.struct("expert_id", F.round("mean_weight", 6).alias("w"))
+    layers = means.groupBy("layer").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+    weights = F.struct(F.transform("pairs", lambda p: p["w"]).alias("mean"), F.lit("soft").alias("kind"))
+    entry = F.struct(F.concat(F.lit("layer"), "layer"), weights)
+    named = F.struct(F.map_from_entries(F.collect_list(entry)).alias("layers"), F.lit(None).alias("note"))
+    snapshot = layers.agg(F.to_json(named, {"ignoreNullFields": "false"}).alias("value"))
+    return rounded(raw_records.leaves(raw_records.parse_records(snapshot), keys=()))
+
+
 @query
 def write_splits(spark, sf_dir):
     path = scratch_path(spark, "splits")
@@ -151,6 +169,30 @@ def write_summary(spark, sf_dir):
     return rounded(spark.read.csv(path, header=True, schema=schema))
 
 
+def _json_array(spark: SparkSession, rows: DataFrame) -> str:
+    """Rows as files with one JSON array each."""
+    path = scratch_path(spark, "arrays")
+    text = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("*"))), ",\n "), F.lit("]"))
+    # The records of 500 chats per file.
+    files = rows.withColumn("nested", F.struct(F.lit('{"}').alias("odd"))).groupBy(F.floor(F.col("id") / 500_000_000).alias("_file"))
+    # The text writer puts texts after each other in a file, here one each.
+    files.agg(text.alias("value")).write.partitionBy("_file").text(path)
+    return path
+
+
+@query
+def read_records_array(spark, sf_dir):
+    path = _json_array(spark, views.instructions(spark, sf_dir))
+    return record_files.read_records(spark, path, file_format="json")
+
+
+@query
+def write_splits_counted(spark, sf_dir):
+    split = sampling.split_exact_floor(views.instructions(spark, sf_dir), "id")
+    manifest = record_files.write_splits_counted(split, scratch_path(spark, "counted"), "alpaca")
+    return spark.createDataFrame([tuple(manifest.values())], prepare.MANIFEST)
+
+
 # ---- records, chats, prompts ----
 
 
@@ -168,6 +210,31 @@ def validate_format_errors(spark, sf_dir):
     return records.format_errors(_records_with_nulls(spark, sf_dir), "alpaca")
 
 
+def _raw_records(spark, sf_dir):
+    """JSON lines: an empty output is absent in one half of the chats and an explicit null in the other."""
+    rows = _records_with_nulls(spark, sf_dir)
+    fields = F.struct("instruction", "input", "output", F.col("id").alias("extra"))
+    even = F.floor(F.col("id") / 1_000_000) % 2 == 0
+    line = F.when(even, F.to_json(fields)).otherwise(F.to_json(fields, {"ignoreNullFields": "false"}))
+    return raw_records.parse_records(rows.select("id", line.alias("value")))
+
+
+@query
+def validate_keys(spark, sf_dir):
+    return raw_records.validate_keys(_raw_records(spark, sf_dir), "alpaca")
+
+
+@query
+def validate_keys_errors(spark, sf_dir):
+    return raw_records.key_errors(_raw_records(spark, sf_dir), "alpaca")
+
+
+@query
+def other_fields(spark, sf_dir):
+    found = raw_records.other_fields(_raw_records(spark, sf_dir), ["instruction", "input", "output"])
+    return found.select("id", "field", F.variant_get("value", "$", "bigint").alias("value"))
+
+
 @query
 def validate_head(spark, sf_dir):
     return records.validate_head(_records_with_nulls(spark, sf_dir), "alpaca")
@@ -312,6 +379,22 @@ def tokenize_truncated(spark, sf_dir):
     return _tokenized(spark, sf_dir, max_length=512)
 
 
+@query
+def tokenize_vocabulary(spark, sf_dir):
+    """Ids of a vocabulary of the words that occur twice or more."""
+    documents = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = vocabulary.build_vocabulary(documents, min_count=2)
+    encoded = vocabulary.encode(documents, known, "doc_id")
+    return encoded.select("doc_id", F.size("input_ids").alias("tokens"), listed("input_ids").alias("input_ids"))
+
+
+@query
+def build_vocabulary(spark, sf_dir):
+    """The 2,000 most frequent words of the documents."""
+    documents = views.table(spark, sf_dir, "documents").select("text")
+    return vocabulary.build_vocabulary(documents, size=2_000)
+
+
 def _utf8_encoder():
     """A byte-level tokenizer, as an example of a Python callable."""
     return lambda texts: [np.frombuffer(text.encode("utf-8"), np.uint8).astype("int32") for text in texts]
@@ -371,6 +454,27 @@ def latency_percentiles(spark, sf_dir):
     return rounded(latency.latency_percentiles(views.requests(spark, sf_dir)))
 
 
+@query
+def latency_sketches(spark, sf_dir):
+    """Hourly sketches merged to one per group: whether each percentile's rank is within the stated error."""
+    requests = views.requests(spark, sf_dir)
+    keys = list(latency.GROUP)
+    hourly = latency.latency_sketches(requests.withColumn("hour", F.date_trunc("hour", "ts")), [*keys, "hour"])
+    report = latency.sketch_percentiles(latency.merge_sketches(hourly))
+    names = list(latency.PERCENTILES)
+    ms = requests.select(*keys, (F.col("latency_s") * 1000).alias("ms")).join(F.broadcast(report), keys)
+    # The ranks that a value has, from the one after all smaller ones to the one of its last copy.
+    below = [F.avg((F.col("ms") < F.col(n)).cast("int")).alias(f"{n}_below") for n in names]
+    upto = [F.avg((F.col("ms") <= F.col(n)).cast("int")).alias(f"{n}_upto") for n in names]
+    ranks = ms.groupBy(*keys, "num_requests").agg(*below, *upto)
+    error = latency.rank_error()
+    fits = [
+        ((F.col(f"{n}_below") <= share + error) & (F.col(f"{n}_upto") >= share - error)).alias(n.replace("_ms", "_within"))
+        for n, share in latency.PERCENTILES.items()
+    ]
+    return ranks.select(*keys, "num_requests", *fits)
+
+
 @query
 def throughput(spark, sf_dir):
     return rounded(latency.throughput(views.requests(spark, sf_dir)))
@@ -417,28 +521,30 @@ def _assigned(spark, sf_dir):
     return routing.topk_route(views.router_tokens(spark, sf_dir))
 
 
+def _dispatched(spark, sf_dir):
+    return dispatch.dispatch(views.router_tokens(spark, sf_dir), routing.DEFAULT_TOP_K, CAPACITY_FACTOR)
+
+
 def _kept(spark, sf_dir):
-    tokens = views.router_tokens(spark, sf_dir)
-    return routing.capacity_enforce(routing.topk_route(tokens), tokens, CAPACITY_FACTOR)
+    return dispatch.assignments(_dispatched(spark, sf_dir))
 
 
 def _soft_means(spark, sf_dir):
     tokens = views.router_tokens(spark, sf_dir)
-    return routing.mean_expert_weights(tokens, routing.router_softmax(tokens), views.EXPERTS)
+    return dispatch.mean_weights(tokens, softmax(F.col("logits")), views.EXPERTS)
 
 
 def _sigmoid_means(spark, sf_dir):
     tokens = views.router_tokens(spark, sf_dir)
-    return routing.mean_expert_weights(tokens, routing.router_sigmoid(tokens), views.EXPERTS)
+    return dispatch.mean_weights(tokens, F.transform("logits", sigmoid), views.EXPERTS)
 
 
 def _experts(spark, sf_dir):
-    sparse = routing.renormalize_kept(_kept(spark, sf_dir))
-    return routing.expert_table(views.router_tokens(spark, sf_dir), sparse, views.EXPERTS)
+    return dispatch.expert_sums(_dispatched(spark, sf_dir), views.EXPERTS)
 
 
 def _counts(spark, sf_dir):
-    return _experts(spark, sf_dir).drop("_tokens", "mean_weight", "dispatch_share")
+    return _experts(spark, sf_dir).select("layer", "expert_id", "raw_tokens", "tokens")
 
 
 @query
@@ -475,7 +581,7 @@ def capacity_enforce(spark, sf_dir):
 
 @query
 def renormalize_kept(spark, sf_dir):
-    kept = routing.renormalize_kept(_kept(spark, sf_dir))
+    kept = _kept(spark, sf_dir)
     return rounded(kept.select(*routing.TOKEN, "expert_id", "kept", "weight"))
 
 
@@ -516,9 +622,7 @@ def balance_dense(spark, sf_dir):
 
 @query
 def balance_sparse(spark, sf_dir):
-    tokens = views.router_tokens(spark, sf_dir)
-    experts = routing.expert_table(tokens, _kept(spark, sf_dir), views.EXPERTS)
-    return rounded(routing.balance_sparse(_soft_means(spark, sf_dir), experts))
+    return rounded(dispatch.balance_loss(_experts(spark, sf_dir)))
 
 
 @query
@@ -533,9 +637,9 @@ def balance_total(spark, sf_dir):
 
 @query
 def layer_metric_log(spark, sf_dir):
-    # Two tables of layers x experts, read many times below.
+    # A table of layers x experts, read many times below.
     experts = checkpointed(_experts(spark, sf_dir))
-    losses = routing.balance_sparse(checkpointed(_soft_means(spark, sf_dir)), experts)
+    losses = dispatch.balance_loss(experts)
     return rounded(routing.layer_metric_log(routing.sparse_layer_stats(experts), losses), 9)
 
 
@@ -709,17 +813,39 @@ def run_summary_wide(spark, sf_dir):
 # ---- streaming ----
 
 
-@query
-def stream_rolling_percentiles(spark, sf_dir):
-    out, state = scratch_path(spark, "stream"), scratch_path(spark, "state")
-    # The limit bounds what one key can bring into a task per micro-batch.
-    source = spark.readStream.schema(views.SCHEMAS["events"]).option("maxBytesPerTrigger", 2**30)
-    # A pattern finds the table both as one file and as a folder of parts.
-    stream = source.parquet(f"{sf_dir}/events.parque[t]")
+#: How late events arrive, and how long the streams wait for them.
+LATENESS_HOURS, DELAY = 12, "12 hours"
+#: Buckets of the streams' state, in milliseconds of event time.
+DAY = 86_400_000
+
+
+def _arriving(spark: SparkSession, events: DataFrame) -> str:
+    """Events as files in order of arrival, up to ``LATENESS_HOURS`` after their time, so each file overlaps the next.
+
+    A last event of no type, later than all others and their delay, lets the watermark pass them.
+    """
+    path = scratch_path(spark, "arriving")
+    late = F.pmod(F.xxhash64("event_id"), F.lit(LATENESS_HOURS * 3600)) * F.expr("INTERVAL 1 SECOND")
+    timed = events.withColumn("arrival", F.col("ts") + late)
+    first, last = timed.agg(F.min("arrival"), F.max("arrival")).first()
+    if first is None:
+        return path
+    middle = first + (last - first) / 2
+    for part in (F.col("arrival") <= F.lit(middle), F.col("arrival") > F.lit(middle)):
+        timed.where(part).drop("arrival").write.mode("append").parquet(path)
+    end = F.lit(last) + F.expr(f"INTERVAL {DELAY}") + F.expr(f"INTERVAL {2 * DAY // 1000} SECOND")
+    closing = [end.alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
+    spark.range(1).select(*closing).write.mode("append").parquet(path)
+    return path
+
+
+def _streamed(spark: SparkSession, events: DataFrame, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream operator makes of the events as they arrive."""
+    path, out, state = _arriving(spark, events), scratch_path(spark, "stream"), scratch_path(spark, "state")
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting, None)
     spark.conf.set(setting, rolling.STATE_STORE)
-    result = rolling.stream_rolling_percentiles(stream, "event_type", ["event_id"], "value")
+    result = transform(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 64).parquet(path))
     run = (
         result.writeStream.option("checkpointLocation", state)
         .outputMode("append")
@@ -729,4 +855,27 @@ def stream_rolling_percentiles(spark, sf_dir):
     )
     run.awaitTermination()
     spark.conf.set(setting, before) if before else spark.conf.unset(setting)
-    return rounded(spark.read.parquet(out))
+    return spark.read.schema(result.schema).parquet(out)
+
+
+@query
+def stream_rolling_percentiles(spark, sf_dir):
+    events = views.table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    rolled = lambda s: event_time.rolling_percentiles(s, ["event_type"], "ts", ["event_id"], "value", DELAY, grain=DAY)
+    return rounded(_streamed(spark, events, rolled))
+
+
+def _paired(stream: DataFrame) -> DataFrame:
+    return event_time.step_pairs(stream, ["event_type"], "ts", ["event_id"], "kind", DELAY, grain=DAY)
+
+
+@query
+def stream_step_pairs(spark, sf_dir):
+    return rounded(_streamed(spark, views.step_marks(spark, sf_dir), _paired).drop("end_micros"))
+
+
+@query
+def stream_timing_log(spark, sf_dir):
+    """Marks to rolling step times in one stream: the second operator takes the pairs in the order of the first."""
+    rolled = lambda s: rolling.stream_rolling_percentiles(_paired(s), "event_type", ["end_micros", "event_id"], "elapsed_ms")
+    return rounded(_streamed(spark, views.step_marks(spark, sf_dir), rolled).drop("end_micros"))

@@ -207,6 +207,11 @@ def _rolling(order: str = "event_id") -> str:
     return _rounded(f"SELECT event_type, event_id, value, {columns} FROM events", "value", *shares)
 
 
+_PAIRS = """SELECT event_id, event_type, ended, (ended - begun) / 1000.0 AS elapsed_ms FROM (SELECT *, epoch_us(ts) AS ended,
+  lag(epoch_us(ts)) OVER w AS begun, lag(user_id % 2) OVER w AS kind_before FROM events
+  WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) WHERE user_id % 2 = 1 AND kind_before = 0"""
+
+
 def _timing_log() -> str:
     frame = "OVER (PARTITION BY run, rank ORDER BY step ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)"
     parts = [
@@ -342,6 +347,7 @@ def statements() -> dict[str, str]:
       THEN least(floor((value - low) / (high - low) * 20), 19) ELSE 0 END AS INT) AS bin, count(*) AS points
       FROM step_points JOIN (SELECT run, min(value) AS low, quantile_cont(value, 0.5) AS median, max(value) AS high
         FROM step_points GROUP BY run) USING (run) GROUP BY ALL"""
+    absent = "(output = '' AND (id // 1000000) % 2 = 0)"
     return {
         # sources and sinks
         "read_records": _with("SELECT instruction, input, output FROM instructions"),
@@ -594,6 +600,42 @@ def statements() -> dict[str, str]:
         ),
         "run_summary": _run_summary(),
         "run_summary_wide": _run_summary_wide(),
+        # the same rows by other ways
+        "read_records_array": _with("SELECT instruction, input, output FROM instructions"),
+        "write_splits_counted": _with(
+            "SELECT 'alpaca' AS format, count_if(split = 'train') AS num_train_samples, "
+            "count_if(split = 'validation') AS num_val_samples, 'split=train' AS train_file, "
+            f"'split=validation' AS validation_file FROM ({floor_split})"
+        ),
+        "validate_keys": _with(
+            f"SELECT count(*) AS num_samples, coalesce(bool_and(NOT {absent}), true) AS is_valid, count_if({absent}) AS num_errors FROM instructions"
+        ),
+        "validate_keys_errors": _with(
+            f"SELECT id, concat('Sample ', id, ': Missing required keys') AS error FROM instructions WHERE {absent}"
+        ),
+        "other_fields": _with("SELECT id, 'extra' AS field, id AS value FROM instructions"),
+        "snapshot_leaves": _with("""SELECT concat('layers/layer', layer, '/mean/', expert_id) AS path, round(m, 6) + 0.0 AS number, NULL AS text
+            FROM soft_means
+          UNION ALL SELECT DISTINCT concat('layers/layer', layer, '/kind'), NULL, 'soft' FROM soft_means
+          UNION ALL SELECT 'note', NULL, NULL"""),
+        "tokenize_vocabulary": rf"""WITH found AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
+          known AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) AS id
+            FROM (SELECT unnest(ws) AS w FROM found) GROUP BY w HAVING count(*) >= 2),
+          placed AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM found),
+          ids AS (SELECT doc_id, string_agg(coalesce(id, 0), ' ' ORDER BY p) AS ids FROM placed LEFT JOIN known USING (w) GROUP BY doc_id)
+          SELECT doc_id, CAST(len(ws) AS INTEGER) AS tokens, coalesce(ids, '') AS input_ids FROM found LEFT JOIN ids USING (doc_id)""",
+        "build_vocabulary": rf"""SELECT w AS word, n AS count, CAST(id AS INTEGER) AS id FROM (
+          SELECT w, n, row_number() OVER (ORDER BY n DESC, w) AS id FROM (
+            SELECT w, count(*) AS n FROM (SELECT unnest({_WORDS.format("text")}) AS w FROM documents) GROUP BY w)) WHERE id <= 2000""",
+        "latency_sketches": _with("""SELECT method, workload, count(*) AS num_requests, true AS latency_p50_within,
+          true AS latency_p95_within, true AS latency_p99_within, true AS latency_p999_within FROM requests GROUP BY ALL"""),
         # streaming: the same result as the batch form
         "stream_rolling_percentiles": _rolling(),
+        "stream_step_pairs": _rounded(f"SELECT event_id, event_type, elapsed_ms FROM ({_PAIRS})", "elapsed_ms"),
+        "stream_timing_log": _rounded(
+            f"SELECT event_type, event_id, elapsed_ms, quantile_cont(elapsed_ms, 0.5) OVER w AS p50, "
+            f"quantile_cont(elapsed_ms, 0.95) OVER w AS p95, quantile_cont(elapsed_ms, 0.99) OVER w AS p99 FROM ({_PAIRS}) "
+            "WINDOW w AS (PARTITION BY event_type ORDER BY ended, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)",
+            "elapsed_ms", "p50", "p95", "p99",
+        ),
     }
