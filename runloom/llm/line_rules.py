@@ -1,9 +1,9 @@
 """Quality rules on documents, with lines that a host repeats taken out of account.
 
-Built-in functions only. Lines are normalised and hashed; a line is common in its host when more
-than a share of the host's distinct texts hold it. A document is kept if it passes the base
-rules and common lines do not make up most of it. Exact copies of a text count once, so
-copies of a clean text do not make its own lines common.
+Built-in functions only. Lines are normalised and hashed; a line is common in its host when more distinct
+documents of it than a limit hold it, however large the host is. Common lines are taken out; a document is kept if it passes the base
+rules and enough of it is left. Exact copies of a text are one document here, so copies of a clean text do not
+make its own lines common.
 """
 
 from __future__ import annotations
@@ -76,16 +76,15 @@ def judge(
     id_col: str = "doc_id",
     host_col: str = "source",
     text_col: str = "text",
-    max_share: float = 0.1,
-    min_texts: int = 20,
+    max_documents: int = 20,
     max_removed: float = 0.5,
     clean_col: str | None = None,
 ) -> DataFrame:
     """The base figures of every document, what common lines take of it, and whether it is kept.
 
-    A line is common if more than ``min_texts`` distinct texts of its host and more than ``max_share`` of
-    them hold it. A document that has more than ``max_removed`` of its characters in common lines is
-    depleted. ``kept`` is false if the base rules fail or the document is depleted.
+    A line is common if more than ``max_documents`` documents of its host hold it, documents of equal text counted once. A document
+    that loses more than ``max_removed`` of its characters with its common lines is depleted. ``kept`` is false if the base rules fail or
+    the document is depleted. ``common_share`` is what removal takes of the normalised characters.
 
     With ``clean_col``, that column has the text without its common lines; what is taken out of it is what the
     depletion is judged by. Other lines stay as they are, blank ones included.
@@ -102,11 +101,9 @@ def judge(
     # Copies of a text are one row per line from here on; they scale all its lines alike.
     lines = rows.groupBy("host", "d1", "d2", "h").agg(F.sum("size").alias("size"))
     lines = common.written(lines, "lines")
-    texts = lines.select("host", "d1", "d2").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    often = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_texts)
-    often = often.join(texts, "host").where(F.col("n") > max_share * F.col("texts")).select("host", "h", F.lit(True).alias("common"))
+    often = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_documents)
+    often = often.select("host", "h", F.lit(True).alias("common"))
     gone = [F.collect_set(F.when(F.col("common"), F.col("h"))).alias("gone")] if clean_col else []
-    # Fewer than 1 / max_share times the lines of a text can be common in a host.
     sums = (
         lines.join(often, ["host", "h"], "left")
         .groupBy("host", "d1", "d2")

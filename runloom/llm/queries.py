@@ -233,7 +233,7 @@ lines AS (
   WHERE line <> '' GROUP BY ALL),
 often AS (
   SELECT source, line FROM lines GROUP BY source, line
-  HAVING count(*) > 20 AND count(*) > 0.1 * (SELECT count(DISTINCT o.text) FROM lines o WHERE o.source = lines.source)),
+  HAVING count(*) > 20),
 shares AS (
   SELECT l.source, l.text, coalesce(sum(size) FILTER (WHERE o.line IS NOT NULL), 0) / sum(size) AS share
   FROM lines l LEFT JOIN often o ON l.source = o.source AND l.line = o.line GROUP BY l.source, l.text)
