@@ -35,6 +35,9 @@ REPORTING = frozenset(
 #: Characters stripped from the ends of a word.
 EDGES = ".,;:!?\"'()[]{}<>|#*$%&“”„«»‹›‘’…-_/\\~`+=@^"
 
+#: Words up to this length are remembered.
+CACHED_LETTERS = 64
+
 #: Lengths of the beginnings of words that are tried as stems.
 STEMS = (4, 5, 6, 7)
 
@@ -140,8 +143,11 @@ class Finder(dict):
             self.clear()
         if len(self.lexicon.steps) > 500_000:
             self.lexicon = Lexicon(self.words, self.stems)
-        found = self.lexicon.errors(plain(word)[:64])
-        self[word] = found = -1 if found is None else found
+        # A word that leaves all terms behind ends the automaton, so a very long word costs no more than a term.
+        found = self.lexicon.errors(plain(word))
+        found = -1 if found is None else found
+        if len(word) <= CACHED_LETTERS:
+            self[word] = found
         return found
 
     def __reduce__(self):
@@ -206,7 +212,7 @@ def _term_counts(wanted: frozenset | None):
         counts = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                words = {plain(w)[:32] for w in (text or "").split()}
+                words = {plain(w) for w in (text or "").split()}
                 terms = {w for w in words if len(w) >= 3}
                 terms.update(w[:n] + "*" for w in words for n in STEMS if len(w) >= n)
                 counts.update(terms if wanted is None else terms & wanted)
@@ -216,7 +222,7 @@ def _term_counts(wanted: frozenset | None):
     return run
 
 
-def _lexicon(sample: DataFrame, toxic: int, other: int, max_terms: int) -> tuple[list[str], list[str]]:
+def _lexicon(sample: DataFrame, toxic: int, other: int) -> tuple[list[str], list[str]]:
     """Terms that mark toxic texts, the strongest first; a stem makes its words and longer stems needless."""
 
     def counted(rows: DataFrame, wanted: frozenset | None, least: float) -> dict[str, int]:
@@ -228,7 +234,7 @@ def _lexicon(sample: DataFrame, toxic: int, other: int, max_terms: int) -> tuple
     good = counted(sample.where("label <= 0"), frozenset(bad), 1)
     ratio = {t: (n + 0.5) / (toxic + 1) / ((good.get(t, 0) + 0.5) / (other + 1)) for t, n in bad.items()}
     strong = [t for t, n in bad.items() if ratio[t] > 8 and n > 2 * good.get(t, 0)]
-    strong = sorted(strong, key=lambda t: (-bad[t] * math.log(ratio[t]), t))[:max_terms]
+    strong = sorted(strong, key=lambda t: (-bad[t] * math.log(ratio[t]), t))
     found = {t: bad[t] for t in strong}
     stems: list[str] = []
     for term in sorted((t[:-1] for t in found if t.endswith("*")), key=lambda t: (len(t), t)):
@@ -247,12 +253,11 @@ def train(
     text_col: str = "text",
     label_col: str = "toxic",
     max_labelled: int = 20_000,
-    max_terms: int = 2_000,
 ) -> Model:
     """A model of the labelled texts.
 
-    Uses at most ``max_labelled`` labelled rows, chosen evenly by a hash of their id, and at most
-    ``max_terms`` terms. Rows with a null id or label are not used; with no label of either kind
+    Uses at most ``max_labelled`` labelled rows, chosen evenly by a hash of their id, and every term that they give
+    evidence for: one that stands in ``MIN_SHARE`` of the toxic texts, so their number is bounded too. Rows with a null id or label are not used; with no label of either kind
     every text scores one half. Equal ids on both sides all count.
     """
     label = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -263,7 +268,7 @@ def train(
     sample = texts.join(F.broadcast(label), "id").select("text", "label").dropDuplicates()  # copies count once
     sample = common.written(sample, "sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy((F.col("label") > 0).alias("toxic")).count().collect()}
-    words, stems = _lexicon(sample, sizes.get(True, 0), sizes.get(False, 0), max_terms)
+    words, stems = _lexicon(sample, sizes.get(True, 0), sizes.get(False, 0))
     finder = Finder(words, stems)
     if len(sizes) < 2:
         return Model(finder, [0.0] * len(FEATURES))
