@@ -328,7 +328,8 @@ def links_between(
     postings = points.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     ends = postings.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     buckets = common.written(postings.join(ends.select("token"), "token"), "buckets")
-    for _ in range(STAR_ROUNDS):
+    # Edges that are known already are a round of their own.
+    for _ in range(STAR_ROUNDS if known is None else STAR_ROUNDS - 1):
         # One member that belongs to the last label, compared with all that belong to others.
         members = common.written(_open_members(buckets, known), "members")
         if members.isEmpty():
