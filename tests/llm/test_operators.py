@@ -276,4 +276,4 @@ def test_pipeline(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     before = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert 0.5 * before < len(rows) < before and all(r.round_trip for r in rows)
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")}

@@ -10,6 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from test_near_copies import groups
 
 import __spark_entry__ as entry
 from runloom.llm import queries, toxicity
@@ -92,14 +93,14 @@ def test_pipeline_equals_plain_stages(spark, sf_dir, rows):
     class Plain(dict):
         def __missing__(self, word):
             terms = (model.finder.words, model.finder.stems)
-            found = brute.least_errors(toxicity.plain(word)[:64], *terms, toxicity.errors_allowed)
+            found = brute.least_errors(toxicity.plain(word), *terms, toxicity.errors_allowed)
             self[word] = -1 if found is None else found
             return self[word]
 
     finder = Plain()
     weighed = lambda t: sum(a * b for a, b in zip(model.weights, toxicity.features(t or "", finder)))
     kept = [r for r in rows if weighed(r[1]) < 0]
-    roots = brute.linked([brute.simhash(t) for _, t in kept], 4)
+    roots = groups([t for _, t in kept])  # all pairs, by the similarity of five-word shingles
     kept = [r for n, r in enumerate(kept) if roots[n] == n]
     kept = [(i, cut if gone else t) for (i, t), (_, _, gone, cut) in zip(kept, brute.substrings(kept))]
     connection = duckdb.connect()
