@@ -1,7 +1,9 @@
 """From raw documents to token ids: five stages, each one of the operators in ``runloom.llm``.
 
 A stage takes what its predecessor kept and returns the columns of ``documents``; the last returns token ids.
-Null and empty texts pass through as clean documents; extra columns of ``documents`` stay.
+Null and empty texts pass through as clean documents, of which the near-copy stage keeps one; rows without an id are rows like any
+other, and repeated rows are near-copies of each other. Extra columns of ``documents`` stay, whatever their names. Texts of any
+length go whole. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     kept, words, removed = (common.free_name(n, docs) for n in ("kept_text", "words", "removed"))
     cut = substrings.remove_repeats(docs, kept_col=kept, words_col=words, removed_col=removed)
     cut = cut.withColumn("text", F.when(F.col(removed) > 0, F.col(kept)).otherwise(F.col("text")))
-    cut = cut.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        cut = cut.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return cut.select(docs.columns)
 
 
@@ -45,15 +49,18 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     parts = (F.col("doc_id").isNull(), F.col("doc_id"), F.col("text"))
     keyed = docs.withColumn(key, F.concat_ws(" ", F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)))
     found = contamination.find(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
-    found = common.written(found.select(F.col(key).alias("found_key")).distinct(), "contaminated")
-    return keyed.join(found, F.col(key) == F.col("found_key"), "left_anti").drop(key)
+    found_key = common.free_name("found_key", keyed)
+    found = common.written(found.select(F.col(key).alias(found_key)).distinct(), "contaminated")
+    return keyed.join(found, F.col(key) == F.col(found_key), "left_anti").drop(key)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, and whether they decode to its text."""
-    encoded = pieces.encode_decode(docs.select("doc_id", "lang", "source", "text"), piece_model())
-    exact = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
-    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", exact.alias("round_trip"))
+    """The token ids of each document in place of its text, and whether they decode to it; other columns stay."""
+    ids, count, decoded = (common.free_name(n, docs) for n in ("ids", "n_tokens", "decoded"))
+    encoded = pieces.encode_decode(docs, piece_model(), ids_col=ids, count_col=count, decoded_col=decoded)
+    exact = F.coalesce(F.col("text"), F.lit("")) == F.col(decoded)
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    return encoded.select(*rest, count, ids, exact.alias(common.free_name("round_trip", docs)))
 
 
 STAGES = [
