@@ -17,6 +17,7 @@ from runloom.functions.tokenizers import (
     words,
 )
 from runloom.operators.sampling import SEED, shuffle_positions
+from runloom.session import written
 
 #: Fixed value: the label that a loss function leaves out.
 IGNORED = -100
@@ -135,9 +136,9 @@ def pad_batches(
     """Put rows into seeded batches and fill each batch to its longest row.
 
     The width is rounded up to a multiple. Positions and widths are found on ids
-    and lengths alone; the arrays are shuffled once, by the last join.
+    and lengths alone, which are written once; the arrays are shuffled once, by the last join.
     """
-    lengths = df.select(id_col, F.col("num_tokens").alias("_size"))
+    lengths = written(df.select(id_col, F.col("num_tokens").alias("_size")), "lengths")
     batch = Window.partitionBy("batch")
     widths = (
         shuffle_positions(lengths, id_col, seed)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions.columns import micros
 from runloom.operators.grouped import PERCENTILE_ROWS, exact_percentiles, group_sizes, join_on, per_group
-from runloom.session import checkpointed
+from runloom.session import written
 
 #: Reported percentiles.
 PERCENTILES = {
@@ -174,7 +174,7 @@ def arrival_offsets(events: DataFrame, keys: Sequence[str], ts: str) -> DataFram
     The running sum of gaps equals the distance from the first row, so a minimum
     per group replaces an ordered window over the whole group.
     """
-    first = checkpointed(events.groupBy(*keys).agg(F.min(ts).alias("_first")))
+    first = written(events.groupBy(*keys).agg(F.min(ts).alias("_first")), "first")
     timed = join_on(events, per_group(first, first.count()), keys)
     elapsed = micros(timed, ts) - micros(timed, "_first")
     return timed.withColumn("arrival_s", elapsed / 1_000_000).drop("_first")

@@ -20,7 +20,7 @@ from runloom.operators.grouped import (
     join_on,
     per_group,
 )
-from runloom.session import checkpointed
+from runloom.session import written
 
 #: Lengths of the rolling window and of the averaged tail.
 ROLLING_ROWS = 100
@@ -164,7 +164,7 @@ def series_fallback(log: DataFrame, tags: Sequence[str], keys: Sequence[str] = (
     """Per run, the points of the first tag in ``tags`` that has any."""
     ranks = F.create_map(*[F.lit(x) for pair in zip(tags, range(len(tags))) for x in pair])
     known = log.filter(F.col("tag").isin(*tags)).withColumn("_choice", ranks[F.col("tag")])
-    best = checkpointed(known.groupBy(*keys).agg(F.min("_choice").alias("_choice")))
+    best = written(known.groupBy(*keys).agg(F.min("_choice").alias("_choice")), "best")
     return join_on(known, per_group(best, best.count()), [*keys, "_choice"], "left_semi").drop("_choice")
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.operators.latency import EPSILON
-from runloom.operators.series import TAIL_POINTS, tail_mean
+from runloom.operators.series import TAIL_POINTS
 
 #: Scalar tags and the names used for them.
 TAGS = {
@@ -51,18 +51,20 @@ def perplexity(loss: Column) -> Column:
     return F.round(F.exp(loss), 2)
 
 
-def _final(log: DataFrame, key: str, name: str) -> DataFrame:
-    points = log.filter(F.col("tag") == TAGS[key])
-    return points.groupBy("run").agg(F.round(F.max_by("value", F.struct("step", "value")), 4).alias(name))
+def newest_points(log: DataFrame, points: int = TAIL_POINTS, name: str = "_newest") -> DataFrame:
+    """The last points of each series, numbered from the newest; Spark limits every series before the shuffle."""
+    newest = F.row_number().over(Window.partitionBy("run", "tag").orderBy(F.desc("step"), F.desc("value")))
+    return log.withColumn(name, newest).where(F.col(name) <= points)
 
 
-def _tails(log: DataFrame, names: dict[str, str], points: int) -> DataFrame:
-    """Tail means of several series, one column each."""
-    tags = {TAGS[key]: name for key, name in names.items()}
-    means = tail_mean(log.filter(F.col("tag").isin(*tags)), points=points)
-    return means.groupBy("run").agg(
-        *[F.max(F.when(F.col("tag") == tag, F.col("tail_mean"))).alias(name) for tag, name in tags.items()]
-    )
+def _series_figures(log: DataFrame, finals: dict[str, str], tails: dict[str, str], points: int) -> DataFrame:
+    """Last values and tail means of several series, one column each, from one pass over their last points."""
+    wanted = [TAGS[key] for key in (*finals, *tails)]
+    last = newest_points(log.filter(F.col("tag").isin(*wanted)), points)
+    of = lambda key: F.col("tag") == TAGS[key]
+    figures = [F.round(F.max(F.when(of(key) & (F.col("_newest") == 1), F.col("value"))), 4).alias(name) for key, name in finals.items()]
+    figures += [F.round(F.avg(F.when(of(key), F.col("value"))), 4).alias(name) for key, name in tails.items()]
+    return last.groupBy("run").agg(*figures)
 
 
 def _left_join(runs: DataFrame, tables: Sequence[DataFrame]) -> DataFrame:
@@ -78,10 +80,8 @@ def run_summary(
         F.col("eval_loss").alias("final_eval_loss"),
         perplexity(F.col("eval_loss")).alias("final_eval_perplexity"),
     )
-    tails = _tails(
-        log, {"routing_entropy": "mean_routing_entropy", "routing_cv": "mean_load_cv"}, points
-    )
-    tables = [_final(log, "train_loss", "final_train_loss"), evals, tails]
+    tails = {"routing_entropy": "mean_routing_entropy", "routing_cv": "mean_load_cv"}
+    tables = [_series_figures(log, {"train_loss": "final_train_loss"}, tails, points), evals]
     return _left_join(runs, tables).select(*HEADERS)
 
 
@@ -101,15 +101,11 @@ def run_summary_wide(
         F.col("eval_loss").alias("final_eval_loss"),
         perplexity(F.col("eval_loss")).alias("eval_perplexity"),
     )
-    tails = _tails(
-        log,
-        {
-            "routing_cv": "mean_load_cv",
-            "global_max_over_mean": "max_mean_load",
-            "global_overflow": "overflow_fraction",
-        },
-        points,
-    )
+    tails = {
+        "routing_cv": "mean_load_cv",
+        "global_max_over_mean": "max_mean_load",
+        "global_overflow": "overflow_fraction",
+    }
     derived = F.col("latency_p99_ms") / (F.col("latency_p50_ms") + EPSILON)
     given = [F.col("tail_amplification")] if "tail_amplification" in report.columns else []
     figures = report.select(
@@ -125,5 +121,5 @@ def run_summary_wide(
         "run",
         *[F.col(f"{w}_{f}").alias(f"{f}_{w}") for f in ("p99_latency", "tail_amp") for w in WORKLOADS],
     )
-    tables = [_final(log, "train_loss", "final_train_loss"), evals, tails, wide]
+    tables = [_series_figures(log, {"train_loss": "final_train_loss"}, tails, points), evals, wide]
     return _left_join(runs, tables).select(*WIDE_HEADERS)

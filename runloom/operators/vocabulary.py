@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions.tokenizers import words
 from runloom.operators.grouped import row_positions
-from runloom.session import checkpointed
+from runloom.session import written
 
 #: Id of words that the vocabulary lacks; the most frequent word has the next one.
 UNKNOWN_ID = 0
@@ -41,12 +41,12 @@ def build_vocabulary(docs: DataFrame, text: str = "text", size: int | None = Non
     """``word, count, id`` of the words that occur ``min_count`` times or more, the ``size`` most frequent of them.
 
     Ids are dense from 1 on: by count, then by the bytes of the word. Words are what stands between white space. Null
-    texts have none. The table is checkpointed, so that ids stay as they are.
+    texts have none. The table is written, so that ids stay as they are.
     """
     hashed = _words_of(docs, text).select(F.xxhash64("word").alias("_hash"))
     often = hashed.groupBy("_hash").count().where(F.col("count") >= min_count)
     if size is not None:
-        often = checkpointed(often)
+        often = written(often, "hashes")
         # One level below the cut may be needed in part: those words are ranked below.
         lowest = often.where(F.col("count") < F.coalesce(least_count(often, size), F.lit(2**62))).agg(F.max("count")).scalar()
         often = often.where(F.col("count") >= F.coalesce(lowest, F.lit(0)))
@@ -57,11 +57,11 @@ def build_vocabulary(docs: DataFrame, text: str = "text", size: int | None = Non
         counted = partial.join(often.select("_hash"), "_hash", "left_semi").select("word", "count")
     else:
         counted = _words_of(docs, text).groupBy("word").count()
-    counted = checkpointed(counted.where(F.col("count") >= min_count))
+    counted = written(counted.where(F.col("count") >= min_count), "words")
     ranked = row_positions(counted, [], [F.desc("count"), F.asc("word")], "id")
     if size is not None:
         ranked = ranked.where(F.col("id") <= size)
-    return checkpointed(ranked.select("word", "count", F.col("id").cast("int").alias("id")))
+    return written(ranked.select("word", "count", F.col("id").cast("int").alias("id")), "vocabulary")
 
 
 def encode(
@@ -83,5 +83,5 @@ def encode(
         found = placed.join(hot, "word").unionByName(open_words).unionByName(none)
     # A text's ids are put together where they were made; one row per text and task is shuffled.
     pair = F.when(F.col("_place").isNotNull(), F.struct("_place", F.coalesce("_id", F.lit(UNKNOWN_ID)).alias("_id")))
-    grouped = found.groupBy(id_col).agg(F.max("_none").alias("_none"), F.array_sort(F.collect_list(pair)).alias("_pairs"))
+    grouped = found.groupBy(id_col).agg(F.max("_none").alias("_none"), F.sort_array(F.collect_list(pair)).alias("_pairs"))
     return grouped.select(id_col, F.when(~F.col("_none"), F.transform("_pairs", lambda p: p["_id"])).alias(name))

@@ -29,7 +29,7 @@ from runloom.plans import prepare, views
 from runloom.session import checkpointed, scratch_path
 from runloom.sources import records as record_files
 from runloom.sources import run_logs
-from runloom.streaming import event_time, rolling
+from runloom.streaming import event_time, rolling, tail_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -879,3 +879,17 @@ def stream_timing_log(spark, sf_dir):
     """Marks to rolling step times in one stream: the second operator takes the pairs in the order of the first."""
     rolled = lambda s: rolling.stream_rolling_percentiles(_paired(s), "event_type", ["end_micros", "event_id"], "elapsed_ms")
     return rounded(_streamed(spark, views.step_marks(spark, sf_dir), rolled).drop("end_micros"))
+
+
+@query
+def stream_run_summary_wide(spark, sf_dir):
+    """The wide summary from the last points that a stream of log files kept, over several triggers."""
+    path, state = scratch_path(spark, "log"), scratch_path(spark, "state")
+    log = views.scalar_log(spark, sf_dir)
+    for part in range(2):  # new files come in between
+        log.where(F.pmod(F.xxhash64("run", "tag", "step"), F.lit(2)) == part).write.mode("append").parquet(path)
+    kept = tail_log.TailLog(spark, scratch_path(spark, "tails"))
+    stream = spark.readStream.schema(tail_log.SCHEMA).option("maxFilesPerTrigger", 4).parquet(path)
+    kept.follow(stream).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    report = latency.benchmark_report(views.requests(spark, sf_dir))
+    return rounded(summary.run_summary_wide(views.runs(spark, sf_dir), kept.read(), views.eval_metrics(spark, sf_dir), report))

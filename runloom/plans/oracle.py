@@ -631,6 +631,7 @@ def statements() -> dict[str, str]:
           true AS latency_p95_within, true AS latency_p99_within, true AS latency_p999_within FROM requests GROUP BY ALL"""),
         # streaming: the same result as the batch form
         "stream_rolling_percentiles": _rolling(),
+        "stream_run_summary_wide": _run_summary_wide(),
         "stream_step_pairs": _rounded(f"SELECT event_id, event_type, elapsed_ms FROM ({_PAIRS})", "elapsed_ms"),
         "stream_timing_log": _rounded(
             f"SELECT event_type, event_id, elapsed_ms, quantile_cont(elapsed_ms, 0.5) OVER w AS p50, "

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.operators.grouped import join_on, per_group
-from runloom.session import checkpointed
+from runloom.session import written
 
 #: What decides the structure: quotes with the backslashes before them, and brackets.
 _MARK = re.compile(r'\\+"|["{}\[\]]')
@@ -142,7 +142,7 @@ def read_json_arrays(spark: SparkSession, path: str, schema: str | T.StructType,
         "value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
     )
     names = "file long, start long, first string, quotes long, out_last long, out_least long, in_last long, in_least long"
-    states = checkpointed(_states(lines.mapInArrow(_summaries, names)))
+    states = written(_states(lines.mapInArrow(_summaries, names)), "splits")
     known = join_on(lines, per_group(states, states.count()), _SPLIT).select("value", *_SPLIT, "inside", "depth", "base", "opener")
     kinds = "file long, opener long, start long, value string"
     whole = known.mapInArrow(_pieces(True), kinds).select("value")
