@@ -38,13 +38,16 @@ BUCKET_BLOCK = 2048
 PAIRS = 1 << 19
 
 #: Rounds in which a bucket's members are compared with one of them, before those not yet connected are compared in pairs.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 
 #: Points of 40 bytes up to which those asked for are broadcast to find their texts again.
 BROADCAST_ROWS = 1_000_000
 
-#: Ranges of the key space that the suffix filter counts.
-CELLS = 64
+#: Ranges of the key space that the suffix filter counts, one for each value of a key's first byte.
+CELLS = 256
+
+#: Pairs whose ranges are compared in one step.
+CELL_PAIRS = 1 << 14
 
 
 def ngrams(text: bytes, size: int) -> np.ndarray:
@@ -163,7 +166,7 @@ def _described(texts: DataFrame, counts: np.ndarray, size: int, percent: int, fi
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
                     prefixes.append(s[first])
-                    spread = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS)
+                    spread = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=CELLS)
                     cells.append(np.minimum(spread, 255).astype(np.uint8).tobytes())
                 pair = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
@@ -182,12 +185,16 @@ def _described(texts: DataFrame, counts: np.ndarray, size: int, percent: int, fi
     return texts.mapInArrow(run, schema)
 
 
-def _may_be_similar(n_a, n_b, cells_a, cells_b, percent: int) -> np.ndarray:
-    """Length and suffix filter: what the sizes, in all and by range, allow."""
+def _may_be_similar(n_a: np.ndarray, n_b: np.ndarray, cells_a, cells_b, percent: int) -> np.ndarray:
+    """Length and suffix filter: what the sizes, in all and by range, allow. ``cells`` give the ranges of a slice of the pairs."""
     total = n_a.astype(np.int64) + n_b
     least = least_shared(total, percent)
-    apart = np.abs(cells_a.astype(np.int16) - cells_b).sum(axis=-1, dtype=np.int64)
-    return (least <= np.minimum(n_a, n_b)) & (apart <= total - 2 * least)
+    passed = least <= np.minimum(n_a, n_b)
+    for begin in range(0, len(total), CELL_PAIRS):
+        part = slice(begin, begin + CELL_PAIRS)
+        apart = np.abs(cells_a(part).astype(np.int16) - cells_b(part)).sum(axis=-1, dtype=np.int64)
+        passed[part] &= apart <= (total - 2 * least)[part]
+    return passed
 
 
 def _filtered(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -199,7 +206,8 @@ def _filtered(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            passed = _may_be_similar(n_a, n_b, cells(batch.column("cells_a")), cells(batch.column("cells_b")), percent)
+            a, b = (cells(batch.column(c)) for c in ("cells_a", "cells_b"))
+            passed = _may_be_similar(n_a, n_b, a.__getitem__, b.__getitem__, percent)
             yield batch.select(["a", "b"]).filter(pa.array(passed))
 
     of = [points.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}")) for x in "ab"]
@@ -273,7 +281,7 @@ def _block_pairs(percent: int):
             fits = (label[a] != label[b]) & ((mine[a] != mine[b]) | (i[a] == j[a]))
             fits &= np.minimum(after[a], after[b]) >= least_shared(n[a].astype(np.int64) + n[b], percent)
             a, b = a[fits], b[fits]
-            near = _may_be_similar(n[a], n[b], cells[a], cells[b], percent)
+            near = _may_be_similar(n[a], n[b], lambda part, a=a: cells[a[part]], lambda part, b=b: cells[b[part]], percent)
             a, b = ids[a[near]], ids[b[near]]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
             begin = stop
