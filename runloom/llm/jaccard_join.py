@@ -266,6 +266,9 @@ def _block_pairs(percent: int):
             rows[c].to_numpy() for c in ("id", "n", "pos", "label", "mine", "token", "i", "j")
         )
         cells = np.frombuffer(b"".join(rows["cells"].to_pylist()), np.uint8).reshape(-1, CELLS)
+        lists = rows["earlier"].combine_chunks()
+        counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+        earlier, starts = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(counts) - counts
         after = n - place
         ends = np.append(_starts(token, i, j)[1:], len(ids))
         end_of = np.repeat(ends, np.diff(np.append(0, ends)))
@@ -282,7 +285,9 @@ def _block_pairs(percent: int):
             fits &= np.minimum(after[a], after[b]) >= least_shared(n[a].astype(np.int64) + n[b], percent)
             a, b = a[fits], b[fits]
             near = _may_be_similar(n[a], n[b], lambda part, a=a: cells[a[part]], lambda part, b=b: cells[b[part]], percent)
-            a, b = ids[a[near]], ids[b[near]]
+            a, b = a[near], b[near]
+            first = ~_meets_before(starts, counts, earlier, a, b)
+            a, b = ids[a[first]], ids[b[first]]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
             begin = stop
         return np.unique(np.concatenate(found), axis=0)
@@ -302,6 +307,18 @@ def _block_pairs(percent: int):
     return run
 
 
+def _meets_before(starts: np.ndarray, counts: np.ndarray, tokens: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the rows of a pair share an earlier n-gram of an open bucket: then the pair was found there."""
+    met = np.zeros(len(a), bool)
+    of, last = lambda x: tokens[starts[x] : starts[x] + counts[x]].tolist(), None
+    for place in np.flatnonzero((counts[a] > 0) & (counts[b] > 0)):
+        if a[place] != last:
+            last = a[place]
+            own = set(of(last))
+        met[place] = not own.isdisjoint(of(b[place]))
+    return met
+
+
 def _starts(*columns: np.ndarray) -> np.ndarray:
     """Where rows differ from the one before."""
     changed = np.ones(len(columns[0]), bool)
@@ -353,13 +370,16 @@ def links_between(
             lambda other: F.struct(F.least("mine", other).alias("i"), F.greatest("mine", other).alias("j")),
         )
     )
+    members = common.written(_open_members(buckets, known), "members")
+    # The n-grams of open buckets that each point has, no more than its prefix: a pair is taken in the first that it shares.
+    opens = members.groupBy("id").agg(F.collect_list(F.struct("pos", "token")).alias("opens"))
+    earlier = F.transform(F.filter("opens", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"])
     dealt = (
-        _open_members(buckets, known)
-        .withColumn("blocks", F.ceil(F.col("size") / block))
+        members.withColumn("blocks", F.ceil(F.col("size") / block))
         .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .join(points.select("id", "cells"), "id")
-        .select("token", "id", "n", "pos", "label", "cells", "mine", pair.alias("pair"))
-        .select("token", "pair.i", "pair.j", "id", "n", "pos", "label", "cells", "mine")
+        .join(points.select("id", "cells").join(opens, "id"), "id")
+        .select("token", "id", "n", "pos", "label", "cells", "mine", earlier.alias("earlier"), pair.alias("pair"))
+        .select("token", "pair.i", "pair.j", "id", "n", "pos", "label", "cells", "mine", "earlier")
     )
     sorted_ = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     rest = sorted_.mapInArrow(_block_pairs(percent), "a long, b long").distinct()
