@@ -255,42 +255,28 @@ def verified_links(pairs: DataFrame, points: DataFrame, texts: DataFrame, size:
     return _verified(_filtered(ordered, points, percent), points, texts, size, percent)
 
 
-def _block_pairs(percent: int):
-    """The pairs of each bucket or pair of blocks that are not connected and pass all filters.
-
-    Rows come sorted by bucket. Whole buckets, small ones by the thousand, are compared at once.
-    """
-
-    def pairs_of(rows: pa.Table) -> np.ndarray:
-        ids, n, place, label, mine, token, i, j = (
-            rows[c].to_numpy() for c in ("id", "n", "pos", "label", "mine", "token", "i", "j")
-        )
-        cells = np.frombuffer(b"".join(rows["cells"].to_pylist()), np.uint8).reshape(-1, CELLS)
-        lists = rows["earlier"].combine_chunks()
-        counts = lists.value_lengths().to_numpy(zero_copy_only=False)
-        earlier, starts = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(counts) - counts
-        after = n - place
-        ends = np.append(_starts(token, i, j)[1:], len(ids))
-        end_of = np.repeat(ends, np.diff(np.append(0, ends)))
-        partners = end_of - np.arange(len(ids)) - 1
-        total = np.concatenate([[0], np.cumsum(partners)])
-        found, begin = [np.empty((0, 2), np.int64)], 0
-        while begin < len(ids):
-            # So many rows that their pairs fit; a row has fewer partners than its bucket has members.
-            stop = max(begin + 1, int(np.searchsorted(total, total[begin] + PAIRS, side="right")) - 1)
-            count = partners[begin:stop]
-            a = np.repeat(np.arange(begin, stop), count)
-            b = a + 1 + np.arange(len(a)) - np.repeat(total[begin:stop] - total[begin], count)
-            fits = (label[a] != label[b]) & ((mine[a] != mine[b]) | (i[a] == j[a]))
-            fits &= np.minimum(after[a], after[b]) >= least_shared(n[a].astype(np.int64) + n[b], percent)
-            a, b = a[fits], b[fits]
-            near = _may_be_similar(n[a], n[b], lambda part, a=a: cells[a[part]], lambda part, b=b: cells[b[part]], percent)
-            a, b = a[near], b[near]
-            first = ~_meets_before(starts, counts, earlier, a, b)
-            a, b = ids[a[first]], ids[b[first]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-            begin = stop
-        return np.unique(np.concatenate(found), axis=0)
+def _possible(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of each bucket or pair of blocks that are not connected and pass the filters by length and position."""
+    n, place, label, mine, token, i, j = (rows[c].to_numpy() for c in ("n", "pos", "label", "mine", "token", "i", "j"))
+    after = n - place
+    ends = np.append(_starts(token, i, j)[1:], len(n))
+    partners = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(len(n)) - 1
+    total, begin = np.concatenate([[0], np.cumsum(partners)]), 0
+    while begin < len(n):
+        # So many rows that their pairs fit; a row has fewer partners than its bucket has members.
+        stop = max(begin + 1, int(np.searchsorted(total, total[begin] + PAIRS, side="right")) - 1)
+        count = partners[begin:stop]
+        a = np.repeat(np.arange(begin, stop), count)
+        b = a + 1 + np.arange(len(a)) - np.repeat(total[begin:stop] - total[begin], count)
+        fits = (label[a] != label[b]) & ((mine[a] != mine[b]) | (i[a] == j[a]))
+        # What can follow a shared n-gram bounds what is shared, and so do the lengths.
+        fits &= np.minimum(after[a], after[b]) >= least_shared(n[a].astype(np.int64) + n[b], percent)
+        yield a[fits], b[fits]
+        begin = stop
+
+
+def _by_bucket(work):
+    """Rows come sorted by bucket; whole buckets, small ones by the thousand, are worked on at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -300,13 +286,46 @@ def _block_pairs(percent: int):
             last = int(_starts(*[rows[c].to_numpy() for c in ("token", "i", "j")])[-1]) if rows.num_rows else 0
             held = rows.slice(last)
             if last:
-                yield _as_batch(pairs_of(rows.slice(0, last)))
+                yield from work(rows.slice(0, last))
         if held is not None and held.num_rows:
-            yield _as_batch(pairs_of(held))
+            yield from work(held)
 
     return run
 
 
+def _with_partners(percent: int):
+    """The rows that have a possible partner in their bucket. Few have, so only those are given their ranges."""
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        alive = np.zeros(rows.num_rows, bool)
+        for a, b in _possible(rows, percent):
+            alive[a] = alive[b] = True
+        yield from rows.filter(pa.array(alive)).to_batches()
+
+    return _by_bucket(work)
+
+
+def _block_pairs(percent: int):
+    """The possible pairs that pass the suffix filter too, each in the first open bucket that it shares."""
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, n = rows["id"].to_numpy(), rows["n"].to_numpy()
+        cells = np.frombuffer(b"".join(rows["cells"].to_pylist()), np.uint8).reshape(-1, CELLS)
+        lists = rows["earlier"].combine_chunks()
+        counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+        earlier, starts = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(counts) - counts
+        found = [np.empty((0, 2), np.int64)]
+        for a, b in _possible(rows, percent):
+            near = _may_be_similar(n[a], n[b], lambda part, a=a: cells[a[part]], lambda part, b=b: cells[b[part]], percent)
+            a, b = a[near], b[near]
+            first = ~_meets_before(starts, counts, earlier, a, b)
+            a, b = ids[a[first]], ids[b[first]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        yield _as_batch(np.unique(np.concatenate(found), axis=0))
+
+    return _by_bucket(work)
+
+
 def _meets_before(starts: np.ndarray, counts: np.ndarray, tokens: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the rows of a pair share an earlier n-gram of an open bucket: then the pair was found there."""
     met = np.zeros(len(a), bool)
@@ -353,8 +372,7 @@ def links_between(
     postings = points.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     ends = postings.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     buckets = common.written(postings.join(ends.select("token"), "token"), "buckets")
-    # Edges that are known already are a round of their own.
-    for _ in range(STAR_ROUNDS if known is None else STAR_ROUNDS - 1):
+    for _ in range(STAR_ROUNDS):
         # One member that belongs to the last label, compared with all that belong to others.
         members = common.written(_open_members(buckets, known), "members")
         if members.isEmpty():
@@ -371,18 +389,19 @@ def links_between(
         )
     )
     members = common.written(_open_members(buckets, known), "members")
-    # The n-grams of open buckets that each point has, no more than its prefix: a pair is taken in the first that it shares.
-    opens = members.groupBy("id").agg(F.collect_list(F.struct("pos", "token")).alias("opens"))
-    earlier = F.transform(F.filter("opens", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"])
     dealt = (
         members.withColumn("blocks", F.ceil(F.col("size") / block))
         .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .join(points.select("id", "cells").join(opens, "id"), "id")
-        .select("token", "id", "n", "pos", "label", "cells", "mine", earlier.alias("earlier"), pair.alias("pair"))
-        .select("token", "pair.i", "pair.j", "id", "n", "pos", "label", "cells", "mine", "earlier")
+        .select("token", "id", "n", "pos", "label", "mine", pair.alias("pair"))
+        .select("token", "pair.i", "pair.j", "id", "n", "pos", "label", "mine")
     )
-    sorted_ = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    rest = sorted_.mapInArrow(_block_pairs(percent), "a long, b long").distinct()
+    together = lambda df: df.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    alive = common.written(together(dealt).mapInArrow(_with_partners(percent), dealt.schema), "alive")
+    # The n-grams of buckets in which a point has a partner, no more than its prefix: a pair is taken in the first that it shares.
+    opens = alive.groupBy("id").agg(F.collect_set(F.struct("pos", "token")).alias("opens"))
+    earlier = F.transform(F.filter("opens", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"])
+    full = alive.join(points.select("id", "cells").join(opens, "id"), "id").select(*dealt.columns, "cells", earlier.alias("earlier"))
+    rest = together(full).mapInArrow(_block_pairs(percent), "a long, b long").distinct()
     return common.written(known.unionByName(_verified(rest, points, texts, size, percent)), "links")
 
 
