@@ -1,8 +1,9 @@
 """Licences named in texts, recognised sentence by sentence.
 
-Built-in functions only. A text is cut into sentences, each is normalised and looked up among known
-licence sentences, and the sequence of their identifiers is matched with ordered rules. The
-rules are tried from the longest to the shortest, and what a rule has used no later rule can use.
+Built-in functions only. A text is cut into sentences, each is normalised and looked up in a map of known
+licence sentences; a sentence that names licences has the names looked up, singly or joined by ``and`` or ``or``. The sequence of the
+identifiers is matched with ordered rules. The rules are tried from the longest to the shortest, and what a rule has used no
+later rule can use.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runloom.functions.columns import let
+
 #: A sentence without any of these word beginnings is no licence sentence.
 TRIGGERS = ("licen", "copyright", "permission", "warrant", "redistribut", "as is", "public domain")
 
@@ -49,21 +52,55 @@ SENTENCES = {
     "see the gnu lesser general public license for more details": "LgplSee",
 }
 
-#: How a licence is named in a sentence of its own, as expressions over normalised words.
-REFERENCES = {
-    "ApacheRef": "apache(?: license)?(?: version)? 2 0(?: license)?",
-    "MitRef": "mit(?: license)?",
-    "Gpl3Ref": "(?:gnu general public license|gnu gpl|gpl)(?: version)? v?3(?: 0)?(?: only)?",
-    "Gpl2Ref": "(?:gnu general public license|gnu gpl|gpl)(?: version)? v?2(?: 0)?(?: only)?",
-    "Lgpl3Ref": "(?:gnu lesser general public license|gnu lgpl|lgpl)(?: version)? v?3(?: 0)?(?: only)?",
-    "Lgpl21Ref": "(?:gnu lesser general public license|gnu lgpl|lgpl)(?: version)? v?2 1(?: only)?",
-    "Mpl2Ref": "(?:mozilla public license|mpl)(?: version| v)? 2 0",
-    "IscRef": "isc(?: license)?",
-    "Cc0Ref": "(?:cc0|creative commons zero)(?: v?1 0)?(?: universal)?(?: license)?",
-    "Bsd3Ref": "bsd 3 clause(?: license)?",
-    "Bsd2Ref": "bsd 2 clause(?: license)?",
-}
-_SUBJECT = "(?:this (?:project|work|software|program|file|code|library|package|repository) is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?"
+#: Licences that are referred to by name: identifier, licence, names, versions.
+FAMILIES = (
+    ("ApacheRef", "Apache-2.0", ("apache", "apache license", "apache software license"), ("2 0", "2")),
+    ("MitRef", "MIT", ("mit", "expat", "mit expat"), ("",)),
+    ("Gpl3Ref", "GPL-3.0-only", ("gpl", "gnu gpl", "gnu general public license"), ("3 0", "3")),
+    ("Gpl2Ref", "GPL-2.0-only", ("gpl", "gnu gpl", "gnu general public license"), ("2 0", "2")),
+    ("Lgpl3Ref", "LGPL-3.0-only", ("lgpl", "gnu lgpl", "gnu lesser general public license"), ("3 0", "3")),
+    ("Lgpl21Ref", "LGPL-2.1-only", ("lgpl", "gnu lgpl", "gnu lesser general public license"), ("2 1",)),
+    ("Agpl3Ref", "AGPL-3.0-only", ("agpl", "gnu agpl", "gnu affero general public license"), ("3 0", "3")),
+    ("Mpl2Ref", "MPL-2.0", ("mpl", "mozilla public license"), ("2 0", "2")),
+    ("Epl2Ref", "EPL-2.0", ("epl", "eclipse public license"), ("2 0", "2")),
+    ("Bsd3Ref", "BSD-3-Clause", ("bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd"), ("",)),
+    ("Bsd2Ref", "BSD-2-Clause", ("bsd 2 clause", "2 clause bsd", "simplified bsd"), ("",)),
+    ("IscRef", "ISC", ("isc",), ("",)),
+    ("ZlibRef", "Zlib", ("zlib",), ("",)),
+    ("BoostRef", "BSL-1.0", ("boost software license", "boost software", "bsl"), ("1 0",)),
+    ("UnlicenseRef", "Unlicense", ("unlicense",), ("",)),
+    ("Cc0Ref", "CC0-1.0", ("cc0", "creative commons zero"), ("", "1 0", "1 0 universal")),
+    ("CcBy4Ref", "CC-BY-4.0", ("cc by", "creative commons attribution"), ("4 0", "4 0 international")),
+    ("CcBySa4Ref", "CC-BY-SA-4.0", ("cc by sa", "creative commons attribution sharealike"), ("4 0", "4 0 international")),
+    ("CcByNc4Ref", "CC-BY-NC-4.0", ("cc by nc", "creative commons attribution noncommercial"), ("4 0", "4 0 international")),
+)
+#: What may follow the name of a licence that can be had in a later version too.
+LATER = (" or later", " or any later version", " or newer")
+
+
+def _names() -> dict[str, str]:
+    """Normalised names of licences and their identifiers; ``license`` at the end is not part of a name."""
+    found = {}
+    for name, license_name, bases, versions in FAMILIES:
+        ways = {" ".join(f"{base} {v}{version}".split()) for base in bases for version in versions for v in ("", "v", "version ", "v ") if version or not v}
+        ways |= {f"{base}v{version}" for base in bases for version in versions if version}
+        found |= {way: name for way in ways}
+        if license_name.endswith("-only"):
+            found |= {f"{way} only": name for way in ways}
+            found |= {way + later: name.removesuffix("Ref") + "LaterRef" for way in ways for later in LATER}
+    return found
+
+
+#: How a sentence begins that names licences. ``License:`` and its like are sentences of two parts.
+SUBJECT = (
+    "^(?:(?:this|the) (?:project|work|software|program|file|code|library|package|repository|document) is )?(?:dual )?"
+    "(?:licensed|released|distributed|available) under (?:either )?(?:of )?(?:the )?(?:terms of )?(?:the )?"
+    "|^spdx license identifier |^(?:project )?license "
+)
+
+#: Sentences that line wraps, comment marks, semicolons or colons have cut are put together again from at most so many parts.
+PARTS = 14
+
 
 #: Ordered rules, the longer before the shorter.
 RULES = (
@@ -93,44 +130,102 @@ RULES = (
     (("Mpl2Form",), "MPL-2.0"),
     (("Mpl2Ref",), "MPL-2.0"),
     (("Cc0Ref",), "CC0-1.0"),
+    *[((name.removesuffix("Ref") + "LaterRef",), lic.removesuffix("-only") + "-or-later") for name, lic, _, _ in FAMILIES if lic.endswith("-only")],
+    (("Agpl3Ref",), "AGPL-3.0-only"),
+    (("Epl2Ref",), "EPL-2.0"),
+    (("ZlibRef",), "Zlib"),
+    (("BoostRef",), "BSL-1.0"),
+    (("UnlicenseRef",), "Unlicense"),
+    (("CcBySa4Ref",), "CC-BY-SA-4.0"),
 )
 
 #: Identifiers of sentences that are not in the list: a line of copyright, or anything else with a trigger.
 COPYRIGHT, UNKNOWN = "Copyright", "Unknown"
 
 
-def _listed() -> dict[str, str]:
-    """For each identifier an expression of its sentences, between marks of cuts; words may be parted by a cut as well."""
-    ways: dict[str, list[str]] = {}
-    for sentence, name in sorted(SENTENCES.items(), key=lambda x: -len(x[0])):
-        ways.setdefault(name, []).append(sentence)
-    for name, words in REFERENCES.items():
-        ways.setdefault(name, []).append(_SUBJECT + words)
-    return {n: "\u0001(?:" + "|".join(w).replace(" ", "[ \u0001]") + ")(?=\u0001)" for n, w in ways.items()}
+def _table(entries: dict[str, str]) -> Column:
+    """A constant map."""
+    return F.map_from_arrays(F.array(*map(F.lit, entries)), F.array(*map(F.lit, entries.values())))
 
 
-def sentences(text: Column) -> Column:
-    """The sentences of a text that can speak of a licence, normalised; a listed one is its identifier after ``=``."""
+def cut(text: Column) -> Column:
+    """The sentences of a text, normalised: words in lower case, one blank between them."""
     # A line of an address is apart from the sentence before it.
-    cut = F.regexp_replace(text, "\\n[^\\p{L}\\p{N}\\n]*((?i:https?://)[^ \\t\\r\\n]*)", "\u0001$1\u0001")
-    cut = F.regexp_replace(cut, "([.!?;:])[ \\t\\r\\n]+", "$1\u0001")
+    marked = F.regexp_replace(text, "\\n[^\\p{L}\\p{N}\\n]*((?i:https?://)[^ \\t\\r\\n]*)", "\u0001$1\u0001")
+    marked = F.regexp_replace(marked, "([.!?;:])[ \\t\\r\\n]+", "$1\u0001")
     # A line break ends a sentence unless the next line goes on in lower case.
-    cut = F.regexp_replace(cut, "[ \\t\\r]*\\n[ \\t\\r\\n]*([^a-z \\t\\r\\n])", "\u0001$1")
-    plain = F.transform(
-        F.split(cut, "\u0001"), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^\\p{L}\\p{N}]+", " "))
-    )
-    # Listed sentences are put together again over line wraps, comment marks, semicolons and colons.
-    joined = F.concat(F.lit("\u0001"), F.array_join(F.filter(plain, lambda s: s != ""), "\u0001"), F.lit("\u0001"))
-    for name, way in _listed().items():
-        joined = F.regexp_replace(joined, way, f"\u0001={name}")
-    return F.filter(F.split(joined, "\u0001"), lambda s: s.rlike("^=|" + "|".join(TRIGGERS)))
+    marked = F.regexp_replace(marked, "[ \\t\\r]*\\n[ \\t\\r\\n]*([^a-z \\t\\r\\n])", "\u0001$1")
+    plain = F.transform(F.split(marked, "\u0001"), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^\\p{L}\\p{N}]+", " ")))
+    return F.filter(plain, lambda s: s != "")
+
+
+def _referred(sentence: Column, names: Column) -> Column:
+    """The identifiers of the licences that a sentence names, joined by ``and`` or ``or``; null unless all are known."""
+    bare = lambda s: F.regexp_replace(F.regexp_replace(s, "^the ", ""), " licen[cs]es?$", "")
+
+    def looked_up(rest: Column) -> Column:
+        whole = F.element_at(names, bare(rest))
+        parts = F.transform(F.split(rest, " (?:and|or) "), lambda p: F.element_at(names, bare(p)))
+        all_known = F.when(~F.exists(parts, lambda p: p.isNull()), parts)
+        return F.when(sentence != rest, F.coalesce(F.when(whole.isNotNull(), F.array(whole)), all_known))
+
+    return let(F.regexp_replace(sentence, SUBJECT, ""), looked_up)
+
+
+def sentences(text: Column) -> Column:
+    """The identifiers of the sentences of a text that speak of licences, in order."""
+    known, names = _table(SENTENCES), _table(_names())
+    begins = F.array(*[F.lit(b) for b in sorted({" ".join(s.split()[:2]) for s in SENTENCES})])
+    first_words = lambda s: F.substring_index(s, " ", 2)
+
+    def recognised(parts: Column) -> Column:
+        def joined(i: Column, n: int) -> Column:
+            return F.array_join(F.slice(parts, i + 1, n), " ")
+
+        def named_in(i: Column, n: int) -> Column:
+            found = lambda x: F.when(x.isNotNull(), F.struct(F.lit(n).alias("n"), x.alias("ids")))
+            return let(_referred(joined(i, n), names), found)
+
+        def at(s: Column, i: Column) -> Column:
+            """The longest sentence that begins with a part: how many parts it has, and its identifiers."""
+            listed = [
+                F.when(F.size(parts) >= i + n, F.element_at(known, joined(i, n))) for n in range(PARTS, 0, -1)
+            ]
+            found = [
+                F.when(x.isNotNull(), F.struct(F.lit(n).alias("n"), F.array(x).alias("ids"))) for n, x in zip(range(PARTS, 0, -1), listed)
+            ]
+            named = [named_in(i, n) for n in (1, 2, 3)]
+            of_name = F.when(joined(i, 3).rlike(SUBJECT), F.coalesce(*named))
+            # Few sentences begin like a listed one, so few are looked up at all.
+            return F.coalesce(F.when(F.array_contains(begins, first_words(s)), F.coalesce(*found)), of_name)
+
+        def other(s: Column) -> Column:
+            name = F.when(s.startswith("copyright "), COPYRIGHT).otherwise(UNKNOWN)
+            return F.when(s.rlike("|".join(TRIGGERS)), F.array(name)).otherwise(F.array().cast("array<string>"))
+
+        def walked(hits: Column) -> Column:
+            """From left to right: a recognised sentence uses its parts up."""
+            start = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("ids"))
+
+            def step(state: Column, i: Column) -> Column:
+                hit = F.get(hits, i)
+                taken = F.struct((i + hit["n"]).alias("free"), F.concat(state["ids"], hit["ids"]).alias("ids"))
+                plain = F.struct((i + 1).alias("free"), F.concat(state["ids"], other(F.get(parts, i))).alias("ids"))
+                return F.when(i < state["free"], state).when(hit.isNotNull(), taken).otherwise(plain)
+
+            places = F.when(F.size(parts) > 0, F.sequence(F.lit(0), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
+            return F.aggregate(places, start, step, lambda state: state["ids"])
+
+        return let(F.transform(parts, at), walked)
+
+    return let(cut(text), recognised)
 
 
 #: References may have no trigger either.
-_NAMED = "(?:released|distributed)[^\\p{L}\\p{N}]+under[^\\p{L}\\p{N}]"
+_NAMED = "(?:released|distributed|available)[^\\p{L}\\p{N}]+under[^\\p{L}\\p{N}]"
 
 #: Known sentences in which no trigger stands.
-_WITHOUT_TRIGGER = tuple(f"^{s}$" for s in SENTENCES if not any(t in s for t in TRIGGERS) and s != "all rights reserved")
+_WITHOUT_TRIGGER = tuple(s for s in SENTENCES if not any(t in s for t in TRIGGERS) and s != "all rights reserved")
 
 
 def scan(
@@ -148,10 +243,9 @@ def scan(
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     # Texts without any trigger are not cut at all; they cannot hold a listed sentence.
-    found = F.when(F.lower(text).rlike("|".join([*TRIGGERS, "all rights reserved", _NAMED, *_WITHOUT_TRIGGER])), sentences(text))
-    name = lambda s: F.coalesce(F.when(s.startswith("="), F.substr(s, F.lit(2))), F.when(s.startswith("copyright "), COPYRIGHT), F.lit(UNKNOWN))
-    ids = F.transform(F.coalesce(found, F.array().cast("array<string>")), name)
-    out = docs.withColumn(sentences_col, ids)
+    apart = [t.replace(" ", "[^\\p{L}\\p{N}]+") for t in (*TRIGGERS, "all rights reserved", *_WITHOUT_TRIGGER)]
+    found = F.when(F.lower(text).rlike("|".join([*apart, _NAMED])), sentences(text))
+    out = docs.withColumn(sentences_col, F.coalesce(found, F.array().cast("array<string>")))
     # What rules match on: identifiers between semicolons, without those that stand between a licence's own.
     rest = F.concat(F.lit(";"), F.array_join(F.filter(sentences_col, lambda x: ~x.isin(COPYRIGHT, "Reserved", UNKNOWN)), ";"), F.lit(";"))
     names = []
