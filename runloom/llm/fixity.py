@@ -8,6 +8,8 @@ of differing nodes are looked at, so an audit of sound files reads their roots a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,9 @@ from runloom.llm import common
 #: Bits of the offset that one range of the lowest level covers, bits that each level adds, levels below the root.
 LEAF_BITS, FANOUT_BITS, LEVELS = 16, 4, 6
 
+#: Files that records of pages without an id are spread over.
+SPREAD = 256
+
 #: Fixed value: what parts the header of a record from its block, and records from each other.
 LINE = "\r\n"
 
@@ -34,19 +39,50 @@ def response_record(url: Column, payload: Column) -> Column:
     return F.concat(head, payload, F.lit(LINE + LINE)).cast("binary")
 
 
+def _file_of(page: Column, per_file: int, *others: Column) -> Column:
+    """The file of a page; pages without an id are spread over files of their own."""
+    none = F.format_string("none-%03d.warc", F.pmod(F.xxhash64(*others), F.lit(SPREAD)))
+    return F.when(page.isNotNull(), F.format_string("%08d.warc", F.floor(page / per_file))).otherwise(none)
+
+
+def _offsets(rows: DataFrame, *order: str) -> DataFrame:
+    """Where each record begins: after the sizes of those before it in its file."""
+    before = W.partitionBy("file").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
+
+
 def layout(pages: DataFrame, id_col: str, url_col: str, payload_col: str, per_file: int = 1000) -> DataFrame:
-    """Pages as records of WARC files: ``file``, ``offset``, ``record``, and the page's id.
+    """Pages as records of WARC files: ``file``, ``offset``, ``record``, its ``size`` and the page's id.
 
     A file holds the pages of ``per_file`` ids in a row, in order of their ids; rows of equal id follow each other by
-    address and payload. Rows with a null id share one file.
+    the record's bytes. Rows with a null id are spread over files of their own. Null addresses and payloads are empty, other
+    columns are ignored; records of any length are whole.
     """
     rows = pages.select(
         F.col(id_col).alias("page"),
-        F.coalesce(F.format_string("%08d.warc", F.floor(F.col(id_col) / per_file)), F.lit("none.warc")).alias("file"),
+        _file_of(F.col(id_col), per_file, F.col(url_col), F.col(payload_col)).alias("file"),
         response_record(F.col(url_col), F.col(payload_col)).alias("record"),
     )
-    before = W.partitionBy("file").orderBy("page", "record").rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(F.octet_length("record").cast("long")).over(before), F.lit(0)))
+    return _offsets(rows.withColumn("size", F.octet_length("record").cast("long")), "page", "record")
+
+
+def placed_leaves(
+    pages: DataFrame, id_col: str, url_col: str, payload_col: str, per_file: int = 1000, changes: dict[str, Callable[[Column], Column]] | None = None
+) -> DataFrame:
+    """The leaves of ``layout`` without its records: ``page``, ``file``, ``offset``, ``size`` and ``hash``.
+
+    Records are hashed where they are read, so no record is shuffled to find its place. Each of the ``changes`` adds the hash of
+    the record so changed, under its name. Rows of equal id follow each other by their hash.
+    """
+    record = response_record(F.col(url_col), F.col(payload_col))
+    hashes = {"hash": record} | {name: change(record) for name, change in (changes or {}).items()}
+    rows = pages.select(
+        F.col(id_col).alias("page"),
+        _file_of(F.col(id_col), per_file, F.col(url_col), F.col(payload_col)).alias("file"),
+        F.octet_length(record).cast("long").alias("size"),
+        *[F.sha2(x, 256).alias(name) for name, x in hashes.items()],
+    )
+    return _offsets(rows, "page", "hash")
 
 
 def leaves(records: DataFrame, file_col: str = "file", offset_col: str = "offset", record_col: str = "record") -> DataFrame:

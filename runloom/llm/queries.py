@@ -117,12 +117,14 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as WARC files against a replica in which, by rule, some records are changed, lost or added."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    records = fixity.layout(pages, "page_id", "url", "html", per_file=1000)
+    flipped = lambda r: F.concat(r.substr(1, 40), F.lit(b"?"), r.substr(42, 2**31 - 1))
+    records = fixity.placed_leaves(pages, "page_id", "url", "html", per_file=1000, changes={"flipped": flipped})
+    records = common.written(records, "records")
     damage = F.col("page") % 97
-    flipped = F.concat(F.col("record").substr(1, 40), F.lit(b"?"), F.col("record").substr(42, 2**31 - 1))
-    replica = records.where(damage != 31).withColumn("record", F.when(damage == 13, flipped).otherwise(F.col("record")))
+    replica = records.where(damage != 31).withColumn("hash", F.when(damage == 13, F.col("flipped")).otherwise(F.col("hash")))
     added = records.where(F.col("page") % 997 == 7).withColumn("offset", F.col("offset") + 1)
-    found = fixity.audit(fixity.leaves(records), fixity.leaves(replica.unionByName(added)))
+    leaf = ("file", "offset", "size", "hash")
+    found = fixity.audit(records.select(*leaf).distinct(), replica.unionByName(added).select(*leaf).distinct())
     return found.select(
         "file", "offset", "kind", "left_size", "right_size", "left_hash", "right_hash", "left_root", "right_root"
     )
