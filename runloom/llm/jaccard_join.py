@@ -35,7 +35,7 @@ COUNT_PARTS, COUNT_GROUPS = 16, 16
 BUCKET_BLOCK = 2048
 
 #: Pairs that a task looks at in one step.
-PAIRS = 1 << 19
+PAIRS = 1 << 16
 
 #: Rounds in which a bucket's members are compared with one of them, before those not yet connected are compared in pairs.
 STAR_ROUNDS = 1
@@ -47,7 +47,7 @@ BROADCAST_ROWS = 1_000_000
 CELLS = 256
 
 #: Pairs whose ranges are compared in one step.
-CELL_PAIRS = 1 << 14
+CELL_PAIRS = 1 << 12
 
 
 def ngrams(text: bytes, size: int) -> np.ndarray:
