@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runloom.operators.grouped import join_on, per_group
+from runloom.operators.grouped import GROUP_ROWS, join_on, per_group, row_positions
 from runloom.session import written
 
 BATCH = ("layer", "batch_id")
@@ -34,7 +34,9 @@ def _level(logit: Column) -> Column:
     return F.when(_unknown(logit), F.lit(int(-2 * LAST_LEVEL))).otherwise(F.floor(held))
 
 
-def queue_cuts(assigned: DataFrame, capacity_factor: float, sizes: DataFrame | None = None) -> DataFrame:
+def queue_cuts(
+    assigned: DataFrame, capacity_factor: float, sizes: DataFrame | None = None, group_rows: int = GROUP_ROWS
+) -> DataFrame:
     """``cuts`` per layer and batch: by expert, the key of the last assignment that stays; experts that drop none are absent.
 
     ``assigned`` has a row per assignment. ``sizes`` has the ``_tokens`` of each batch; without it first choices are
@@ -55,12 +57,13 @@ def queue_cuts(assigned: DataFrame, capacity_factor: float, sizes: DataFrame | N
     levels = (
         counted.withColumns({"_capacity": capacity, "_upto": running, "_all": F.sum("_n").over(queue)})
         .where("_all > _capacity AND _upto >= _capacity AND _upto - _n < _capacity")
-        .select(*QUEUE, "_level", wanted.alias("_wanted"))
+        .select(*QUEUE, "_level", wanted.alias("_wanted"), "_n")
     )
     levels = written(levels, "levels")
-    near = join_on(leveled.select(*QUEUE, "_level", "token_id", "logit"), per_group(levels, levels.count()), [*QUEUE, "_level"])
+    number, largest = levels.agg(F.count("*"), F.max("_n")).first()
+    near = join_on(leveled.select(*QUEUE, "_level", "token_id", "logit"), per_group(levels.drop("_n"), number), [*QUEUE, "_level"])
     ranked = near.withColumn("_key", queue_key(F.col("logit"), F.col("token_id")))
-    ranked = ranked.withColumn("_place", F.row_number().over(queue.orderBy("_key"))).where("_place = _wanted")
+    ranked = row_positions(ranked, QUEUE, ["_key"], "_place", group_rows, largest or 0).where("_place = _wanted")
     entries = F.map_from_entries(F.collect_list(F.struct("expert_id", "_key")))
     return written(ranked.groupBy(*BATCH).agg(entries.alias("cuts")), "cuts")
 
@@ -70,8 +73,10 @@ def stays(cuts: Column, expert: Column, key: Column) -> Column:
     return F.coalesce(key <= F.element_at(cuts, expert), F.lit(True))
 
 
-def capacity_marks(assigned: DataFrame, capacity_factor: float, sizes: DataFrame | None = None) -> DataFrame:
+def capacity_marks(
+    assigned: DataFrame, capacity_factor: float, sizes: DataFrame | None = None, group_rows: int = GROUP_ROWS
+) -> DataFrame:
     """Assignments, one row each, with ``kept``."""
-    cuts = queue_cuts(assigned, capacity_factor, sizes)
+    cuts = queue_cuts(assigned, capacity_factor, sizes, group_rows)
     marked = join_on(assigned, per_group(cuts, cuts.count()), BATCH, "left")
     return marked.withColumn("kept", stays(F.col("cuts"), F.col("expert_id"), queue_key(F.col("logit"), F.col("token_id")))).drop("cuts")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.functions.columns import sigmoid, softmax
-from runloom.operators.grouped import join_on
+from runloom.operators.grouped import GROUP_ROWS, join_on
 from runloom.operators.queues import capacity_marks
 
 TOKEN = ("layer", "batch_id", "token_id")
@@ -86,17 +86,20 @@ def topk_or_dense(tokens: DataFrame, num_experts: int, top_k: int = 0) -> DataFr
     return topk_route(tokens, k)
 
 
-def capacity_enforce(assigned: DataFrame, tokens: DataFrame, capacity_factor: float) -> DataFrame:
+def capacity_enforce(
+    assigned: DataFrame, tokens: DataFrame, capacity_factor: float, group_rows: int = GROUP_ROWS
+) -> DataFrame:
     """Mark as ``kept`` the best assignments of each expert and batch, up to its capacity.
 
     Capacity is ``ceil(capacity_factor * tokens / experts)`` and does not grow with
     top-k; a factor of 0 or less keeps everything. Ties go to the lower token id. The assignments
-    are not shuffled, see ``dispatch``, which also has the form that stays in token rows.
+    are not shuffled, see ``dispatch``, which also has the form that stays in token rows. ``group_rows`` bounds what one task
+    ranks of the level that holds a cut.
     """
     if capacity_factor <= 0:
         return assigned.withColumn("kept", F.lit(True))
     sizes = tokens.groupBy("layer", "batch_id").agg(F.count("*").alias("_tokens"))
-    return capacity_marks(assigned, capacity_factor, sizes)
+    return capacity_marks(assigned, capacity_factor, sizes, group_rows)
 
 
 def renormalize_kept(assigned: DataFrame) -> DataFrame:
