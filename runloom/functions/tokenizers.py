@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ EOS_ID = 0
 PAD_ID = 0
 VOCABULARY = 2**28 - 1
 
+#: Characters that a plugged-in tokenizer is given at once, unless one text has more.
+SLICE_CHARS = 1 << 20
+
 Encoder = Callable[[list[str]], list[list[int]]]
 #: From a text column and an optional length limit to an ``ARRAY<INT>`` column.
 Tokenizer = Callable[..., Column]
@@ -57,18 +61,29 @@ def _cut(tokens: Column, limit: int | None) -> Column:
     return tokens if limit is None else F.slice(tokens, 1, limit)
 
 
+def _slices(texts: pd.Series) -> Iterator[pd.Series]:
+    """The texts in order, as many at once as ``SLICE_CHARS`` allows, and one at least."""
+    ends = np.cumsum([len(text) if text else 0 for text in texts])
+    begin, before = 0, 0
+    while begin < len(texts):
+        stop = max(begin + 1, int(np.searchsorted(ends, before + SLICE_CHARS, side="right")))
+        yield texts.iloc[begin:stop]
+        begin, before = stop, ends[stop - 1]
+
+
 def arrow_tokenizer(make_encoder: Callable[[], Encoder]) -> Tokenizer:
     """Turn a Python tokenizer into a column function.
 
     ``make_encoder`` runs once per task and returns a function from a list of
-    texts to a list of id lists.
+    texts to a list of id lists. A batch is encoded and handed back in slices of
+    ``SLICE_CHARS``, so the ids that a task holds do not grow with the batch.
     """
 
     def tokenizer(text: Column, limit: int | None = None) -> Column:
         @F.pandas_udf("array<int>")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             encoder = make_encoder()
-            for texts in batches:
+            for texts in (part for batch in batches for part in _slices(batch)):
                 encoded = iter(encoder(texts.dropna().tolist()))
                 yield pd.Series([next(encoded)[:limit] if known else None for known in texts.notna()], dtype=object)
 

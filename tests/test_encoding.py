@@ -77,6 +77,18 @@ def test_plugged_in_tokenizer(spark):
     assert [r.input_ids for r in rows] == [[97, 98], None, []]
 
 
+def test_plugged_in_tokenizer_gets_bounded_slices(spark):
+    def make_counter():
+        return lambda texts: [[len(texts), len(text)] for text in texts]
+
+    # Nulls, empty texts and one text above the bound among them, all in one Arrow batch.
+    texts = ["x" * 100_000] * 35 + [None, "", "y" * 1_500_000, None] + ["z"] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, text STRING").coalesce(1)
+    got = {r.id: r.input_ids for r in encoding.tokenize(df, tokenizer=arrow_tokenizer(make_counter)).collect()}
+    assert [None if got[i] is None else got[i][1] for i in range(len(texts))] == [None if t is None else len(t) for t in texts]
+    assert all(n is None or n[0] * 100_000 <= 1 << 20 for i, n in got.items() if i < 35) and got[37][0] == 1
+
+
 @pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
 def test_subword_tokenizer(spark):
     def make_encoder():
