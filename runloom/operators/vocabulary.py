@@ -1,19 +1,24 @@
 """A word vocabulary with dense ids by frequency, and texts encoded by it.
 
-Building takes two passes. The first counts words by a 64-bit hash, and a count of counts gives the least count that a wanted
-size lets in. The second counts only the words above it by their spelling, so the long tail of rare words is never
-shuffled as text. Ids follow the counts, words of equal counts in byte order.
+Building reads the texts once: a task counts its words before it hands them over, so a shuffle gets a word some times a task, not
+as often as it occurs. A count of counts gives the least count that a wanted size lets in. Ids follow the counts, words of equal
+counts in byte order.
 
-Encoding keeps frequent words local: a fixed number of them is broadcast. Only what they do not cover is joined by word with the
-rest of the vocabulary, so no frequent word is ever the key of a shuffle.
+Encoding looks up words by part, a few megabytes of texts: a part sends each distinct word once. Frequent words stay local: a fixed
+number of them is broadcast. Only what they do not cover is joined by word with the rest of the vocabulary, so no frequent word is
+ever the key of a shuffle.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from runloom.functions.tokenizers import words
 from runloom.operators.grouped import row_positions
 from runloom.session import written
 
@@ -21,10 +26,46 @@ from runloom.session import written
 UNKNOWN_ID = 0
 #: Frequent words that are broadcast.
 HOT_WORDS = 100_000
+#: Text bytes of a part, whose distinct words are looked up together.
+PART_BYTES = 4 << 20
+#: Distinct words that a task counts before it hands over.
+TASK_WORDS = 500_000
+
+
+def _word_counts(docs: DataFrame, text: str) -> DataFrame:
+    """``word`` and a ``count`` of it, some rows per word: a task adds up before it hands over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[bytes] = Counter()
+        for batch in batches:
+            for part in _parts(batch.column(0).cast(pa.binary()).to_pylist()):
+                for one in part:
+                    counts.update(one.split() if one else ())
+                if len(counts) > TASK_WORDS:
+                    yield _counted(counts)
+                    counts.clear()
+        if counts:
+            yield _counted(counts)
+
+    return docs.select(text).mapInArrow(run, "word string, count long")
 
 
-def _words_of(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.explode(words(F.col(text))).alias("word"))
+def _counted(counts: Counter[bytes]) -> pa.RecordBatch:
+    words = pa.array(counts.keys(), pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([words, pa.array(counts.values(), pa.int64())], names=["word", "count"])
+
+
+def _parts(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
+    """The texts in order, so many at once that they have ``PART_BYTES`` or just more."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text or b"")
+        if size >= PART_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def least_count(counts: DataFrame, size: int) -> Column:
@@ -43,21 +84,12 @@ def build_vocabulary(docs: DataFrame, text: str = "text", size: int | None = Non
     Ids are dense from 1 on: by count, then by the bytes of the word. Words are what stands between white space. Null
     texts have none. The table is written, so that ids stay as they are.
     """
-    hashed = _words_of(docs, text).select(F.xxhash64("word").alias("_hash"))
-    often = hashed.groupBy("_hash").count().where(F.col("count") >= min_count)
+    counted = _word_counts(docs, text).groupBy("word").agg(F.sum("count").alias("count"))
+    counted = written(counted.where(F.col("count") >= min_count), "words")
     if size is not None:
-        often = written(often, "hashes")
         # One level below the cut may be needed in part: those words are ranked below.
-        lowest = often.where(F.col("count") < F.coalesce(least_count(often, size), F.lit(2**62))).agg(F.max("count")).scalar()
-        often = often.where(F.col("count") >= F.coalesce(lowest, F.lit(0)))
-    if size is not None or min_count > 1:
-        spelled = _words_of(docs, text).withColumn("_hash", F.xxhash64("word"))
-        # Words are combined on the map side; the hashes kept are joined to one row per task and word.
-        partial = spelled.groupBy("_hash", "word").count()
-        counted = partial.join(often.select("_hash"), "_hash", "left_semi").select("word", "count")
-    else:
-        counted = _words_of(docs, text).groupBy("word").count()
-    counted = written(counted.where(F.col("count") >= min_count), "words")
+        lowest = counted.where(F.col("count") < F.coalesce(least_count(counted, size), F.lit(2**62))).agg(F.max("count")).scalar()
+        counted = counted.where(F.col("count") >= F.coalesce(lowest, F.lit(0)))
     ranked = row_positions(counted, [], [F.desc("count"), F.asc("word")], "id")
     if size is not None:
         ranked = ranked.where(F.col("id") <= size)
@@ -67,21 +99,53 @@ def build_vocabulary(docs: DataFrame, text: str = "text", size: int | None = Non
 def encode(
     docs: DataFrame, vocabulary: DataFrame, id_col: str, text: str = "text", name: str = "input_ids", hot_words: int = HOT_WORDS
 ) -> DataFrame:
-    """``id_col`` and the ids of each text's words, one row per text; ``id_col`` must be unique.
+    """``id_col`` and the ids of each text's words, one row per text; ``id_col`` should be unique.
 
     Words that the vocabulary lacks have ``UNKNOWN_ID``, a null text has null ids. Dense ids bound the broadcast: no more than
-    ``hot_words`` rows.
+    ``hot_words`` rows. Texts of one id are put together by the places of their words.
     """
-    placed = docs.select(id_col, F.col(text).isNull().alias("_none"), F.posexplode_outer(words(F.col(text))).alias("_place", "word"))
+    id_type = docs.schema[id_col].dataType
+    numbered = docs.select(F.col(id_col).alias("_id_of"), F.col(text).alias("_text")).mapInArrow(
+        _parts_coded,
+        T.StructType([T.StructField("_ids_of", T.ArrayType(id_type)), *T.StructType.fromDDL("_codes array<array<int>>, _words array<string>")]),
+    )
+    # Numbers of parts must not change between the two uses of the table.
+    parts = written(numbered.withColumn("_part", F.monotonically_increasing_id()), "parts")
+    placed = parts.select("_part", F.posexplode("_words").alias("_at", "word"))
     hot = F.broadcast(vocabulary.where(F.col("id") <= hot_words).select("word", F.col("id").alias("_id")))
     rest = vocabulary.where(F.col("id") > hot_words).select("word", F.col("id").alias("_id"))
     if rest.isEmpty():
         found = placed.join(hot, "word", "left")
     else:
-        open_words = placed.where(F.col("word").isNotNull()).join(hot, "word", "left_anti").join(rest, "word", "left")
-        none = placed.where(F.col("word").isNull()).withColumn("_id", F.lit(None).cast("int"))
-        found = placed.join(hot, "word").unionByName(open_words).unionByName(none)
-    # A text's ids are put together where they were made; one row per text and task is shuffled.
-    pair = F.when(F.col("_place").isNotNull(), F.struct("_place", F.coalesce("_id", F.lit(UNKNOWN_ID)).alias("_id")))
-    grouped = found.groupBy(id_col).agg(F.max("_none").alias("_none"), F.sort_array(F.collect_list(pair)).alias("_pairs"))
-    return grouped.select(id_col, F.when(~F.col("_none"), F.transform("_pairs", lambda p: p["_id"])).alias(name))
+        found = placed.join(hot, "word").unionByName(placed.join(hot, "word", "left_anti").join(rest, "word", "left"))
+    pair = F.struct("_at", F.coalesce("_id", F.lit(UNKNOWN_ID)).alias("_id"))
+    known = found.groupBy("_part").agg(F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["_id"]).alias("_known"))
+    ids = F.transform("_codes", lambda codes: F.transform(codes, lambda code: F.get("_known", code)))
+    both = parts.select("_part", "_ids_of", "_codes").join(known, "_part", "left")
+    encoded = both.select(F.inline(F.arrays_zip(F.col("_ids_of").alias(id_col), ids.alias(name)))).toDF(id_col, name)
+    if docs.groupBy(id_col).count().where("count > 1").isEmpty():
+        return encoded
+    places = F.transform(name, lambda i, place: F.struct(place.alias("_place"), i.alias("_id")))
+    merged = encoded.groupBy(id_col).agg(
+        F.max(F.col(name).isNull()).alias("_none"), F.sort_array(F.flatten(F.collect_list(places))).alias("_pairs")
+    )
+    return merged.select(id_col, F.when(~F.col("_none"), F.transform("_pairs", lambda p: p["_id"])).alias(name))
+
+
+def _parts_coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per part of a batch: its ids, its distinct words and each text's words as places among them."""
+    for batch in batches:
+        begin = 0
+        for part in _parts(batch.column(1).cast(pa.binary()).to_pylist()):
+            own: dict[bytes, int] = {}
+            # The characters that ``words`` cuts at are those of ``bytes.split``.
+            codes = [None if text is None else [own.setdefault(word, len(own)) for word in text.split()] for text in part]
+            ids = batch.column(0).slice(begin, len(part))
+            begin += len(part)
+            whole = pa.array([0, len(part)], pa.int32())
+            arrays = [
+                pa.ListArray.from_arrays(whole, ids),
+                pa.ListArray.from_arrays(whole, pa.array(codes, pa.list_(pa.int32()))),
+                pa.array([list(own)], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_ids_of", "_codes", "_words"])

@@ -63,3 +63,25 @@ def test_frequent_words_are_no_shuffle_key(spark, texts):
     for hot_words, joins in ((1000, ["LeftOuter"]), (3, ["Inner", "LeftAnti"])):
         plan = vocabulary.encode(docs, known, "id", hot_words=hot_words)._jdf.queryExecution().executedPlan().toString()
         assert all(any("BroadcastHashJoin" in line and kind in line for line in plan.splitlines()) for kind in joins)
+
+
+def test_words_are_looked_up_once_a_part(spark, texts, monkeypatch):
+    docs = spark.createDataFrame([(i, "same words in all of the texts " * 50) for i in range(300)], DOCS).coalesce(1)
+    known = vocabulary.build_vocabulary(docs)
+    seen = []
+    monkeypatch.setattr(vocabulary, "written", lambda df, name: seen.append((name, df.cache())) or seen[-1][1])
+    assert vocabulary.encode(docs, known, "id").where("size(input_ids) = 350").count() == 300
+    parts = dict(seen)["parts"]
+    assert parts.selectExpr("sum(size(_words))").first()[0] == 7 * parts.count() < 300
+    # Parts as small as a text, and one text of many parts, give the same ids.
+    expected = sorted(vocabulary.encode(spark.createDataFrame(texts, DOCS), known, "id").collect())
+    monkeypatch.setattr(vocabulary, "PART_BYTES", 1)
+    assert sorted(vocabulary.encode(spark.createDataFrame(texts, DOCS), known, "id").collect()) == expected
+
+
+def test_texts_of_one_id_are_put_together_by_place(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "c"), (None, "a"), (None, None), (2, "b")], DOCS)
+    known = spark.createDataFrame([("a", 3, 1), ("b", 2, 2), ("c", 1, 3)], "word string, count long, id int")
+    for hot_words in (100, 1):
+        got = {r.id: r.input_ids for r in vocabulary.encode(docs, known, "id", hot_words=hot_words).collect()}
+        assert got == {1: [1, 3, 2], None: None, 2: [2]}
