@@ -1,6 +1,7 @@
 """The operators against plain versions, on whole small tables and on odd rows."""
 
 import random
+import zlib
 
 import brute
 import public_tokenizers
@@ -149,6 +150,18 @@ def test_suffix_tree(odd):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
 
 
+def test_op10_returns_what_the_tree_says_of_unknown_words(spark, tmp_path):
+    # Both held-out texts have two unknown words.
+    held_out = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    texts = dict(zip(held_out, ("theca thecat", "zqxjk zzqqxx")))
+    rows = [(i, texts.get(i, "the cat sat on the mat " * 50)) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op10_suffix_tree"](spark, str(tmp_path)).collect()}
+    near, far = (got[i] for i in held_out)
+    assert near.held_out and far.held_out and near.n_known == far.n_known == 1
+    assert near.spelled_score > far.spelled_score + 5
+
+
 def test_suffix_tree_without_training_text(odd):
     rows = suffix_tree.score_texts(odd, F.lit(None).cast("boolean")).collect()
     assert len(rows) == len(ODD) and all(r.n_known == 0 and r.score < 0 for r in rows)
