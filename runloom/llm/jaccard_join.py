@@ -83,8 +83,9 @@ def rareness(texts: DataFrame, size: int) -> np.ndarray:
                 np.add(counts, np.bincount(slots, minlength=len(counts)), out=counts)
                 waiting.clear()
 
+        common.give_back()
         for batch in batches:
-            for text in common.as_bytes(batch.column("text")):
+            for text in common.each_text(batch.column("text")):
                 waiting.append(ngrams(text, size))
                 task = (task * 31 + len(text)) % COUNT_GROUPS
                 if len(waiting) >= 2000:
@@ -152,12 +153,13 @@ def _described(texts: DataFrame, counts: np.ndarray, size: int, percent: int, fi
     schema = T.StructType([*carried, *T.StructType.fromDDL(figures)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back()
         order_of = shared.value
         for whole in batches:
             for begin in range(0, whole.num_rows, 1000):
                 batch = whole.slice(begin, 1000)
                 keys, sizes, prefixes, cells, marks = [], [], [], [], []
-                for text in common.as_bytes(batch.column("text")):
+                for text in common.each_text(batch.column("text")):
                     grams = ngrams(text, size)
                     marks.append(common.majority_bits(grams) if fingerprints else 0)
                     s = np.unique(grams)
@@ -221,7 +223,7 @@ def _sets_of(asked: DataFrame, points: DataFrame, texts: DataFrame, size: int) -
         for whole in batches:
             for begin in range(0, whole.num_rows, 1000):
                 batch = whole.slice(begin, 1000)
-                sets = [np.unique(ngrams(t, size)) for t in common.as_bytes(batch.column("text"))]
+                sets = [np.unique(ngrams(t, size)) for t in common.each_text(batch.column("text"))]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))

@@ -30,7 +30,9 @@ BLANK = "▁"
 #: Segments longer than this are encoded anew each time.
 CACHED_CHARACTERS = 64
 #: Segments that a worker keeps of late; when they are as many, those not seen since the last time go.
-CACHED_SEGMENTS = 250_000
+CACHED_SEGMENTS = 100_000
+#: Texts that are encoded at once.
+SLICE_ROWS = 250
 #: Symbols up to which the agenda is a list.
 SHORT = 24
 
@@ -181,11 +183,12 @@ def encode_decode(
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back()
         own = pieces(model)
         for batch in batches:
             # Small slices bound what a batch of very long texts takes.
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
+            for begin in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(begin, SLICE_ROWS)
                 packed = own.encode([x or "" for x in part.column(hidden).to_pylist()])
                 arrays = [np.frombuffer(x, np.int32) for x in packed]
                 sizes = np.array([len(a) for a in arrays], np.int64)

@@ -13,6 +13,8 @@ block, so no task gathers a group of copies.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +34,9 @@ COVERS = {
     31: (0, 1, 3, 8, 12, 18),
 }
 
+#: Words whose places are judged in one step.
+STEP = 1 << 18
+
 _BLOB = "part int, block int, kind int, a binary, b binary, c binary"
 
 
@@ -48,17 +53,30 @@ class _Block:
         ids = np.array([2**63 - 1 if x is None else x for x in table[id_col].to_pylist()], dtype=np.int64)
         self.order = np.argsort(ids, kind="stable")
         self.ids = ids[self.order]
-        texts = common.as_bytes(table[text_col])
-        self.words = [texts[i].split() for i in self.order]
-        self.lengths = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.keys = np.concatenate([common.word_keys(w) for w in self.words]) if len(texts) else np.empty((0, 2), "<u8")
+        # Words are many times as large as their text, so those of one text at a time are Python objects.
+        self.texts = table[text_col].take(pa.array(self.order))
+        keys, lengths = bytearray(), []
+        for words in self.words():
+            keys += common.word_keys(words).tobytes()
+            lengths.append(len(words))
+        self.lengths = np.array(lengths, dtype=np.int64)
+        self.keys = np.frombuffer(keys, dtype="<u8").reshape(-1, 2)
         self.ends = np.cumsum(self.lengths)
         self.window = window
         self.period, self.cover = cover_for(window)
         self.anchor = window - self.period + 1
-        self.end_of = np.repeat(self.ends, self.lengths)
-        self.start_of = self.end_of - np.repeat(self.lengths, self.lengths)
-        self.doc_of = np.repeat(np.arange(len(texts)), self.lengths)
+        self.doc_of = np.repeat(np.arange(len(ids)), self.lengths)
+
+    def words(self) -> Iterator[list[bytes]]:
+        """The words of each text in order."""
+        return (text.split() for text in common.each_text(self.texts))
+
+    def start_of(self, at: np.ndarray) -> np.ndarray:
+        """Where the texts of these positions begin."""
+        return (self.ends - self.lengths)[self.doc_of[at]]
+
+    def end_of(self, at: np.ndarray) -> np.ndarray:
+        return self.ends[self.doc_of[at]]
 
     def rolled(self, half: int, n: int) -> np.ndarray:
         """Keys of the n words from each position on."""
@@ -72,10 +90,7 @@ class _Block:
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Positions of anchors by key, the number of their key, the keys, and whether two documents here share them."""
         rolled = self.rolled(0, self.anchor)
-        at = np.arange(len(rolled))
-        here = np.isin((at - self.start_of[: len(at)]) % self.period, self.cover)
-        here &= at + self.anchor <= self.end_of[: len(at)]
-        at = at[here]
+        at = np.concatenate([self._covered(begin, min(begin + STEP, len(rolled))) for begin in range(0, len(rolled), STEP)] or [np.empty(0, np.int64)])
         order = np.argsort(rolled[at], kind="stable")
         at, keys = at[order], rolled[at[order]]
         fresh = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
@@ -85,15 +100,24 @@ class _Block:
         shared[number[1:][(docs[1:] != docs[:-1]) & ~fresh[1:]]] = True
         return at, number, keys[fresh], shared
 
+    def _covered(self, begin: int, end: int) -> np.ndarray:
+        """The positions in a range from which an anchor is hashed."""
+        at = np.arange(begin, end)
+        here = np.isin((at - self.start_of(at)) % self.period, self.cover)
+        return at[here & (at + self.anchor <= self.end_of(at))]
+
     def candidates(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts of windows that hold a shared anchor by key, the number of their key, and its two halves."""
         at, number, _, shared = self.anchors()
         hit = at[(shared | flags)[number]]
+        del at, number, shared
+        first, last = self.start_of(hit), self.end_of(hit)
         marked = np.zeros(len(self.keys), bool)
         for shift in range(self.period):
             start = hit - shift
-            inside = (start >= self.start_of[hit]) & (start + self.window <= self.end_of[hit])
+            inside = (start >= first) & (start + self.window <= last)
             marked[start[inside]] = True
+        del hit, first, last
         starts = np.flatnonzero(marked)
         high = self.rolled(0, self.window)[starts]
         low = (self.rolled(1, self.window)[starts] >> np.uint64(32)).astype(np.uint32)
@@ -216,7 +240,7 @@ def remove_repeats(
         np.add.at(edge, covered + window, -1)
         gone = np.cumsum(edge[:-1]) > 0
         texts, removed = [], np.zeros(len(own.ids), np.int64)
-        for i, words in enumerate(own.words):
+        for i, words in enumerate(own.words()):
             begin, end = own.ends[i] - own.lengths[i], own.ends[i]
             out = gone[begin:end]
             removed[i] = out.sum()
