@@ -6,7 +6,9 @@ n-gram (what can still follow it), and by suffix (the sizes of both sets in fixe
 sets may). Only then are the two whole sets fetched and compared, once per pair.
 
 Equal sets are one point, so thousands of copies cost no more than one text. A bucket of near-copies is first compared
-with few of its members; what that connects needs no more. Only points that are not connected yet are compared in pairs.
+with few of its members; what that connects needs no more. Only points that are not connected yet are compared in pairs: first
+each with few of its possible partners, then with more, at last with all. After few random partners each, a dense group
+hangs together, and what has no common label yet has few links left, so links grow with a group's size and not with its square.
 
 Rareness comes from a table of counts by hash of the n-gram, over all texts. Any order gives the same result; a good one gives few candidates.
 """
@@ -40,6 +42,12 @@ PAIRS = 1 << 16
 #: Rounds in which a bucket's members are compared with one of them, before those not yet connected are compared in pairs.
 STAR_ROUNDS = 1
 
+#: Partners in a bucket that a point is compared with first, and by how many times more they are in each further round.
+FIRST_PARTNERS = 16
+
+#: Pairs that a task holds before it leaves out those beyond a round's partners.
+HELD_PAIRS = 1 << 20
+
 #: Points of 40 bytes up to which those asked for are broadcast to find their texts again.
 BROADCAST_ROWS = 1_000_000
 
@@ -307,8 +315,22 @@ def _with_partners(percent: int):
     return _by_bucket(work)
 
 
-def _block_pairs(percent: int):
-    """The possible pairs that pass the suffix filter too, each in the first open bucket that it shares."""
+def _few_of_each(a: np.ndarray, b: np.ndarray, order: np.ndarray, partners: int) -> np.ndarray:
+    """Places of the pairs that are among the first ``partners`` pairs of either end, by ``order``."""
+    by_order = np.argsort(order, kind="stable")
+    ends, of = np.stack([a[by_order], b[by_order]], axis=1).ravel(), np.repeat(by_order, 2)
+    by_end = np.argsort(ends, kind="stable")
+    starts = _starts(ends[by_end])
+    rank = np.arange(len(ends)) - np.repeat(starts, np.diff(np.append(starts, len(ends))))
+    return np.unique(of[by_end[rank < partners]])
+
+
+def _block_pairs(percent: int, partners: int):
+    """The possible pairs that pass the suffix filter too, each in the first open bucket that it shares.
+
+    Of a point with more than so many ``partners`` in a bucket only those come that a hash of the pair puts first, and
+    those that it is among the first of.
+    """
 
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, n = rows["id"].to_numpy(), rows["n"].to_numpy()
@@ -316,14 +338,24 @@ def _block_pairs(percent: int):
         lists = rows["earlier"].combine_chunks()
         counts = lists.value_lengths().to_numpy(zero_copy_only=False)
         earlier, starts = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(counts) - counts
-        found = [np.empty((0, 2), np.int64)]
+        found, held = [np.empty((0, 2), np.int64)], 0
+
+        def first_ones() -> np.ndarray:
+            pairs = np.concatenate(found)
+            a, b = ids[pairs].T.astype(np.uint64)
+            order = common.mixed(common.mixed(np.minimum(a, b)) + np.maximum(a, b))
+            return pairs[_few_of_each(pairs[:, 0], pairs[:, 1], order, partners)]
+
         for a, b in _possible(rows, percent):
             near = _may_be_similar(n[a], n[b], lambda part, a=a: cells[a[part]], lambda part, b=b: cells[b[part]], percent)
             a, b = a[near], b[near]
             first = ~_meets_before(starts, counts, earlier, a, b)
-            a, b = ids[a[first]], ids[b[first]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        yield _as_batch(np.unique(np.concatenate(found), axis=0))
+            found.append(np.stack([a[first], b[first]], axis=1))
+            held += len(found[-1])
+            if held > HELD_PAIRS:
+                # What is left out is beyond the partners among all pairs too.
+                found, held = [first_ones()], 0
+        yield _as_batch(np.unique(np.sort(ids[first_ones()], axis=1), axis=0))
 
     return _by_bucket(work)
 
@@ -390,21 +422,30 @@ def links_between(
             lambda other: F.struct(F.least("mine", other).alias("i"), F.greatest("mine", other).alias("j")),
         )
     )
-    members = common.written(_open_members(buckets, known), "members")
-    dealt = (
-        members.withColumn("blocks", F.ceil(F.col("size") / block))
-        .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .select("token", "id", "n", "pos", "label", "mine", pair.alias("pair"))
-        .select("token", "pair.i", "pair.j", "id", "n", "pos", "label", "mine")
-    )
     together = lambda df: df.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    alive = common.written(together(dealt).mapInArrow(_with_partners(percent), dealt.schema), "alive")
-    # The n-grams of buckets in which a point has a partner, no more than its prefix: a pair is taken in the first that it shares.
-    opens = alive.groupBy("id").agg(F.collect_set(F.struct("pos", "token")).alias("opens"))
-    earlier = F.transform(F.filter("opens", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"])
-    full = alive.join(points.select("id", "cells").join(opens, "id"), "id").select(*dealt.columns, "cells", earlier.alias("earlier"))
-    rest = together(full).mapInArrow(_block_pairs(percent), "a long, b long").distinct()
-    return common.written(known.unionByName(_verified(rest, points, texts, size, percent)), "links")
+    partners = FIRST_PARTNERS
+    while True:
+        members = common.written(_open_members(buckets, known), "members")
+        dealt = (
+            members.withColumn("blocks", F.ceil(F.col("size") / block))
+            .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            .select("token", "id", "n", "pos", "label", "mine", pair.alias("pair"))
+            .select("token", "pair.i", "pair.j", "id", "n", "pos", "label", "mine")
+        )
+        alive = common.written(together(dealt).mapInArrow(_with_partners(percent), dealt.schema), "alive")
+        if alive.isEmpty():
+            return known
+        # The n-grams of buckets in which a point has a partner, no more than its prefix: a pair is taken in the first that it shares.
+        opens = alive.groupBy("id").agg(F.collect_set(F.struct("pos", "token")).alias("opens"))
+        earlier = F.transform(F.filter("opens", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"])
+        full = alive.join(points.select("id", "cells").join(opens, "id"), "id").select(*dealt.columns, "cells", earlier.alias("earlier"))
+        rest = common.written(together(full).mapInArrow(_block_pairs(percent, partners), "a long, b long").distinct(), "candidates")
+        known = common.written(known.unionByName(_verified(rest, points, texts, size, percent)), "links")
+        most = rest.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count().agg(F.max("count")).first()[0] or 0
+        if most < partners:
+            # A point of which pairs were left out would have so many.
+            return known
+        partners *= FIRST_PARTNERS
 
 
 def similar_groups(
