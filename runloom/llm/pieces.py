@@ -3,8 +3,9 @@
 A text becomes symbols; an agenda of adjacent pairs, ordered by score and then by place,
 always merges the best pair that is a piece. Pieces never run across the start of a
 word, so a text falls into segments that are encoded apart, and a worker keeps the ids
-of segments it has seen. Each newly encoded segment is compared with the sentencepiece
-library, batch by batch.
+of segments it has seen. New segments are merged together as arrays, each by its own agenda and
+one pair in a step; long ones go one by one. Each newly encoded segment is compared with the
+sentencepiece library, batch by batch.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,10 @@ CACHED_CHARACTERS = 64
 CACHED_SEGMENTS = 100_000
 #: Texts that are encoded at once.
 SLICE_ROWS = 250
-#: Symbols up to which the agenda is a list.
+#: Symbols up to which the agenda is a list, or a row of an array.
 SHORT = 24
+#: Segments that are merged together.
+MERGED_ROWS = 10_000
 
 
 class Pieces:
@@ -54,6 +58,7 @@ class Pieces:
         self.segments = re.compile("(?s:.+)" if across else f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
         self.seen: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self._number_symbols(size)
         if library.normalize("x y") != f"{BLANK}x{BLANK}y":
             raise ValueError("a vocabulary that marks blanks and adds one in front is needed")
 
@@ -64,6 +69,10 @@ class Pieces:
             self._merge_short(symbols)
         else:
             self._merge_long(symbols)
+        return self._ids_of(symbols)
+
+    def _ids_of(self, symbols: list[str]) -> list[int]:
+        """The ids of merged symbols, empty ones left out; what is no piece becomes its bytes or unknown."""
         out: list[int] = []
         for symbol in symbols:
             if not symbol:
@@ -93,6 +102,82 @@ class Pieces:
             if i:
                 agenda[i - 1] = rank(symbols[i - 1] + symbols[i], none)
 
+    def _number_symbols(self, size: int) -> None:
+        """Numbers for what ``merge_short_ones`` works on: pieces have their ids, other characters and padding come behind."""
+        extra = sorted({c for p in self.ids for c in p} - self.ids.keys())
+        numbers = self.ids | {c: size + i for i, c in enumerate(extra)}
+        self.size, self.other, self.padding = size, size + len(extra), size + len(extra) + 1
+        self.number_of = np.full(0x110000, self.other, np.int64)
+        for c, i in numbers.items():
+            if len(c) == 1:
+                self.number_of[ord(c)] = i
+        halves = ((numbers.get(p[:i]), numbers.get(p[i:]), n) for p, n in self.ids.items() for i in range(1, len(p)))
+        pairs = sorted((a << 32 | b, n) for a, b, n in halves if a is not None and b is not None)
+        # The last one is never asked for.
+        self.pair_keys = np.array([k for k, _ in pairs] + [1 << 62], np.int64)
+        self.pair_ids = np.array([n for _, n in pairs] + [-1], np.int64)
+        # No piece has the number -1, the last one.
+        self.rank_of = np.full(size + 1, np.inf)
+        self.length_of = [1] * self.padding
+        for p, i in self.ids.items():
+            self.rank_of[i], self.length_of[i] = self.ranks[p], len(p)
+
+    def _merged_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ids of the pieces that pairs of symbols make, -1 for none."""
+        keys = a << 32 | b
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ids[at], -1)
+
+    def merge_short_ones(self, segments: list[str]) -> list[bytes]:
+        """The packed ids of segments of at most ``SHORT`` symbols, as ``merge`` gives them."""
+        out: list[bytes] = [b""] * len(segments)
+        order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
+        for begin in range(0, len(order), MERGED_ROWS):
+            places = order[begin : begin + MERGED_ROWS]
+            for row, symbols in self._merged_rows([segments[i] for i in places]):
+                used = symbols != self.padding
+                whole = np.all((symbols < self.size) | ~used, axis=1)
+                ends = np.cumsum(used.sum(axis=1)) * 4
+                packed = symbols[used].astype(np.int32).tobytes()
+                for r, known, a, b in zip(row.tolist(), whole.tolist(), [0, *ends.tolist()], ends.tolist()):
+                    out[places[r]] = packed[a:b] if known else self._spelled(segments[places[r]], packed[a:b])
+        return out
+
+    def _spelled(self, segment: str, packed: bytes) -> bytes:
+        """The packed ids of a segment whose symbols are not all pieces."""
+        ends = list(accumulate(map(self.length_of.__getitem__, memoryview(packed).cast("i"))))
+        return array("i", self._ids_of([segment[a:b] for a, b in zip([0, *ends], ends)])).tobytes()
+
+    def _merged_rows(self, segments: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of segments and, one row each, their symbols when no pair of them is a piece."""
+        lengths = np.array([len(s) for s in segments])
+        symbols = np.full((len(segments), max(lengths)), self.padding)
+        points = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols[np.arange(symbols.shape[1]) < lengths[:, None]] = self.number_of[points]
+        place = np.arange(len(segments))
+        pairs = self._merged_pairs(symbols[:, :-1], symbols[:, 1:])
+        while pairs.size:
+            ranks = self.rank_of[pairs]
+            at = ranks.argmin(axis=1)  # the first of the least
+            going = np.take_along_axis(ranks, at[:, None], axis=1)[:, 0] < np.inf
+            if not going.all():
+                yield place[~going], symbols[~going]
+                place, symbols, pairs, at = place[going], symbols[going], pairs[going], at[going]
+            rows, width = np.arange(len(at)), symbols.shape[1] - 1
+            symbols[rows, at] = pairs[rows, at]
+            rest = np.ones(symbols.shape, bool)
+            rest[rows, at + 1] = False
+            symbols = symbols[rest].reshape(len(at), width)
+            rest = np.ones(pairs.shape, bool)
+            rest[rows, at] = False
+            pairs = pairs[rest].reshape(len(at), width - 1)
+            for beside in (at - 1, at):
+                there = np.flatnonzero((beside >= 0) & (beside < width - 1))
+                left = beside[there]
+                pairs[there, left] = self._merged_pairs(symbols[there, left], symbols[there, left + 1])
+        if len(place):
+            yield place, symbols
+
     def _merge_long(self, symbols: list[str]) -> None:
         """The agenda as a heap; symbols merged away become empty."""
         n, ranks = len(symbols), self.ranks
@@ -130,26 +215,32 @@ class Pieces:
         cut = [self.segments(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         if len(self.seen) > CACHED_SEGMENTS:
             self.seen, self.before = {}, self.seen
-        known, before, fresh = self.seen, self.before, {}
-        for parts in cut:
-            for part in parts:
-                if part not in known and part not in fresh:
-                    ids = before.get(part)
-                    if ids is not None:
-                        known[part] = ids
-                    else:
-                        fresh[part] = self.merge(part)
-        wanted = self.library.encode([p[1:].replace(BLANK, " ") for p in fresh], num_threads=1) if fresh else []
-        packed = {}
-        for (part, own), ids in zip(fresh.items(), wanted):
-            # The library gives nothing for an empty text, which here is the blank in front alone.
-            if own != ids and len(part) > 1:
-                raise ValueError(f"ids of {part[:80]!r} differ from the library's")
-            packed[part] = array("i", own).tobytes()
-        out = [b"".join([known.get(p) or packed[p] for p in parts]) for parts in cut]
-        known.update((p, i) for p, i in packed.items() if len(p) <= CACHED_CHARACTERS)
+        known, before = self.seen, self.before
+        missing = [p for p in set().union(*cut) if p not in known]
+        known.update((p, before[p]) for p in missing if p in before)
+        fresh = [p for p in missing if p not in before]
+        short = [p for p in fresh if len(p) <= SHORT]
+        long = [p for p in fresh if len(p) > SHORT]
+        packed = self.merge_short_ones(short) + [array("i", self.merge(p)).tobytes() for p in long]
+        self._compare(short + long, packed)
+        known.update(zip(short + long, packed))
+        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        for part in long:
+            if len(part) > CACHED_CHARACTERS:
+                del known[part]
         return out
 
+    def _compare(self, segments: list[str], packed: list[bytes]) -> None:
+        """An error if the library has other ids for a segment."""
+        # It gives nothing for an empty text, which here is the blank in front alone.
+        own = {p: x for p, x in zip(segments, packed) if len(p) > 1}
+        wanted = self.library.encode([p[1:].replace(BLANK, " ") for p in own], num_threads=1) if own else []
+        flat = np.fromiter(chain.from_iterable(wanted), np.int32)
+        same = [4 * len(x) for x in wanted] == [len(x) for x in own.values()]
+        if not same or flat.tobytes() != b"".join(own.values()):
+            part = next(p for (p, x), ids in zip(own.items(), wanted) if array("i", ids).tobytes() != x)
+            raise ValueError(f"ids of {part[:80]!r} differ from the library's")
+
 
 _loaded: dict[str, Pieces] = {}
 
