@@ -30,6 +30,16 @@ from runloom.llm.components import components
 #: Bits of the hash that n-grams are counted by: a table of 4 MB, at any size of the input.
 COUNT_BITS = 20
 
+#: Text bytes whose n-grams are made at once, and n-grams that are counted at once.
+GROUP_BYTES, COUNTED = 1 << 19, 1 << 20
+
+#: Bytes of a word up to which eight at a time are hashed for all words at once; longer ones, which are few, each alone.
+LONG_WORD = 64
+
+#: Which bytes part words, and the masks of the first 0 to 8 bytes of a number.
+_BLANK = np.isin(np.arange(256), list(common.SPACES.encode()))
+_LOW_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+
 #: Parts that the table of counts is added up in, and the groups that add first.
 COUNT_PARTS, COUNT_GROUPS = 16, 16
 
@@ -58,17 +68,72 @@ CELLS = 256
 CELL_PAIRS = 1 << 12
 
 
-def ngrams(text: bytes, size: int) -> np.ndarray:
-    """The 64-bit keys of a text's word n-grams in their order; a shorter text is one, an empty one has none."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    keys = common.word_keys(words)[:, 0]
-    width = min(size, len(words))
-    total = np.zeros(len(words) - width + 1, np.uint64)
-    for i in range(width):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + keys[i : i + len(total)]
-    return common.mixed(total + np.uint64(width))
+def ngrams(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit keys of the texts' word n-grams, one text after the other in their order, and how many each has.
+
+    A text of fewer words is one n-gram, an empty one has none. All texts are worked on at once, as arrays.
+    """
+    joined = b"\n".join([*texts, bytes(8)]).lower()
+    begins = np.cumsum([0, *(len(x) + 1 for x in texts)])
+    bounds = np.flatnonzero(np.diff(_BLANK[np.frombuffer(joined, np.uint8, begins[-1])], prepend=True))
+    starts, ends = bounds[::2], bounds[1::2]
+    keys = _word_hashes(joined, starts, ends - starts)
+    first = np.searchsorted(starts, begins)
+    words = np.diff(first)
+    of = np.repeat(np.arange(len(texts)), words)
+    width = np.minimum(words, size)[of]
+    at = np.flatnonzero(np.arange(len(of)) + width <= first[1:][of])
+    width, total = width[at].astype(np.uint64), np.zeros(len(at), np.uint64)
+    for i in range(size):
+        longer = total * np.uint64(0x9E3779B97F4A7C15) + keys[np.minimum(at + i, len(keys) - 1)]
+        total = np.where(width > i, longer, total)
+    return common.mixed(total + width), np.bincount(of[at], minlength=len(texts))
+
+
+def _word_hashes(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at these places, of eight bytes at a time; eight more follow the last word."""
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    keys = common.mixed(eights[starts] & _LOW_BYTES[np.minimum(sizes, 8)])
+    keys = common.mixed(keys + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    more = np.flatnonzero((sizes > 8) & (sizes <= LONG_WORD))
+    for done in range(8, LONG_WORD, 8):
+        more = more[sizes[more] > done]
+        if not len(more):
+            break
+        part = eights[starts[more] + done] & _LOW_BYTES[np.minimum(sizes[more] - done, 8)]
+        keys[more] = common.mixed(common.mixed(keys[more] + part))
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        keys[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + sizes[i]])
+    return keys
+
+
+def _each_sorted(values: np.ndarray, counts: np.ndarray) -> None:
+    """Sort the values of each text in place."""
+    ends = np.cumsum(counts)
+    for begin, end in zip((ends - counts).tolist(), ends.tolist()):
+        values[begin:end].sort()
+
+
+def _distinct(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct n-grams of each text, and how many each has; the n-grams given are sorted in place."""
+    _each_sorted(grams, counts)
+    of = np.repeat(np.arange(len(counts)), counts)
+    fresh = np.ones(len(grams), bool)
+    fresh[1:] = (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])
+    return grams[fresh], np.bincount(of[fresh], minlength=len(counts))
+
+
+def _groups(column: pa.Array) -> Iterator[list[bytes]]:
+    """The texts in order, about ``GROUP_BYTES`` at a time."""
+    held, size = [], 0
+    for text in common.each_text(column):
+        held.append(text)
+        size += len(text)
+        if size >= GROUP_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -83,7 +148,7 @@ def rareness(texts: DataFrame, size: int) -> np.ndarray:
     """How often the n-grams of each hash occur in the ``text`` of all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, task, waiting = np.zeros(1 << COUNT_BITS, np.int64), 0, []
+        counts, task, waiting, size_waiting = np.zeros(1 << COUNT_BITS, np.int64), 0, [], 0
 
         def add() -> None:
             if waiting:
@@ -93,12 +158,15 @@ def rareness(texts: DataFrame, size: int) -> np.ndarray:
 
         common.give_back()
         for batch in batches:
-            for text in common.each_text(batch.column("text")):
-                waiting.append(ngrams(text, size))
-                task = (task * 31 + len(text)) % COUNT_GROUPS
-                if len(waiting) >= 2000:
+            for group in _groups(batch.column("text")):
+                waiting.append(ngrams(group, size)[0])
+                size_waiting += len(waiting[-1])
+                for text in group:
+                    task = (task * 31 + len(text)) % COUNT_GROUPS
+                if size_waiting >= COUNTED:
                     add()
-            add()
+                    size_waiting = 0
+        add()
         if counts.any():
             # Few bytes where the counts are small, as they are in one task.
             parts = np.minimum(counts, (1 << 32) - 1).astype("<u4").reshape(COUNT_PARTS, -1)
@@ -125,7 +193,17 @@ def rareness(texts: DataFrame, size: int) -> np.ndarray:
     return counts.ravel()
 
 
-def prefix_length(n: int, percent: int) -> int:
+def tokens_of(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What n-grams are joined by: rare ones have small numbers.
+
+    The count fills the upper 20 bits and those bits of the n-gram that did not choose the count the others. Two n-grams of one token
+    count as one that a text has twice, which only adds pairs to be compared: what is shared does not get less.
+    """
+    count = counts[(grams & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)].astype(np.uint64)
+    return (np.minimum(count, np.uint64((1 << COUNT_BITS) - 1)) << np.uint64(64 - COUNT_BITS)) | (grams >> np.uint64(COUNT_BITS))
+
+
+def prefix_length(n, percent: int):
     """Of two sets that are similar enough, each has one of the common members among so many first ones."""
     return n + (-percent * n // 100) + 1
 
@@ -160,35 +238,36 @@ def _described(texts: DataFrame, counts: np.ndarray, size: int, percent: int, fi
     figures = "k1 long, k2 long, n int, prefix array<long>, cells binary, fp long"
     schema = T.StructType([*carried, *T.StructType.fromDDL(figures)])
 
+    def figures_of(group: list[bytes], order_of: np.ndarray) -> tuple[np.ndarray, ...]:
+        grams, counts = ngrams(group, size)
+        each = lambda x, n: np.split(x, np.cumsum(n)[:-1])
+        marks = [common.majority_bits(x) if fingerprints else 0 for x in each(grams, counts)]
+        s, n = _distinct(grams, counts)
+        pair = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.tobytes()) for x in each(s, n)]), "<i8").reshape(-1, 2)
+        of = np.repeat(np.arange(len(n)), n)
+        spread = np.bincount(of * CELLS + (s >> np.uint64(56)).astype(np.int64), minlength=len(n) * CELLS).reshape(-1, CELLS)
+        ranked = tokens_of(s, order_of)
+        _each_sorted(ranked, n)
+        length = np.where(n > 0, prefix_length(n, percent), 0)
+        first = np.arange(len(ranked)) - (np.cumsum(n) - n)[of] < length[of]
+        return pair, n, length, ranked[first].view(np.int64), np.minimum(spread, 255).astype(np.uint8), np.array(marks, np.uint64).view(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.give_back()
         order_of = shared.value
         for whole in batches:
             for begin in range(0, whole.num_rows, 1000):
                 batch = whole.slice(begin, 1000)
-                keys, sizes, prefixes, cells, marks = [], [], [], [], []
-                for text in common.each_text(batch.column("text")):
-                    grams = ngrams(text, size)
-                    marks.append(common.majority_bits(grams) if fingerprints else 0)
-                    s = np.unique(grams)
-                    seen = order_of[(s & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)]
-                    first = np.lexsort((s, seen))[: prefix_length(len(s), percent) if len(s) else 0]
-                    keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    sizes.append(len(s))
-                    prefixes.append(s[first])
-                    spread = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=CELLS)
-                    cells.append(np.minimum(spread, 255).astype(np.uint8).tobytes())
-                pair = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-                ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-                flat = np.concatenate([np.empty(0, np.uint64), *prefixes]).view(np.int64)
+                parts = [figures_of(group, order_of) for group in _groups(batch.column("text"))]
+                pair, sizes, lengths, prefixes, cells, marks = (np.concatenate(x) for x in zip(*parts))
                 arrays = [
                     *[batch.column(f.name) for f in carried],
                     pa.array(pair[:, 0].copy()),
                     pa.array(pair[:, 1].copy()),
                     pa.array(sizes, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                    pa.array(cells, pa.binary()),
-                    pa.array(np.array(marks, np.uint64).view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]).astype(np.int32)), pa.array(prefixes)),
+                    pa.array([c.tobytes() for c in cells], pa.binary()),
+                    pa.array(marks),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
@@ -231,10 +310,10 @@ def _sets_of(asked: DataFrame, points: DataFrame, texts: DataFrame, size: int) -
         for whole in batches:
             for begin in range(0, whole.num_rows, 1000):
                 batch = whole.slice(begin, 1000)
-                sets = [np.unique(ngrams(t, size)) for t in common.each_text(batch.column("text"))]
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                sets = [_distinct(*ngrams(group, size)) for group in _groups(batch.column("text"))]
+                flat, counts = (np.concatenate(x) for x in zip(*sets))
+                ends = np.cumsum([0, *counts]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "grams"])
 
     one = common.written(points.join(asked, "id", "left_semi").select("id", "doc", "mark", "second"), "asked")
