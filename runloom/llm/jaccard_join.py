@@ -222,16 +222,23 @@ def described(texts: DataFrame, size: int, percent: int, fingerprints: bool = Fa
     return common.written(_described(numbered, rareness(texts, size), size, percent, fingerprints), "rows")
 
 
-def points_of(rows: DataFrame) -> DataFrame:
-    """One row per distinct set, named by its least row in ``id``, with the ``doc``, ``mark`` and ``second`` of one text that has it."""
+def points_of(rows: DataFrame, prefixes: bool = True) -> DataFrame:
+    """One row per distinct set, named by its least row in ``id``, with the ``doc``, ``mark`` and ``second`` of one text that has it.
+
+    Without ``prefixes``, which take most of the disk, they stay in ``rows`` alone, see ``prefixes_of``.
+    """
     one = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark", "second")
-    points = rows.groupBy("k1", "k2").agg(
-        F.min("row").alias("id"), F.min(one).alias("one"), *[F.first(c).alias(c) for c in ("n", "prefix", "cells", "fp")]
-    )
-    points = points.select("k1", "k2", "id", "one.doc", "one.mark", "one.second", "n", "prefix", "cells", "fp")
+    figures = ["n", *(["prefix"] if prefixes else []), "cells", "fp"]
+    points = rows.groupBy("k1", "k2").agg(F.min("row").alias("id"), F.min(one).alias("one"), *[F.first(c).alias(c) for c in figures])
+    points = points.select("k1", "k2", "id", "one.doc", "one.mark", "one.second", *figures)
     return common.written(points, "points")
 
 
+def prefixes_of(rows: DataFrame) -> DataFrame:
+    """The prefix of each row's set by the row's number, of which points have the least."""
+    return rows.select(F.col("row").alias("id"), "prefix")
+
+
 def _described(texts: DataFrame, counts: np.ndarray, size: int, percent: int, fingerprints: bool) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(counts)
     carried = [f for f in texts.schema if f.name != "text"]
@@ -475,14 +482,22 @@ def _open_members(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def links_between(
-    points: DataFrame, texts: DataFrame, size: int, percent: int, known: DataFrame | None = None, block: int | None = None
+    points: DataFrame,
+    texts: DataFrame,
+    size: int,
+    percent: int,
+    known: DataFrame | None = None,
+    block: int | None = None,
+    prefixes: DataFrame | None = None,
 ) -> DataFrame:
     """Edges ``a``, ``b`` that connect every two points whose sets are similar enough; each is such a pair itself.
 
-    ``known`` has edges that were found by other means; what they connect is not compared again.
+    ``known`` has edges that were found by other means; what they connect is not compared again. ``prefixes`` has
+    those of the points if they do not have them themselves.
     """
     block = block or BUCKET_BLOCK
-    postings = points.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    listed = points if prefixes is None else points.select("id", "n").join(prefixes, "id")
+    postings = listed.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     ends = postings.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     buckets = common.written(postings.join(ends.select("token"), "token"), "buckets")
     for _ in range(STAR_ROUNDS):

@@ -197,9 +197,9 @@ def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size, percent = 5, round(100 * threshold)
     texts = jaccard_join.marked(docs, id_col, text_col)
     rows = jaccard_join.described(texts, size, percent, fingerprints=True)
-    points = jaccard_join.points_of(rows)
+    points = jaccard_join.points_of(rows, prefixes=False)
     known = jaccard_join.verified_links(_fingerprint_pairs(points.where("n > 0"), radius), points, texts, size, percent)
-    found = jaccard_join.links_between(points, texts, size, percent, known, SET_BLOCK)
+    found = jaccard_join.links_between(points, texts, size, percent, known, SET_BLOCK, jaccard_join.prefixes_of(rows))
     label = components(found, "a", "b").withColumnRenamed("node", "id")
     named = points.select("k1", "k2", "id").join(label, "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("label"))
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark", "second")
