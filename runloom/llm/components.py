@@ -24,7 +24,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         flipped = pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))
         near = pairs.unionByName(flipped) if larger else pairs
         least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        joined = near.join(least, "u")
+        joined = near.join(common.merged(least), "u")
         if larger:
             joined = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:

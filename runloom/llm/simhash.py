@@ -113,11 +113,11 @@ def links(points: DataFrame, radius: int) -> DataFrame:
     tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks]))
     buckets = points.select("fp", tables.alias("table", "key"))
     heads = buckets.groupBy("table", "key").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1")
-    full = common.written(buckets.join(heads, ["table", "key"]), "buckets")
+    full = common.written(buckets.join(common.merged(heads), ["table", "key"]), "buckets")
     near = (F.col("fp") != F.col("head")) & (_distance(F.col("fp"), F.col("head")) <= radius)
     stars = common.written(full.where(near).select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct(), "stars")
     label = components(stars, "a", "b")
-    named = full.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = full.join(common.merged(label.withColumnRenamed("node", "fp")), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     named = common.written(named.select("table", "key", "fp", "label"), "labels")
     open_buckets = (
         named.groupBy("table", "key")
@@ -133,7 +133,7 @@ def links(points: DataFrame, radius: int) -> DataFrame:
         )
     )
     dealt = (
-        named.join(open_buckets, ["table", "key"])
+        named.join(common.merged(open_buckets), ["table", "key"])
         .withColumn("blocks", blocks)
         .withColumn("mine", mine)
         .select("table", "key", "fp", pairs.alias("pair"))
@@ -162,10 +162,10 @@ def near_duplicates(
     hashed = common.written(hashed, "fingerprints")
     points = hashed.groupBy("fp").agg(F.min("id").alias("least"))
     label = components(common.written(links(points.select("fp"), radius), "links"), "a", "b").withColumnRenamed("node", "fp")
-    label = points.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    label = points.join(common.merged(label), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = label.groupBy("label").agg(F.min("least").alias("component"))
-    of_point = label.join(least, "label").select("fp", "component")
-    return hashed.join(of_point, "fp").select(
+    of_point = label.join(common.merged(least), "label").select("fp", "component")
+    return hashed.join(common.merged(of_point), "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias(fingerprint_col),
         F.col("component").alias(component_col),
