@@ -74,7 +74,7 @@ def near_masks(errors: int) -> list[int]:
 
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else common.merged(df)
 
 
 def find(
@@ -122,7 +122,7 @@ def _hits(rows: DataFrame, marks: DataFrame, shingle: int) -> DataFrame:
         places = with_shingles(rows, "text", shingle, keep=True).select("id", "digest", "text", F.posexplode_outer("shingles").alias("place", "h"))
         return places.join(F.broadcast(marks), "h").groupBy("id", "digest").agg(seeds, F.first("text").alias("text"))
     places = with_shingles(rows, "text", shingle).select("id", "digest", F.posexplode_outer("shingles").alias("place", "h"))
-    found = places.join(marks, "h").groupBy("id", "digest").agg(seeds)
+    found = places.join(common.merged(marks), "h").groupBy("id", "digest").agg(seeds)
     found = found.withColumnsRenamed({"id": "seed_id", "digest": "seed_digest"})
     same = F.col("id").eqNullSafe(F.col("seed_id")) & (F.col("digest") == F.col("seed_digest"))
     return rows.join(found, same).groupBy("id", "digest").agg(F.first("seeds").alias("seeds"), F.first("text").alias("text"))

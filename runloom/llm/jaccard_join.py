@@ -307,7 +307,8 @@ def _filtered(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(passed))
 
     of = [points.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}")) for x in "ab"]
-    return pairs.join(of[0], "a").join(of[1], "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(run, "a long, b long")
+    both = pairs.join(common.merged(of[0]), "a").join(common.merged(of[1]), "b")
+    return both.select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(run, "a long, b long")
 
 
 def _sets_of(asked: DataFrame, points: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -323,8 +324,8 @@ def _sets_of(asked: DataFrame, points: DataFrame, texts: DataFrame, size: int) -
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "grams"])
 
-    one = common.written(points.join(asked, "id", "left_semi").select("id", "doc", "mark", "second"), "asked")
-    one = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one
+    one = common.written(points.join(common.merged(asked), "id", "left_semi").select("id", "doc", "mark", "second"), "asked")
+    one = F.broadcast(one) if one.count() <= BROADCAST_ROWS else common.merged(one)
     given = texts.withColumnsRenamed({"doc": "text_doc", "mark": "text_mark", "second": "text_second"})
     same = (F.col("mark") == F.col("text_mark")) & (F.col("second") == F.col("text_second")) & F.col("doc").eqNullSafe(F.col("text_doc"))
     found = given.join(one, same).select("id", "text").mapInArrow(run, "id long, grams array<long>")
@@ -339,7 +340,8 @@ def _verified(pairs: DataFrame, points: DataFrame, texts: DataFrame, size: int,
         return pairs
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), points, texts, size)
     of = [sets.select(F.col("id").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab"]
-    both = pairs.join(of[0], "a").join(of[1], "b")
+    few = pairs.count() <= BROADCAST_ROWS  # so that Spark may broadcast them and leave the sets where they are
+    both = (pairs if few else common.merged(pairs)).join(of[0], "a").join(common.merged(of[1]), "b")
     shared = F.size(F.array_intersect("grams_a", "grams_b")).cast("long")
     total = (F.size("grams_a") + F.size("grams_b")).cast("long")
     return common.written(both.where((100 + percent) * shared >= percent * total).select("a", "b"), "links")
@@ -475,10 +477,10 @@ def _open_members(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
         named = buckets.withColumn("label", F.col("id"))
     else:
         label = components(links, "a", "b").withColumnRenamed("node", "id")
-        named = buckets.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        named = buckets.join(common.merged(label), "id", "left").withColumn("label", F.coalesce("label", "id"))
         named = common.written(named, "labels")
     ends = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-    return named.join(ends.where("low < high"), "token")
+    return named.join(common.merged(ends.where("low < high")), "token")
 
 
 def links_between(
@@ -496,17 +498,17 @@ def links_between(
     those of the points if they do not have them themselves.
     """
     block = block or BUCKET_BLOCK
-    listed = points if prefixes is None else points.select("id", "n").join(prefixes, "id")
+    listed = points if prefixes is None else points.select("id", "n").join(common.merged(prefixes), "id")
     postings = listed.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     ends = postings.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    buckets = common.written(postings.join(ends.select("token"), "token"), "buckets")
+    buckets = common.written(postings.join(common.merged(ends.select("token")), "token"), "buckets")
     for _ in range(STAR_ROUNDS):
         # One member that belongs to the last label, compared with all that belong to others.
         members = common.written(_open_members(buckets, known), "members")
         if members.isEmpty():
             return known if known is not None else members.selectExpr("id AS a", "id AS b")
         heads = members.where("label = high").groupBy("token").agg(F.min("id").alias("head"))
-        rest = members.where("label < high").join(heads, "token")
+        rest = members.where("label < high").join(common.merged(heads), "token")
         stars = rest.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
         found = _verified(_filtered(stars, points, percent), points, texts, size, percent)
         known = found if known is None else known.unionByName(found)
@@ -532,7 +534,8 @@ def links_between(
         # The n-grams of buckets in which a point has a partner, no more than its prefix: a pair is taken in the first that it shares.
         opens = alive.groupBy("id").agg(F.collect_set(F.struct("pos", "token")).alias("opens"))
         earlier = F.transform(F.filter("opens", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"])
-        full = alive.join(points.select("id", "cells").join(opens, "id"), "id").select(*dealt.columns, "cells", earlier.alias("earlier"))
+        of_id = common.merged(points.select("id", "cells").join(common.merged(opens), "id"))
+        full = alive.join(of_id, "id").select(*dealt.columns, "cells", earlier.alias("earlier"))
         rest = common.written(together(full).mapInArrow(_block_pairs(percent, partners), "a long, b long").distinct(), "candidates")
         known = common.written(known.unionByName(_verified(rest, points, texts, size, percent)), "links")
         most = rest.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count().agg(F.max("count")).first()[0] or 0
@@ -564,11 +567,11 @@ def similar_groups(
     rows = described(texts, size, percent)
     points = points_of(rows.where("n > 0"))
     label = components(links_between(points, texts, size, percent), "a", "b").withColumnRenamed("node", "id")
-    named = points.select("k1", "k2", "id", "doc").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = points.select("k1", "k2", "id", "doc").join(common.merged(label), "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = common.written(named, "classes")
     least = named.groupBy("label").agg(F.min("doc").alias("least"))
-    of_set = named.join(least, "label").select("k1", "k2", "least")
-    return rows.select("doc", "n", "k1", "k2").join(of_set, ["k1", "k2"], "left").select(
+    of_set = named.join(common.merged(least), "label").select("k1", "k2", "least")
+    return rows.select("doc", "n", "k1", "k2").join(common.merged(of_set), ["k1", "k2"], "left").select(
         F.col("doc").alias(id_col),
         F.col("n").cast("long").alias(count_col),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias(component_col),

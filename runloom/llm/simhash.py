@@ -175,9 +175,10 @@ def near_duplicates(
 def _fingerprint_pairs(points: DataFrame, radius: int) -> DataFrame:
     """Pairs ``a``, ``b`` of points that connect all whose fingerprints lie within the radius."""
     heads = common.written(points.groupBy("fp").agg(F.min("id").alias("head")), "heads")
-    same = points.join(heads, "fp").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    same = points.join(common.merged(heads), "fp").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
     ends = [heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab"]
-    near = links(heads.select("fp"), radius).join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    near = links(heads.select("fp"), radius).join(common.merged(ends[0]), "a").join(common.merged(ends[1]), "b")
+    near = near.select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
     return common.written(same.unionByName(near), "near")
 
 
@@ -201,14 +202,14 @@ def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = jaccard_join.verified_links(_fingerprint_pairs(points.where("n > 0"), radius), points, texts, size, percent)
     found = jaccard_join.links_between(points, texts, size, percent, known, SET_BLOCK, jaccard_join.prefixes_of(rows))
     label = components(found, "a", "b").withColumnRenamed("node", "id")
-    named = points.select("k1", "k2", "id").join(label, "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("label"))
+    named = points.select("k1", "k2", "id").join(common.merged(label), "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("label"))
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark", "second")
-    first = rows.select("doc", "mark", "second", "k1", "k2").join(named, ["k1", "k2"]).groupBy("label").agg(F.min(order).alias("o"))
+    first = rows.select("doc", "mark", "second", "k1", "k2").join(common.merged(named), ["k1", "k2"]).groupBy("label").agg(F.min(order).alias("o"))
     # One column names a row, so the rows are dealt out once, for the join and for dropping repeated ones.
     row, wanted = (common.free_name(n, docs) for n in ("row_key", "wanted_key"))
     first = common.written(first.select(_row_key("o.doc", "o.mark", "o.second").alias(wanted)), "first")
     keyed = docs.withColumn(row, _row_key(id_col, F.xxhash64(text_col), F.xxhash64(F.lit("second"), F.col(text_col))))
-    return keyed.join(first, F.col(row) == F.col(wanted), "left_semi").dropDuplicates([row]).drop(row)
+    return keyed.join(common.merged(first), F.col(row) == F.col(wanted), "left_semi").dropDuplicates([row]).drop(row)
 
 
 def _row_key(doc: str, mark: Column | str, second: Column | str) -> Column:
