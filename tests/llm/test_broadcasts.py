@@ -1,21 +1,22 @@
 """Tables that grow with the input are not broadcast, however small Spark takes them to be."""
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from runloom.llm import common, contamination, jaccard_join, simhash
+from runloom.llm import contamination, jaccard_join, simhash
 
 
 @pytest.fixture()
 def joins(monkeypatch):
     """The names of written tables with the joins by broadcast that each one's plan has."""
-    found, written = {}, common.written
+    found, parquet = {}, DataFrameWriter.parquet
 
-    def note(df, name):
-        found.setdefault(name, []).append(broadcasts(df))
-        return written(df, name)
+    def note(writer, path, *args, **kwargs):
+        found.setdefault(path.rsplit("/", 1)[-1].split("-")[0], []).append(broadcasts(writer._df))
+        return parquet(writer, path, *args, **kwargs)
 
-    monkeypatch.setattr(common, "written", note)
+    monkeypatch.setattr(DataFrameWriter, "parquet", note)
     return found
 
 
